@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartlight.session import materialize
 
-# A bigint is located digit by digit. 64 bits are split into digits of 20 + 22 + 22 bits, so one
-# histogram has at most 2^22 rows per wanted rank whatever the size of the table.
-_DIGIT_SHIFTS = (44, 22, 0)
+# Bits of a value located per pass: one histogram has at most 2^20 rows per wanted rank, whatever the
+# size of the table.
+_DIGIT_BITS = 20
 
 
 def top_k(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -25,74 +28,89 @@ def top_k_per(df: DataFrame, key: str | list[str], n: int, order: Sequence[Colum
     )
 
 
-def values_at_ranks(values: DataFrame, ranks: DataFrame) -> DataFrame:
+def values_at_ranks(
+    rows: DataFrame, bounds: dict[Any, tuple[int, int]], wanted: dict[Any, list[int]]
+) -> dict[tuple[Any, int], int]:
     """Exact order statistics by histogram refinement.
 
-    ``values``: (grp, v bigint). ``ranks``: (grp, target, position bigint), 0-based positions within
-    a group; a handful of rows, so it is broadcast. Returns (grp, target, v).
+    ``rows``: (grp, v bigint), read once per pass, so pass a materialized frame. ``bounds``: lowest
+    and highest v per group. ``wanted``: 0-based positions per group. Groups and positions are a
+    handful. Returns the value for each (group, position).
 
     Each pass counts the values per digit (pre-aggregated in the map tasks), finds the digit that
     holds the wanted position, and narrows the next pass to that digit. No sort of the table, and a
-    value shared by a third of the rows is just one large count.
+    value shared by a third of the rows is just one large count. Only the found digits, one row per
+    wanted position, come to the driver.
     """
-    counts = values.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("n"))
-    wanted = ranks.withColumn("prefix", F.lit(0).cast("bigint"))
-    outer_shift = None
-    for shift in _DIGIT_SHIFTS:
-        prefix = F.lit(0).cast("bigint") if outer_shift is None else F.shiftright("v", outer_shift)
-        rows = counts.withColumn("prefix", prefix)
-        if outer_shift is not None:
-            rows = rows.join(F.broadcast(wanted.select("grp", "prefix").distinct()), ["grp", "prefix"], "left_semi")
-        histogram = rows.groupBy("grp", "prefix", F.shiftright("v", shift).alias("digit")).agg(F.sum("n").alias("n"))
-        running = Window.partitionBy("grp", "target").orderBy("digit")
-        wanted = (
-            histogram.join(F.broadcast(wanted), ["grp", "prefix"])
-            .withColumn("upto", F.sum("n").over(running))
-            .filter((F.col("upto") - F.col("n") <= F.col("position")) & (F.col("position") < F.col("upto")))
-            .select(
-                "grp", "target",
-                (F.col("position") - F.col("upto") + F.col("n")).alias("position"),
-                F.col("digit").alias("prefix"),
-            )
-        )
-        outer_shift = shift
-    return wanted.select("grp", "target", F.col("prefix").alias("v"))
-
-
-def quantiles(
-    df: DataFrame, values: dict[str, Column], probabilities: dict[str, float], scale: float = 1.0
-) -> DataFrame:
-    """One row with the linearly interpolated quantiles of bigint ``values``, divided by ``scale``.
-
-    Columns are named ``<value>_<probability>`` by the two dictionaries; NULL where there are no rows.
-    All values are located in the same passes.
+    bits = max((64 if (lo ^ hi) < 0 else (lo ^ hi).bit_length() for lo, hi in bounds.values()), default=0)
+    # (group, position) -> [digits found so far, position within them]; None before the first pass
+    state: dict[tuple[Any, int], list] = {(g, p): [None, p] for g, places in wanted.items() for p in places}
+    while state:
+        step = max(bits - _DIGIT_BITS, 0)
+        narrowed = rows
+        prefix = F.lit(0)
+        if any(found is not None for found, _ in state.values()):
+            inside = {(g, found) for (g, _), (found, _) in state.items()}
+            narrowed = rows.filter(_any_of((F.col("grp") == g) & (F.shiftright("v", bits) == d) for g, d in inside))
+            prefix = F.shiftright("digit", bits - step)
+        histogram = narrowed.groupBy("grp", F.shiftright("v", step).alias("digit")).agg(
+            F.count(F.lit(1)).alias("n")
+        ).withColumn("prefix", prefix.cast("bigint"))
+        running = Window.partitionBy("grp", "prefix").orderBy("digit")
+        upto = histogram.withColumn("upto", F.sum("n").over(running))
+
+        def holds(g: Any, found: int | None, place: int) -> Column:
+            here = (F.col("grp") == g) & (F.col("upto") - F.col("n") <= place) & (F.col("upto") > place)
+            return here if found is None else here & (F.col("prefix") == found)
+
+        hits = upto.filter(_any_of(holds(g, found, place) for (g, _), (found, place) in state.items())).collect()
+        for (g, _), entry in state.items():
+            found, place = entry
+            for hit in hits:
+                before = hit["upto"] - hit["n"]
+                if hit["grp"] == g and found in (None, hit["prefix"]) and before <= place < hit["upto"]:
+                    entry[:] = [hit["digit"], place - before]
+                    break
+        bits = step
+        if bits == 0:
+            break
+    return {key: found for key, (found, _) in state.items()}
+
+
+def _any_of(conditions: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def exact_quantiles(
+    df: DataFrame, values: dict[str, Column], probabilities: Sequence[float], scale: float = 1.0
+) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles of bigint columns, divided by ``scale``.
+
+    The exact counterpart of ``approxQuantile``; all columns are located in the same passes. Pass a
+    materialized frame. A column without values gives None.
     """
     columns = F.array(*[F.struct(F.lit(name).alias("grp"), value.alias("v")) for name, value in values.items()])
-    long = df.select(F.explode(columns).alias("c")).select("c.grp", "c.v").filter(F.col("v").isNotNull())
-    spots = F.array(*[
-        F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("n") - 1)).alias("spot"))
-        for name, p in probabilities.items()
-    ])
-    ends = (
-        long.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-        .select("grp", F.explode(spots).alias("s"))
-        .select("grp", "s.name", "s.spot", F.explode(F.array(F.lit("lo"), F.lit("hi"))).alias("end"))
-        .select(
-            "grp",
-            F.struct("name", "end", (F.col("spot") - F.floor("spot")).alias("rest")).alias("target"),
-            F.when(F.col("end") == "lo", F.floor("spot")).otherwise(F.ceil("spot")).cast("bigint").alias("position"),
-        )
-    )
-    found = values_at_ranks(long, ends).select("grp", "target.*", (F.col("v") / F.lit(scale)).alias("v"))
-    between = found.groupBy("grp", "name").agg(
-        F.max(F.when(F.col("end") == "lo", F.col("v"))).alias("lo"),
-        F.max(F.when(F.col("end") == "hi", F.col("v"))).alias("hi"),
-        F.max("rest").alias("rest"),
-    ).withColumn("quantile", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("rest"))
-    return between.agg(*[
-        F.max(F.when((F.col("grp") == value) & (F.col("name") == name), F.col("quantile"))).alias(f"{value}_{name}")
-        for value in values for name in probabilities
-    ])
+    rows = df.select(F.explode(columns).alias("c")).select("c.grp", "c.v").filter(F.col("v").isNotNull())
+    sizes = {
+        r["grp"]: r
+        for r in rows.groupBy("grp").agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+        ).collect()
+    }
+    spots = {name: [p * (r["n"] - 1) for p in probabilities] for name, r in sizes.items()}
+    wanted = {
+        name: sorted({place for s in at for place in (math.floor(s), math.ceil(s))}) for name, at in spots.items()
+    }
+    found = values_at_ranks(rows, {name: (r["lo"], r["hi"]) for name, r in sizes.items()}, wanted)
+
+    def at(name: str, spot: float) -> float:
+        low, high = found[name, math.floor(spot)] / scale, found[name, math.ceil(spot)] / scale
+        return low + (high - low) * (spot - math.floor(spot))
+
+    return {
+        name: [at(name, s) for s in spots[name]] if name in spots else [None] * len(probabilities)
+        for name in values
+    }
 
 
 def dense_index(df: DataFrame, name: str, order: Sequence[Column] = ()) -> DataFrame:

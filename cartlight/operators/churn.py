@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,8 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cartlight.functions.money import average, cents_key, money
-from cartlight.functions.ranking import quantiles, top_k, values_at_ranks
+from cartlight.functions.money import average, cents, money
+from cartlight.functions.ranking import exact_quantiles, top_k, values_at_ranks
 from cartlight.operators.common import kept_orders, orders_by_customer
 from cartlight.session import materialize
 from cartlight.tables import Tables
@@ -35,18 +36,30 @@ def churn_features(tables: Tables, exclude_status: str | None = None) -> DataFra
             F.coalesce("total_orders", F.lit(0)).alias("total_orders"),
             F.coalesce(spending, F.lit(0.0)).alias("total_spending"),
             F.coalesce(average(spending, F.col("priced_orders")), F.lit(0.0)).alias("average_order_value"),
-            F.coalesce(cents_key(F.col("spent_cents")), F.lit(0)).alias("_spending_key"),
         )
     )
 
 
 def churn_labels(tables: Tables, exclude_status: str | None = None) -> DataFrame:
-    """Features with ``churn`` = 1 where spending is at or below the exact median."""
-    features = churn_features(tables, exclude_status)
-    median = quantiles(features, {"spent": F.col("_spending_key")}, {"median": 0.5}, scale=100.0)
-    return features.withColumn(
-        "churn", F.when(F.col("total_spending") <= median.scalar(), 1).otherwise(0)
-    ).drop("_spending_key")
+    """Features with ``churn`` = 1 where spending is at or below the exact median.
+
+    The features are written once to the checkpoint folder: the median and the labels read them.
+    """
+    features = materialize(churn_features(tables, exclude_status).withColumn("_cents", cents(F.col("total_spending"))))
+    median = exact_quantiles(features, {"spent": F.col("_cents")}, [0.5], scale=100.0)["spent"][0]
+    low = F.col("total_spending") <= F.lit(median)
+    return features.drop("_cents").withColumn("churn", F.when(low, 1).otherwise(0))
+
+
+def _test_sizes(sizes: dict[int, int], test_share: float) -> dict[int, int]:
+    """Test rows per label: training rows are dealt in proportion, left-over ones to the largest fractions."""
+    total = sum(sizes.values())
+    train = total - math.ceil(test_share * total)
+    exact = {label: n * train / total for label, n in sizes.items()}
+    whole = {label: math.floor(x) for label, x in exact.items()}
+    spare = train - sum(whole.values())
+    by_rest = sorted(sizes, key=lambda label: (whole[label] - exact[label], label))
+    return {label: n - whole[label] - (label in by_rest[:spare]) for label, n in sizes.items()}
 
 
 def stratified_split(
@@ -56,32 +69,20 @@ def stratified_split(
     """Add ``is_test``: an exact ``test_share`` of the rows, with every label represented in proportion.
 
     Rows are taken by the smallest hash of (key, seed); the hash is one-to-one on a bigint key. The
-    cut-off per label is found by counting, not by sorting a label's rows in one task.
+    cut-off per label is found by counting, not by sorting a label's rows in one task. ``labelled`` is
+    read once per counting pass, so pass a materialized frame.
     """
     hashed = labelled.withColumn("_hash", F.xxhash64(F.col(key).cast("bigint"), F.lit(seed).cast("bigint")))
-    sizes = hashed.groupBy(F.col(label).alias("grp")).agg(F.count(F.lit(1)).alias("n"))
-    everyone = hashed.agg(F.count(F.lit(1))).scalar()
-    # Training rows per label: whole part first, left-over rows to the largest fractions.
-    total = F.col("total")
-    train = total - F.ceil(F.lit(test_share) * total)
-    exact = F.col("n").cast("double") * train / total
-    quota = (
-        sizes.withColumn("total", everyone)
-        .select("grp", "n", F.floor(exact).alias("whole"), (exact - F.floor(exact)).alias("rest"), train.alias("train"))
-    )
-    ranked = quota.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("rest")).alias("r"), "grp", "n", "whole"))).alias("labels"),
-        (F.max("train") - F.sum("whole")).alias("spare"),
-    )
-    test_sizes = ranked.select(F.posexplode("labels").alias("i", "q"), "spare").select(
-        "q.grp", (F.col("q.n") - F.col("q.whole") - F.when(F.col("i") < F.col("spare"), 1).otherwise(0)).alias("n_test")
-    )
-    last = test_sizes.filter("n_test > 0").select(
-        "grp", F.lit("cut").alias("target"), (F.col("n_test") - 1).cast("bigint").alias("position")
-    )
-    cuts = values_at_ranks(hashed.select(F.col(label).alias("grp"), F.col("_hash").alias("v")), last)
-    by_label = cuts.agg(F.map_from_entries(F.collect_list(F.struct("grp", "v")))).scalar()
-    is_test = F.coalesce(F.col("_hash") <= F.element_at(by_label, F.col(label)), F.lit(False))
+    rows = hashed.select(F.col(label).alias("grp"), F.col("_hash").alias("v"))
+    ranges = rows.groupBy("grp").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    ).collect()
+    tests = _test_sizes({r["grp"]: r["n"] for r in ranges}, test_share) if ranges else {}
+    last = {g: [n - 1] for g, n in tests.items() if n > 0}
+    cuts = values_at_ranks(rows, {r["grp"]: (r["lo"], r["hi"]) for r in ranges}, last)
+    is_test = F.lit(False)
+    for (g, _), cut in cuts.items():
+        is_test = is_test | ((F.col(label) == g) & (F.col("_hash") <= cut))
     return hashed.withColumn("is_test", is_test).drop("_hash")
 
 
@@ -128,9 +129,9 @@ def fit_churn(labelled: DataFrame, kind: str = "forest") -> ChurnModel:
 def train_and_test(tables: Tables, kind: str = "forest") -> tuple[ChurnModel, DataFrame]:
     """Fit on the training part; returns the model and one row of test metrics.
 
-    The labelled customers are written once to the checkpoint folder, so the orders are read once.
+    The features are in the checkpoint folder by then, so the orders are read once.
     """
-    split = materialize(stratified_split(churn_labels(tables)))
+    split = stratified_split(churn_labels(tables))
     model = fit_churn(split.filter(~F.col("is_test")), kind)
     tested = model.pipeline.transform(split.filter("is_test"))
     hit = F.when(F.col("prediction") == F.col("churn"), 1.0).otherwise(0.0)
@@ -150,7 +151,6 @@ def _fallback(features: DataFrame) -> Column:
 
 def score_churn(model: ChurnModel, features: DataFrame) -> DataFrame:
     """Add ``churn_probability`` to every customer in one pass."""
-    features = features.drop("_spending_key")
     if model.one_class:
         return features.withColumn("churn_probability", _fallback(features))
     scored = model.pipeline.transform(features)
@@ -160,7 +160,7 @@ def score_churn(model: ChurnModel, features: DataFrame) -> DataFrame:
 
 def fallback_risk(tables: Tables) -> DataFrame:
     """Every customer's score when the model knows one class only."""
-    features = churn_features(tables).drop("_spending_key")
+    features = churn_features(tables)
     return features.withColumn("churn_probability", _fallback(features))
 
 

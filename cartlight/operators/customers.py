@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cartlight.functions.money import average, cents_key, money
-from cartlight.functions.ranking import quantiles, top_k
+from cartlight.functions.ranking import exact_quantiles, top_k
 from cartlight.operators.common import CANCELLED, orders_by_customer
+from cartlight.session import materialize
 from cartlight.tables import Tables
 
 
@@ -34,25 +35,21 @@ def best_customer(tables: Tables, exclude_status: str | None = CANCELLED) -> Dat
 
 
 def spending_stats(tables: Tables, exclude_status: str | None = CANCELLED) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles of spending per customer."""
-    spent = _profiles(tables, exclude_status).select("spent_cents").filter("spent_cents is not null")
+    """Count, mean, sample deviation, extremes and exact quartiles of spending per customer.
+
+    The spending per customer is written once to the checkpoint folder; everything else reads that.
+    """
+    spent = materialize(_profiles(tables, exclude_status).select("spent_cents").filter("spent_cents is not null"))
+    cuts = exact_quantiles(spent, {"spent": cents_key(F.col("spent_cents"))}, [0.25, 0.5, 0.75], scale=100.0)["spent"]
     value = money(F.col("spent_cents"))
-    summary = spent.agg(
+    return spent.agg(
         F.count(F.lit(1)).alias("count"),
-        F.sum("spent_cents").alias("total"),
+        average(money(F.sum("spent_cents")), F.count(F.lit(1))).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
+        *[F.lit(cut).cast("double").alias(name) for name, cut in zip(("q25", "q50", "q75"), cuts)],
         F.max(value).alias("max"),
     )
-    cuts = quantiles(
-        spent, {"spent": cents_key(F.col("spent_cents"))}, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, scale=100.0
-    )
-    cut = cuts.select(F.struct("spent_q25", "spent_q50", "spent_q75")).scalar()
-    return summary.withColumn("cut", cut).select(
-        "count", average(money(F.col("total")), F.col("count")).alias("mean"), "std", "min",
-        F.col("cut.spent_q25").alias("q25"), F.col("cut.spent_q50").alias("q50"), F.col("cut.spent_q75").alias("q75"),
-        "max",
-    )
 
 
 def repeat_customers(
@@ -79,12 +76,12 @@ def high_value_customers(
     tables: Tables, quantile: float = 0.9, exclude_status: str | None = CANCELLED
 ) -> DataFrame:
     """Customers whose spending reaches the given quantile, with their share of the spending of all."""
-    profiles = _profiles(tables, exclude_status).filter("spent_cents is not null")
-    cut = quantiles(profiles, {"spent": cents_key(F.col("spent_cents"))}, {"cut": quantile}, scale=100.0).scalar()
+    profiles = materialize(_profiles(tables, exclude_status).filter("spent_cents is not null"))
+    cut = exact_quantiles(profiles, {"spent": cents_key(F.col("spent_cents"))}, [quantile], scale=100.0)["spent"][0]
     everything = profiles.agg(money(F.sum("spent_cents"))).scalar()
     return (
         _shaped(profiles)
-        .filter(F.col("total_spending") >= cut)
+        .filter(F.col("total_spending") >= F.lit(cut))
         .select(
             "customer_id", "customer_name", "total_spending",
             F.try_divide("total_spending", everything).alias("revenue_share"),
