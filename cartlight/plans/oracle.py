@@ -240,9 +240,8 @@ _QUERIES = {
         FROM s_items i JOIN s_orders USING (order_id) JOIN s_products p ON i.product_id = p.product_id
         WHERE quantity > 0""",
     "dedup_load": """SELECT order_id, customer_id, order_date, order_status, total_amount FROM s_orders""",
-    "upsert_latest": """SELECT product_id, product_name, category_id,
-        CASE WHEN product_id % 3 = 0 THEN price * 2 ELSE price END AS price, stock_quantity, brand, rating
-        FROM s_products WHERE product_id % 5 <> 0""",
+    "upsert_latest": """SELECT product_id, product_name, category_id, price * 2 AS price, stock_quantity, brand,
+        rating FROM s_products WHERE stock_quantity > 5""",
     # roadmap
     "rfm_scores": """SELECT customer_id, recency, frequency, monetary,
         CAST(6 - r AS INTEGER) AS r_score, CAST(f AS INTEGER) AS f_score, CAST(m AS INTEGER) AS m_score,

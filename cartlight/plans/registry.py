@@ -43,15 +43,15 @@ def _dedup_load(tables: Tables) -> DataFrame:
 
 
 def _upsert_latest(tables: Tables) -> DataFrame:
-    """Products after two price changes for every third one and a deletion of every fifth one."""
+    """All products after two price changes each and the deletion of the scarce ones."""
     def change(rows: DataFrame, factor: float, version: int, gone: bool) -> DataFrame:
         return rows.withColumn("price", F.col("price") * factor).withColumn(
             "version", F.lit(version)).withColumn("gone", F.lit(gone))
 
     products = tables.products
-    third, fifth = products.filter("product_id % 3 = 0"), products.filter("product_id % 5 = 0")
-    changes = change(third, 3.0, 1, False).unionByName(change(third, 2.0, 2, False)).unionByName(
-        change(fifth, 1.0, 3, True))
+    scarce = products.filter(F.col("stock_quantity") <= 5)
+    changes = change(products, 3.0, 1, False).unionByName(change(products, 2.0, 2, False)).unionByName(
+        change(scarce, 1.0, 3, True))
     return ingest.upsert_by_key(products, changes, ["product_id"], "version", "gone")
 
 
