@@ -1,0 +1,94 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cartlight.functions.money import cents_sum, money_sum
+from cartlight.functions.ranking import dense_index, exact_quantiles, top_k_per, values_at_ranks
+from cartlight.operators.churn import _test_sizes, stratified_split
+
+
+@pytest.mark.parametrize("spread", [3, 10**4, 2**45, 2**62])
+def test_quantiles_match_sorting(spark, spread):
+    draw = random.Random(spread)
+    numbers = [draw.randint(-spread, spread) for _ in range(997)] + [0] * 500  # a third share one value
+    df = spark.createDataFrame([(n,) for n in numbers], "v bigint").repartition(5)
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = exact_quantiles(df, {"v": F.col("v")}, probabilities)["v"]
+    ordered = sorted(numbers)
+    for p, q in zip(probabilities, got):
+        spot = p * (len(ordered) - 1)
+        low, high = float(ordered[math.floor(spot)]), float(ordered[math.ceil(spot)])
+        assert q == low + (high - low) * (spot - math.floor(spot))
+
+
+def test_quantiles_of_several_columns(spark):
+    rows = [(i, (i * 7919) % 1000 + 10**12, None if i % 3 else i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, c bigint")
+    got = exact_quantiles(df, {c: F.col(c) for c in "abc"}, [0.25, 0.5])
+    for index, name in enumerate("abc"):
+        column = [r[index] for r in rows if r[index] is not None]
+        assert got[name] == pytest.approx(list(np.quantile(column, [0.25, 0.5])), rel=1e-15)
+
+
+def test_quantiles_of_nothing_and_one(spark):
+    none = spark.createDataFrame([], "v bigint")
+    assert exact_quantiles(none, {"v": F.col("v")}, [0.5]) == {"v": [None]}
+    one = spark.createDataFrame([(42,)], "v bigint")
+    assert exact_quantiles(one, {"v": F.col("v")}, [0.1, 0.5]) == {"v": [42.0, 42.0]}
+
+
+def test_ranks_per_group(spark):
+    draw = random.Random(1)
+    rows = [(g, draw.randint(-2**63, 2**63 - 1)) for g in (0, 1) for _ in range(300 + 200 * g)]
+    df = spark.createDataFrame(rows, "grp int, v bigint")
+    ordered = {g: sorted(v for h, v in rows if h == g) for g in (0, 1)}
+    bounds = {g: (vs[0], vs[-1]) for g, vs in ordered.items()}
+    wanted = {0: [0, 17, 299], 1: [250, 499]}
+    got = values_at_ranks(df, bounds, wanted)
+    assert got == {(g, p): ordered[g][p] for g, places in wanted.items() for p in places}
+
+
+def test_dense_index(spark):
+    df = spark.range(1000).withColumn("x", (F.col("id") * 37) % 1000).repartition(7)
+    got = dense_index(df, "place", [F.desc("x")]).collect()
+    assert sorted(r["place"] for r in got) == list(range(1000))
+    assert all(r["place"] == 999 - r["x"] for r in got)
+    assert sorted(r["n"] for r in dense_index(df, "n").collect()) == list(range(1000))
+
+
+def test_top_k_per_key(spark):
+    df = spark.createDataFrame([(k, v) for k in "aab" for v in range(9)], "k string, v int")
+    got = top_k_per(df, "k", 3, [F.desc("v")]).collect()
+    assert Counter(r["k"] for r in got) == {"a": 3, "b": 3}
+    plan = top_k_per(df, "k", 3, [F.desc("v")])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_money_is_exact_in_any_order(spark):
+    amounts = [0.1] * 1000 + [1e12 + 0.01] * 1000 + [-0.07] * 500
+    for parts in (1, 3, 8):
+        df = spark.createDataFrame([(a,) for a in amounts], "a double").repartition(parts)
+        assert df.agg(money_sum(F.col("a"))).first()[0] == 1000000000000075.0
+    huge = spark.range(0, 2000).select(F.lit(9e16).alias("a"))
+    assert int(huge.agg(cents_sum(F.col("a"))).first()[0]) == 2000 * 9 * 10**18
+    assert spark.createDataFrame([], "a double").agg(money_sum(F.col("a"))).first()[0] is None
+
+
+def test_test_sizes():
+    assert _test_sizes({0: 5, 1: 5}, 0.2) == {0: 1, 1: 1}
+    assert _test_sizes({1: 10}, 0.2) == {1: 2}
+    assert sum(_test_sizes({0: 7, 1: 12}, 0.2).values()) == 4
+
+
+def test_split_is_exact_and_stable(spark):
+    df = spark.range(1003).select(F.col("id").alias("customer_id"), (F.col("id") % 3 == 0).cast("int").alias("churn"))
+    first = stratified_split(df).filter("is_test")
+    again = stratified_split(df.repartition(9)).filter("is_test")
+    assert first.count() == math.ceil(0.2 * 1003)
+    assert {r["customer_id"] for r in first.collect()} == {r["customer_id"] for r in again.collect()}
+    other = stratified_split(df, seed=7).filter("is_test")
+    assert {r["customer_id"] for r in other.collect()} != {r["customer_id"] for r in first.collect()}
