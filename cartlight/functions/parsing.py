@@ -16,13 +16,12 @@ def iso_date(text: Column) -> Column:
 
 
 def whole_number(text: Column) -> Column:
-    """A whole number with optional sign; '5.0' and 'x' are not whole numbers."""
-    trimmed = F.trim(text)
-    return F.when(trimmed.rlike(r"^[+-]?\d+$"), trimmed.try_cast("bigint"))
+    """A whole number with optional sign and spaces around it; '5.0' and 'x' are not whole numbers."""
+    return text.try_cast("bigint")
 
 
 def number(text: Column) -> Column:
-    return F.trim(text).try_cast("double")
+    return text.try_cast("double")
 
 
 def month_label(day: Column) -> Column:

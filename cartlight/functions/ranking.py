@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cartlight.session import materialize
 
 # Bits of a value located per pass: one histogram has at most 2^20 rows per wanted rank, whatever the
-# size of the table.
+# size of the table. Once that many rows or fewer are left, their values are counted directly.
 _DIGIT_BITS = 20
+_FEW_ROWS = 1 << _DIGIT_BITS
 
 
 def top_k(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -29,24 +30,25 @@ def top_k_per(df: DataFrame, key: str | list[str], n: int, order: Sequence[Colum
 
 
 def values_at_ranks(
-    rows: DataFrame, bounds: dict[Any, tuple[int, int]], wanted: dict[Any, list[int]]
+    rows: DataFrame, extent: dict[Any, tuple[int, int, int]], wanted: dict[Any, list[int]]
 ) -> dict[tuple[Any, int], int]:
     """Exact order statistics by histogram refinement.
 
-    ``rows``: (grp, v bigint), read once per pass, so pass a materialized frame. ``bounds``: lowest
-    and highest v per group. ``wanted``: 0-based positions per group. Groups and positions are a
-    handful. Returns the value for each (group, position).
+    ``rows``: (grp, v bigint), read once per pass, so pass a materialized frame. ``extent``: number of
+    rows, lowest and highest v per group. ``wanted``: 0-based positions per group. Groups and
+    positions are a handful. Returns the value for each (group, position).
 
     Each pass counts the values per digit (pre-aggregated in the map tasks), finds the digit that
     holds the wanted position, and narrows the next pass to that digit. No sort of the table, and a
     value shared by a third of the rows is just one large count. Only the found digits, one row per
     wanted position, come to the driver.
     """
-    bits = max((64 if (lo ^ hi) < 0 else (lo ^ hi).bit_length() for lo, hi in bounds.values()), default=0)
+    bits = max((64 if (lo ^ hi) < 0 else (lo ^ hi).bit_length() for _, lo, hi in extent.values()), default=0)
+    left = max((n for n, _, _ in extent.values()), default=0)
     # (group, position) -> [digits found so far, position within them]; None before the first pass
     state: dict[tuple[Any, int], list] = {(g, p): [None, p] for g, places in wanted.items() for p in places}
     while state:
-        step = max(bits - _DIGIT_BITS, 0)
+        step = 0 if left <= _FEW_ROWS else max(bits - _DIGIT_BITS, 0)
         narrowed = rows
         prefix = F.lit(0)
         if any(found is not None for found, _ in state.values()):
@@ -71,12 +73,18 @@ def values_at_ranks(
                 if hit["grp"] == g and found in (None, hit["prefix"]) and before <= place < hit["upto"]:
                     entry[:] = [hit["digit"], place - before]
                     break
-        bits = step
+        bits, left = step, max(hit["n"] for hit in hits)
         if bits == 0:
             break
     return {key: found for key, (found, _) in state.items()}
 
 
+def extents(rows: DataFrame) -> dict[Any, tuple[int, int, int]]:
+    """Number of rows, lowest and highest v of the few groups of (grp, v)."""
+    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return {r["grp"]: (r["n"], r["lo"], r["hi"]) for r in sizes.collect()}
+
+
 def _any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -91,17 +99,12 @@ def exact_quantiles(
     """
     columns = F.array(*[F.struct(F.lit(name).alias("grp"), value.alias("v")) for name, value in values.items()])
     rows = df.select(F.explode(columns).alias("c")).select("c.grp", "c.v").filter(F.col("v").isNotNull())
-    sizes = {
-        r["grp"]: r
-        for r in rows.groupBy("grp").agg(
-            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        ).collect()
-    }
-    spots = {name: [p * (r["n"] - 1) for p in probabilities] for name, r in sizes.items()}
+    extent = extents(rows)
+    spots = {name: [p * (n - 1) for p in probabilities] for name, (n, _, _) in extent.items()}
     wanted = {
         name: sorted({place for s in at for place in (math.floor(s), math.ceil(s))}) for name, at in spots.items()
     }
-    found = values_at_ranks(rows, {name: (r["lo"], r["hi"]) for name, r in sizes.items()}, wanted)
+    found = values_at_ranks(rows, extent, wanted)
 
     def at(name: str, spot: float) -> float:
         low, high = found[name, math.floor(spot)] / scale, found[name, math.ceil(spot)] / scale

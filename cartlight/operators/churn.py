@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cartlight.functions.money import average, cents, money
-from cartlight.functions.ranking import exact_quantiles, top_k, values_at_ranks
+from cartlight.functions.ranking import exact_quantiles, extents, top_k, values_at_ranks
 from cartlight.operators.common import kept_orders, orders_by_customer
 from cartlight.session import materialize
 from cartlight.tables import Tables
@@ -54,6 +54,8 @@ def churn_labels(tables: Tables, exclude_status: str | None = None) -> DataFrame
 def _test_sizes(sizes: dict[int, int], test_share: float) -> dict[int, int]:
     """Test rows per label: training rows are dealt in proportion, left-over ones to the largest fractions."""
     total = sum(sizes.values())
+    if total == 0:
+        return {}
     train = total - math.ceil(test_share * total)
     exact = {label: n * train / total for label, n in sizes.items()}
     whole = {label: math.floor(x) for label, x in exact.items()}
@@ -74,12 +76,9 @@ def stratified_split(
     """
     hashed = labelled.withColumn("_hash", F.xxhash64(F.col(key).cast("bigint"), F.lit(seed).cast("bigint")))
     rows = hashed.select(F.col(label).alias("grp"), F.col("_hash").alias("v"))
-    ranges = rows.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    ).collect()
-    tests = _test_sizes({r["grp"]: r["n"] for r in ranges}, test_share) if ranges else {}
-    last = {g: [n - 1] for g, n in tests.items() if n > 0}
-    cuts = values_at_ranks(rows, {r["grp"]: (r["lo"], r["hi"]) for r in ranges}, last)
+    extent = extents(rows)
+    tests = _test_sizes({g: n for g, (n, _, _) in extent.items()}, test_share)
+    cuts = values_at_ranks(rows, extent, {g: [n - 1] for g, n in tests.items() if n > 0})
     is_test = F.lit(False)
     for (g, _), cut in cuts.items():
         is_test = is_test | ((F.col(label) == g) & (F.col("_hash") <= cut))
@@ -142,17 +141,22 @@ def train_and_test(tables: Tables, kind: str = "forest") -> tuple[ChurnModel, Da
     return model, metrics
 
 
-def _fallback(features: DataFrame) -> Column:
-    """1 - spending / highest spending, held within 0..1; 1 where nobody has spent anything."""
+def _with_fallback(features: DataFrame) -> DataFrame:
+    """1 - spending / highest spending, held within 0..1; 1 where nobody has spent anything.
+
+    The features are read twice, so they are written once to the checkpoint folder.
+    """
+    features = materialize(features)
     highest = features.agg(F.max("total_spending")).scalar()
     ratio = F.lit(1.0) - F.try_divide("total_spending", highest)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(ratio, F.lit(1.0))))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(ratio, F.lit(1.0))))
+    return features.withColumn("churn_probability", score)
 
 
 def score_churn(model: ChurnModel, features: DataFrame) -> DataFrame:
     """Add ``churn_probability`` to every customer in one pass."""
     if model.one_class:
-        return features.withColumn("churn_probability", _fallback(features))
+        return _with_fallback(features)
     scored = model.pipeline.transform(features)
     probability = vector_to_array("probability")[1]
     return scored.select(*features.columns, probability.alias("churn_probability"))
@@ -160,8 +164,7 @@ def score_churn(model: ChurnModel, features: DataFrame) -> DataFrame:
 
 def fallback_risk(tables: Tables) -> DataFrame:
     """Every customer's score when the model knows one class only."""
-    features = churn_features(tables)
-    return features.withColumn("churn_probability", _fallback(features))
+    return _with_fallback(churn_features(tables))
 
 
 def top_risk(scored: DataFrame, n: int = 5) -> DataFrame:

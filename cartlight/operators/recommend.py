@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cartlight.functions.money import money
 from cartlight.functions.ranking import dense_index, top_k, top_k_per
 from cartlight.operators.common import orders_by_customer
+from cartlight.session import materialize
 from cartlight.tables import Tables
 
 _CARD = ["product_name", "price", "category_name"]
@@ -33,18 +34,20 @@ def top_spender(tables: Tables) -> DataFrame:
 
 
 def purchases(tables: Tables, orders: DataFrame | None = None) -> DataFrame:
-    """Distinct (customer_id, product_id)."""
+    """(customer_id, product_id) of every order item; repeat purchases repeat."""
     buyers = (tables.orders if orders is None else orders).select("order_id", "customer_id")
     return (
         tables.order_items.select("order_id", "product_id")
         .join(buyers, "order_id")
         .select("customer_id", "product_id")
-        .distinct()
     )
 
 
 def _bought_categories(tables: Tables, bought: DataFrame) -> DataFrame:
-    """One row per customer and category: ``only_product`` is set where it is the single product bought there."""
+    """One row per customer and category: ``only_product`` is set where it is the single product bought there.
+
+    Lowest and highest product tell that without a distinct, and both are pre-aggregated in the map tasks.
+    """
     links = tables.products.select("product_id", "category_id")
     first, last = F.min("product_id"), F.max("product_id")
     return (
@@ -137,13 +140,11 @@ def recommendations(tables: Tables, n: int = 5) -> DataFrame:
 
 def reco_with_fallback(tables: Tables, n: int = 5) -> DataFrame:
     """Siblings for every customer; customers without any get the popular products."""
-    siblings = _siblings(tables, purchases(tables), n).select("customer_id", "rank", *_CARD)
+    siblings = _siblings(tables, purchases(tables), n).select("customer_id", F.struct("rank", *_CARD).alias("own"))
     popular = reco_popular(tables, n).agg(F.collect_list(F.struct("rank", *_CARD))).scalar()
-    missing = tables.customers.select("customer_id").join(
-        siblings.filter("rank = 1").select("customer_id"), "customer_id", "left_anti"
-    )
-    filled = missing.select("customer_id", F.explode(popular).alias("p")).select("customer_id", "p.*")
-    return siblings.unionByName(filled)
+    everyone = tables.customers.select("customer_id").join(siblings, "customer_id", "full")
+    shown = F.when(F.col("own").isNull(), popular).otherwise(F.array("own"))
+    return everyone.select("customer_id", F.explode(shown).alias("p")).select("customer_id", "p.*")
 
 
 def history_pairs(tables: Tables, customer_id: int | None = None, n: int = 5) -> DataFrame:
@@ -153,7 +154,7 @@ def history_pairs(tables: Tables, customer_id: int | None = None, n: int = 5) ->
     """
     orders = tables.orders if customer_id is None else tables.orders.filter(F.col("customer_id") == customer_id)
     details = tables.products.select("product_id", "product_name", "category_id")
-    bought = purchases(tables, orders).join(details, "product_id").filter("category_id is not null")
+    bought = purchases(tables, orders).distinct().join(details, "product_id").filter("category_id is not null")
     several = (
         bought.groupBy("customer_id", "category_id")
         .agg(F.min("product_id").alias("lo"), F.max("product_id").alias("hi"))
@@ -175,10 +176,10 @@ def reco_unseen(tables: Tables, n: int = 5, block: int = 1024) -> DataFrame:
     best_first = [F.desc("best_rating"), F.desc("price"), F.asc("product_name")]
     placed = dense_index(_cards(tables), "position", [F.asc("category_id"), *best_first])
     starts = placed.groupBy("category_id").agg(F.min("position").alias("start"))
-    cards = placed.join(starts, "category_id").select(
+    cards = materialize(placed.join(starts, "category_id").select(
         "category_id", (F.col("position") - F.col("start") + 1).alias("place"),
         *_CARD, F.col("best_rating").alias("rating"),
-    )
+    ))
     numbered = tables.products.select("product_id", "category_id", "product_name", "price").alias("p").join(
         cards.alias("c"),
         (F.col("p.category_id") == F.col("c.category_id"))
@@ -186,7 +187,9 @@ def reco_unseen(tables: Tables, n: int = 5, block: int = 1024) -> DataFrame:
         & F.col("p.price").eqNullSafe(F.col("c.price")),
     ).select("p.product_id", "p.category_id", "c.place")
     key = ["customer_id", "category_id"]
-    owned = purchases(tables).join(numbered, "product_id").select(*key, "place").distinct()
+    # Read twice below; the null filter makes both readings the same plan, so the exchange is reused.
+    known = F.col("customer_id").isNotNull() & F.col("category_id").isNotNull() & F.col("place").isNotNull()
+    owned = purchases(tables).join(numbered, "product_id").select(*key, "place").filter(known).distinct()
     # Ask for places 1 .. n + b, in blocks, so that a large b is spread over many tasks.
     asked = (
         owned.groupBy(*key).agg((F.count(F.lit(1)) + n).alias("last"))

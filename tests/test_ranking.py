@@ -6,13 +6,16 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cartlight.functions import ranking
 from cartlight.functions.money import cents_sum, money_sum
-from cartlight.functions.ranking import dense_index, exact_quantiles, top_k_per, values_at_ranks
+from cartlight.functions.ranking import dense_index, exact_quantiles, extents, top_k_per, values_at_ranks
 from cartlight.operators.churn import _test_sizes, stratified_split
 
 
+@pytest.mark.parametrize("few_rows", [0, 100, 1 << 20])
 @pytest.mark.parametrize("spread", [3, 10**4, 2**45, 2**62])
-def test_quantiles_match_sorting(spark, spread):
+def test_quantiles_match_sorting(spark, monkeypatch, spread, few_rows):
+    monkeypatch.setattr(ranking, "_FEW_ROWS", few_rows)  # 0: every digit is located in its own pass
     draw = random.Random(spread)
     numbers = [draw.randint(-spread, spread) for _ in range(997)] + [0] * 500  # a third share one value
     df = spark.createDataFrame([(n,) for n in numbers], "v bigint").repartition(5)
@@ -46,9 +49,9 @@ def test_ranks_per_group(spark):
     rows = [(g, draw.randint(-2**63, 2**63 - 1)) for g in (0, 1) for _ in range(300 + 200 * g)]
     df = spark.createDataFrame(rows, "grp int, v bigint")
     ordered = {g: sorted(v for h, v in rows if h == g) for g in (0, 1)}
-    bounds = {g: (vs[0], vs[-1]) for g, vs in ordered.items()}
+    assert extents(df) == {g: (len(vs), vs[0], vs[-1]) for g, vs in ordered.items()}
     wanted = {0: [0, 17, 299], 1: [250, 499]}
-    got = values_at_ranks(df, bounds, wanted)
+    got = values_at_ranks(df, extents(df), wanted)
     assert got == {(g, p): ordered[g][p] for g, places in wanted.items() for p in places}
 
 
