@@ -38,6 +38,11 @@ def average(total: Column, count: Column) -> Column:
     return F.try_divide(total, count)
 
 
+def money_text(amount: Column) -> Column:
+    """An amount as text with two decimals, for display."""
+    return F.format_string("%.2f", amount)
+
+
 def cents_key(total_cents: Column) -> Column:
     """Cents as a bigint for ranking; totals beyond bigint sort as the largest value."""
     largest = F.lit(9223372036854775807)

@@ -29,6 +29,14 @@ def top_k_per(df: DataFrame, key: str | list[str], n: int, order: Sequence[Colum
     )
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has few enough rows, otherwise as it is.
+
+    Counts the rows, so pass a materialized frame.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def values_at_ranks(
     rows: DataFrame, extent: dict[Any, tuple[int, int, int]], wanted: dict[Any, list[int]]
 ) -> dict[tuple[Any, int], int]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cartlight.functions.money import money
-from cartlight.functions.ranking import dense_index, top_k, top_k_per
+from cartlight.functions.ranking import broadcast_if_small, dense_index, top_k, top_k_per
 from cartlight.operators.common import orders_by_customer
 from cartlight.session import materialize
 from cartlight.tables import Tables
@@ -81,15 +81,16 @@ def _siblings(tables: Tables, bought: DataFrame, n: int) -> DataFrame:
 
     Every product of a category is a sibling of some bought one, except a product that is the only
     one bought there. So at most one card of a category drops or loses rank for a customer, and the
-    n + 1 best cards of each category are enough for the n best of any customer.
+    n + 1 best cards of each category are enough for the n best of any customer. That list has n + 1
+    rows per category; it is counted and broadcast if small, which spares a shuffle on the category.
     """
-    leaders = top_k_per(
+    leaders = materialize(top_k_per(
         _cards(tables), "category_id", n + 1, [F.desc("best_rating"), F.desc("price"), F.asc("product_name")], "place"
-    ).drop("place")
+    ).drop("place"))
     left_out = F.coalesce(F.col("only_product") == F.col("best_product"), F.lit(False))
     candidates = (
         _bought_categories(tables, bought)
-        .join(leaders, "category_id")
+        .join(broadcast_if_small(leaders), "category_id")
         .filter(~left_out | (F.col("copies") > 1))
         .select(
             "customer_id", *_CARD,

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 # The shop tables over the star schema, spelled in SQL.
 _TABLES = {
-    "s_categories": """SELECT row_number() OVER (ORDER BY p_type) AS category_id, p_type AS category_name
-        FROM (SELECT DISTINCT p_type FROM part)""",
+    "s_categories": """SELECT DISTINCT CAST('0x' || substr(md5(p_type), 1, 15) AS BIGINT) AS category_id,
+        p_type AS category_name FROM part WHERE p_type IS NOT NULL""",
     "s_customers": """SELECT c_custkey AS customer_id, c_name AS customer_name,
         'c' || c_custkey || '@example.com' AS email, CAST(NULL AS VARCHAR) AS phone,
         n_name AS city, r_name AS state, 'India' AS country, CAST(NULL AS DATE) AS registration_date,

@@ -46,6 +46,24 @@ def test_scans_read_only_what_is_needed(spark):
     assert "o_orderkey:bigint,o_orderstatus:string" in schemas
 
 
+def test_filters_reach_the_scan(spark, seed, tmp_path):
+    from cartlight.operators import kpi, recommend, sales
+    from cartlight.sources import store
+
+    for name in seed.names():
+        store.append(getattr(seed, name), str(tmp_path), name)
+    stored = store.read_store(spark, str(tmp_path))
+
+    def text(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "Not(EqualTo(order_status,Cancelled))" in text(kpi.total_revenue(stored))
+    assert "Not(EqualTo(order_status,Cancelled))" in text(sales.top_products(stored))
+    assert "LessThanOrEqual(stock_quantity,30)" in text(sales.low_stock(stored))
+    assert "EqualTo(customer_id,1)" in text(recommend.history_pairs(stored, customer_id=1))
+    assert "ReadSchema: struct<order_id:bigint,order_status:string>" in text(sales.top_products(stored))
+
+
 def test_one_pass_over_orders_for_the_dashboard(spark):
     text = plan(spark, "dashboard_kpis")
     assert len(re.findall(r"ReadSchema: struct<[^>]*o_totalprice", text)) == 1
