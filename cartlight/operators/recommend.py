@@ -156,23 +156,26 @@ def history_pairs(tables: Tables, customer_id: int | None = None, n: int = 5) ->
     orders = tables.orders if customer_id is None else tables.orders.filter(F.col("customer_id") == customer_id)
     details = tables.products.select("product_id", "product_name", "category_id")
     bought = purchases(tables, orders).distinct().join(details, "product_id").filter("category_id is not null")
+    key = ["customer_id", "category_id"]
     several = (
-        bought.groupBy("customer_id", "category_id")
+        bought.groupBy(*key)
         .agg(F.min("product_id").alias("lo"), F.max("product_id").alias("hi"))
-        .filter("lo < hi").select("customer_id", "category_id")
+        .filter("lo < hi").select(*key)
     )
-    names = bought.join(several, ["customer_id", "category_id"], "left_semi").select(
-        "customer_id", "product_name"
-    ).distinct()
-    return top_k_per(names, "customer_id", n, [F.asc("product_name")])
+    # The first n names of a category hold every name it can add to the first n of the customer.
+    by_name = [F.asc("product_name")]
+    first_names = top_k_per(bought.select(*key, "product_name").distinct(), key, n, by_name).drop("rank")
+    names = first_names.join(several, key).select("customer_id", "product_name")
+    return top_k_per(names.repartition("customer_id").distinct(), "customer_id", n, by_name)
 
 
-def reco_unseen(tables: Tables, n: int = 5, block: int = 1024) -> DataFrame:
+def reco_unseen(tables: Tables, n: int = 5, near: int = 64, block: int = 1024) -> DataFrame:
     """The n best cards of a customer's categories that the customer has not bought, for every customer.
 
     Cards are numbered 1, 2, 3, ... within their category from best to worst. A customer with b
     bought cards in a category finds n unseen ones among the first n + b numbers, so the numbers
-    asked for grow with the purchases, never with customers x catalogue.
+    asked for grow with the purchases, never with customers x catalogue. Where n plus the bought
+    cards among the first ``near`` numbers stays within ``near``, that many numbers are enough.
     """
     best_first = [F.desc("best_rating"), F.desc("price"), F.asc("product_name")]
     placed = dense_index(_cards(tables), "position", [F.asc("category_id"), *best_first])
@@ -191,9 +194,14 @@ def reco_unseen(tables: Tables, n: int = 5, block: int = 1024) -> DataFrame:
     # Read twice below; the null filter makes both readings the same plan, so the exchange is reused.
     known = F.col("customer_id").isNotNull() & F.col("category_id").isNotNull() & F.col("place").isNotNull()
     owned = purchases(tables).join(numbered, "product_id").select(*key, "place").filter(known).distinct()
-    # Ask for places 1 .. n + b, in blocks, so that a large b is spread over many tasks.
+    # Ask for places 1 .. last, in blocks, so that a long list is spread over many tasks.
     asked = (
-        owned.groupBy(*key).agg((F.count(F.lit(1)) + n).alias("last"))
+        owned.groupBy(*key)
+        .agg(
+            (F.count(F.lit(1)) + n).alias("last"),
+            (F.count(F.when(F.col("place") <= near, 1)) + n).alias("near_last"),
+        )
+        .select(*key, F.when(F.col("near_last") <= near, F.col("near_last")).otherwise(F.col("last")).alias("last"))
         .select(*key, "last", F.explode(F.expr(f"sequence(0L, (last - 1) div {block})")).alias("block"))
         .repartition(*key, "block")
         .select(*key, F.explode(F.expr(f"sequence(block * {block} + 1, least((block + 1) * {block}, last))")).alias("place"))

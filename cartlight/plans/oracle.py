@@ -239,6 +239,14 @@ _QUERIES = {
         price AS unit_price, price * quantity AS total_amount
         FROM s_items i JOIN s_orders USING (order_id) JOIN s_products p ON i.product_id = p.product_id
         WHERE quantity > 0""",
+    "ingest_customers": """SELECT customer_name, email, '' AS phone, city, state, 'India' AS country, '' AS gender,
+        CAST(NULL AS INTEGER) AS age FROM s_customers WHERE state NOT IN ('ASIA', 'AFRICA')""",
+    "ingest_products": """SELECT product_name, category_id, CASE WHEN stock_quantity < 5 THEN 0 ELSE price END AS price,
+        stock_quantity, brand, rating FROM s_products WHERE brand <> 'Brand#1'""",
+    "surrogate_keys": """SELECT new_rows, top + 1 AS first_id, top + new_rows AS last_id, new_rows AS distinct_ids
+        FROM (SELECT count(*) AS new_rows FROM s_items), (SELECT max(order_id) AS top FROM s_orders)""",
+    "typed_orders": """SELECT order_id, customer_id, order_date, order_status, total_amount FROM s_orders
+        WHERE order_status <> 'Cancelled'""",
     "dedup_load": """SELECT order_id, customer_id, order_date, order_status, total_amount FROM s_orders""",
     "upsert_latest": """SELECT product_id, product_name, category_id, price * 2 AS price, stock_quantity, brand,
         rating FROM s_products WHERE stock_quantity > 5""",

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cartlight.operators import (
     churn, customers, forecast, ingest, kpi, recommend, sales, segments, views,
 )
-from cartlight.session import checkpoint_folder
+from cartlight.session import checkpoint_folder, prepare
+from cartlight.sources import store
 from cartlight.sources.starschema import event_schema, scan, shop_tables
 from cartlight.streaming import realtime
 from cartlight.tables import Tables
@@ -35,6 +36,51 @@ def _order_pricing(tables: Tables) -> DataFrame:
     return ingest.priced_orders(_order_requests(tables), tables)[0]
 
 
+def _ingest_customers(tables: Tables) -> DataFrame:
+    """Every customer as a form, twice, over a store that knows Asia already; Africa forgot the e-mail."""
+    people = tables.customers
+    blank = F.lit(None).cast("string")
+    forms = people.select(
+        F.col("customer_id").alias("arrival"),
+        F.concat(F.lit("  "), "customer_name", F.lit(" ")).alias("customer_name"),
+        F.when(F.col("state") == "AFRICA", " ").otherwise(F.col("email")).alias("email"),
+        blank.alias("phone"), "city", "state", blank.alias("country"), blank.alias("gender"), F.lit("").alias("age"),
+    )
+    later = forms.withColumn("arrival", F.col("arrival") + 10**12).withColumn("customer_name", F.lit("too late"))
+    stored = tables.replace(customers=people.filter("state = 'ASIA'"))
+    return ingest.ingest_customers(forms.unionByName(later), stored)[0].drop("customer_id", "registration_date")
+
+
+def _ingest_products(tables: Tables) -> DataFrame:
+    """Every product as a form; scarce ones without price, one brand without names."""
+    products = tables.products
+    forms = products.select(
+        F.when(products.brand == "Brand#1", "").otherwise(products.product_name).alias("product_name"),
+        products.category_id.cast("string").alias("category_id"),
+        F.when(products.stock_quantity < 5, " ").otherwise(products.price.cast("string")).alias("price"),
+        products.stock_quantity.cast("string").alias("stock_quantity"),
+        F.concat("brand", F.lit(" ")).alias("brand"),
+        products.rating.cast("string").alias("rating"),
+    )
+    return ingest.ingest_products(forms, tables)[0].drop("product_id")
+
+
+def _surrogate_keys(tables: Tables) -> DataFrame:
+    """New order ids for as many rows as there are order items."""
+    rows = ingest.with_new_ids(tables.order_items.select("product_id"), "order_id", tables.orders)
+    return rows.agg(
+        F.count(F.lit(1)).alias("new_rows"), F.min("order_id").alias("first_id"),
+        F.max("order_id").alias("last_id"), F.countDistinct("order_id").alias("distinct_ids"),
+    )
+
+
+def _typed_orders(tables: Tables) -> DataFrame:
+    """Every order as text, cancelled ones with a date that does not parse; the rows that type."""
+    text = tables.orders.select(*[F.col(c).cast("string") for c in tables.orders.columns])
+    day = F.when(F.col("order_status") == "Cancelled", "unknown").otherwise(F.concat("order_date", F.lit(" 10:00")))
+    return store.typed(text.withColumn("order_date", day), "orders")[0]
+
+
 def _dedup_load(tables: Tables) -> DataFrame:
     """All orders loaded twice over a store that already holds the delivered ones."""
     stored = tables.orders.filter("order_status = 'Delivered'")
@@ -119,6 +165,7 @@ def queries() -> dict[str, Query]:
         "churn_split_counts": churn.churn_split_counts,
         "churn_model_metrics": lambda tables: churn.train_and_test(tables)[1],
         "churn_scores": _churn_scores,
+        "churn_model_top5": lambda tables: churn.top_risk(_churn_scores(tables)),
         "churn_boosted_metrics": lambda tables: churn.train_and_test(tables, "boosted")[1],
         "churn_fallback_risk": churn.fallback_risk,
         "churn_top5": lambda tables: churn.top_risk(churn.fallback_risk(tables)),
@@ -140,6 +187,10 @@ def queries() -> dict[str, Query]:
         "reco_unseen": recommend.reco_unseen,
         # ingest
         "order_pricing": _order_pricing,
+        "ingest_customers": _ingest_customers,
+        "ingest_products": _ingest_products,
+        "surrogate_keys": _surrogate_keys,
+        "typed_orders": _typed_orders,
         "dedup_load": _dedup_load,
         "upsert_latest": _upsert_latest,
         # roadmap
@@ -150,6 +201,7 @@ def queries() -> dict[str, Query]:
         "inventory_alerts": segments.inventory_alerts,
     }
     registered = {name: _over_shop(job) for name, job in over_shop.items()}
-    registered["realtime_sales_batch"] = lambda spark, folder: realtime.daily_revenue(scan(spark, folder, "events"))
+    registered["realtime_sales_batch"] = lambda spark, folder: realtime.daily_revenue(
+        scan(prepare(spark), folder, "events"))
     registered["realtime_sales_stream"] = _sales_stream
     return registered

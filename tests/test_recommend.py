@@ -100,8 +100,8 @@ def test_unseen_matches_plain_definition(tables, rows):
                 put(cards, (name, price, names[category]), rating)
         if cards:
             expected[who] = best_five(cards)
-    for block in (2, 1024):
-        assert by_customer(recommend.reco_unseen(tables, block=block)) == expected
+    for near, block in ((64, 1024), (7, 2), (0, 2)):
+        assert by_customer(recommend.reco_unseen(tables, near=near, block=block)) == expected
 
 
 def test_history_matches_all_pairs(tables, rows):
