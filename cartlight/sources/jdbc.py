@@ -17,7 +17,7 @@ _DEFAULTS = {
     "MYSQL_HOST": "localhost",
     "MYSQL_USER": "root",
     "MYSQL_PASSWORD": "",
-    "MYSQL_DATABASE": "ecommerce_analytics",
+    "MYSQL_DATABASE": "shop",
     "MYSQL_PORT": "3306",
 }
 

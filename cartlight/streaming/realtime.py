@@ -35,14 +35,22 @@ def daily_revenue(events: DataFrame, late_by: str = LATE_BY) -> DataFrame:
 
 
 def write_daily_revenue(
-    events: DataFrame, target: str, checkpoint: str, late_by: str = LATE_BY
+    events: DataFrame, target: str, checkpoint: str, late_by: str = LATE_BY, state_partitions: int = 8
 ) -> StreamingQuery:
     """Append final days to Parquet files in ``target``, working through all files present, then stopping.
 
     The offsets and state in ``checkpoint`` make a restarted query continue without loss or repeats.
+    The state is one row per open day, so few state partitions do; a query keeps the number it was
+    first started with.
     """
-    return (
-        daily_revenue(events, late_by).writeStream.outputMode("append").format("parquet")
-        .option("path", target).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    spark = events.sparkSession
+    session_partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))  # a query copies it when it starts
+    try:
+        return (
+            daily_revenue(events, late_by).writeStream.outputMode("append").format("parquet")
+            .option("path", target).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", session_partitions)

@@ -159,7 +159,7 @@ def test_sql_with_parameters(spark, seed):
 
 def test_jdbc_options():
     options = jdbc.scan_options("orders", 1, 1000, 16, env={"MYSQL_HOST": "db", "MYSQL_PORT": "3307"})
-    assert options["url"] == "jdbc:mysql://db:3307/ecommerce_analytics"
+    assert options["url"] == "jdbc:mysql://db:3307/shop"
     assert (options["partitionColumn"], options["numPartitions"], options["upperBound"]) == ("order_id", "16", "1000")
     with pytest.raises(ValueError):
         jdbc.scan_options("admins", 1, 2, 3)
