@@ -34,7 +34,8 @@ def with_new_ids(rows: DataFrame, key: str, existing: DataFrame) -> DataFrame:
 def new_rows(batch: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the batch that are not stored yet, each natural key once. Loading a batch twice changes nothing.
 
-    Keys match NULL with NULL. Duplicates are removed in the map tasks before the shuffle.
+    Keys match NULL with NULL; of equal keys in the batch any one row is kept. Duplicates are removed in
+    the map tasks before the shuffle.
     """
     same = [batch[k].eqNullSafe(existing[k]) for k in keys]
     condition = same[0]
@@ -148,7 +149,11 @@ def priced_orders(batch: DataFrame, tables: Tables, strict_customers: bool = Fal
 def ingest_orders(
     batch: DataFrame, tables: Tables, strict_customers: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Returns (orders, order_items, rejected) with new ids; an item keeps the price at order time."""
+    """Returns (orders, order_items, rejected) with new ids; an item keeps the price at order time.
+
+    The numbered rows lie in the checkpoint folder, so both tables agree however often they are computed.
+    Append orders first: there is no transaction over two tables, but a failed append can be repeated.
+    """
     accepted, rejected = priced_orders(batch, tables, strict_customers)
     numbered = with_new_ids(accepted, "order_id", tables.orders)
     orders = numbered.select("order_id", "customer_id", "order_date", "order_status", "total_amount")
@@ -171,7 +176,9 @@ def upsert_by_key(
     """
     columns = current.columns
     flag = F.col(deleted) if deleted else F.lit(False)
-    old = current.select(*columns, F.lit(0).alias("_new"), F.lit(None).cast("bigint").alias("_version"), F.lit(False).alias("_gone"))
+    old = current.select(
+        *columns, F.lit(0).alias("_new"), F.lit(None).cast("bigint").alias("_version"), F.lit(False).alias("_gone")
+    )
     new = changes.select(
         *columns, F.lit(1).alias("_new"), F.col(version).cast("bigint").alias("_version"), flag.alias("_gone")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cartlight.functions.money import average, cents_sum, money, money_sum
+from cartlight.functions.money import average, money, money_sum
 from cartlight.functions.parsing import month_label
 from cartlight.functions.ranking import top_k
 from cartlight.operators.common import CANCELLED, kept_orders, orders_by_customer, sales_by_product

@@ -5,7 +5,6 @@ import pytest
 from cartlight import schemas
 from cartlight.operators import ingest
 from cartlight.sources import jdbc, store
-from tests.seed import seed_rows, shop
 
 CUSTOMER = ["arrival", "customer_name", "email", "phone", "city", "state", "country", "gender", "age"]
 
@@ -93,9 +92,24 @@ def test_orders(spark, seed):
 
 
 def test_loading_twice_changes_nothing(seed):
-    fresh = ingest.new_rows(seed.products.unionByName(seed.products), seed.products.limit(0), schemas.NATURAL_KEYS["products"])
+    keys = schemas.NATURAL_KEYS["products"]
+    fresh = ingest.new_rows(seed.products.unionByName(seed.products), seed.products.limit(0), keys)
     assert fresh.count() == 14
-    assert ingest.new_rows(seed.products, seed.products, schemas.NATURAL_KEYS["products"]).count() == 0
+    assert ingest.new_rows(seed.products, seed.products, keys).count() == 0
+
+
+def test_checked_orders_are_stored(spark, seed, tmp_path):
+    folder = str(tmp_path)
+    for name in ("orders", "order_items"):
+        store.append(getattr(seed, name), folder, name)
+    batch = forms(spark, ORDER, [("1", "3", "2", None, "2025-06-01"), ("2", "999", "1", None, None)])
+    orders, items, rejected = ingest.ingest_orders(batch, seed)
+    store.append(orders, folder, "orders")
+    store.append(items, folder, "order_items")
+    stored = store.read_store(spark, folder)
+    line = stored.order_items.join(stored.orders, "order_id").filter("order_date = '2025-06-01'").collect()
+    assert [(r["product_id"], r["quantity"], r["total_amount"]) for r in line] == [(3, 2, 2400.0)]
+    assert (stored.orders.count(), stored.order_items.count(), rejected.count()) == (11, 17, 1)
 
 
 def test_upsert(spark):

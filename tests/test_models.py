@@ -48,7 +48,8 @@ def test_saved_model_scores_the_same(spark, tables, trained, tmp_path):
 def test_load_or_fit(spark, seed, tmp_path):
     path = str(tmp_path / "line")
     first = models_io.load_or_fit_forecast(spark, seed, path).first()
-    later = shop(spark, **{**seed_rows(), "orders": [order(1, 1, "2025-05-01", total=5.0), order(2, 1, "2025-06-01", total=7.0)]})
+    orders = [order(1, 1, "2025-05-01", total=5.0), order(2, 1, "2025-06-01", total=7.0)]
+    later = shop(spark, **{**seed_rows(), "orders": orders})
     stale = models_io.load_or_fit_forecast(spark, later, path)
     assert stale.first() == first
     # the old line applied to the longer history
