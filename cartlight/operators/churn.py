@@ -40,15 +40,19 @@ def churn_features(tables: Tables, exclude_status: str | None = None) -> DataFra
     )
 
 
+def label_by_median(features: DataFrame) -> DataFrame:
+    """Add ``churn`` = 1 where spending is at or below the exact median. Pass a materialized frame."""
+    spent = {"spent": cents(F.col("total_spending"))}
+    median = exact_quantiles(features, spent, [0.5], scale=100.0)["spent"][0]
+    return features.withColumn("churn", F.when(F.col("total_spending") <= F.lit(median), 1).otherwise(0))
+
+
 def churn_labels(tables: Tables, exclude_status: str | None = None) -> DataFrame:
-    """Features with ``churn`` = 1 where spending is at or below the exact median.
+    """Features with their label.
 
     The features are written once to the checkpoint folder: the median and the labels read them.
     """
-    features = materialize(churn_features(tables, exclude_status).withColumn("_cents", cents(F.col("total_spending"))))
-    median = exact_quantiles(features, {"spent": F.col("_cents")}, [0.5], scale=100.0)["spent"][0]
-    low = F.col("total_spending") <= F.lit(median)
-    return features.drop("_cents").withColumn("churn", F.when(low, 1).otherwise(0))
+    return label_by_median(materialize(churn_features(tables, exclude_status)))
 
 
 def _test_sizes(sizes: dict[int, int], test_share: float) -> dict[int, int]:
@@ -125,12 +129,9 @@ def fit_churn(labelled: DataFrame, kind: str = "forest") -> ChurnModel:
     return ChurnModel(Pipeline(stages=stages).fit(labelled), labels)
 
 
-def train_and_test(tables: Tables, kind: str = "forest") -> tuple[ChurnModel, DataFrame]:
-    """Fit on the training part; returns the model and one row of test metrics.
-
-    The features are in the checkpoint folder by then, so the orders are read once.
-    """
-    split = stratified_split(churn_labels(tables))
+def train_on(features: DataFrame, kind: str = "forest") -> tuple[ChurnModel, DataFrame]:
+    """Label and split materialized features, fit on the training part; the model and one row of test metrics."""
+    split = stratified_split(label_by_median(features))
     model = fit_churn(split.filter(~F.col("is_test")), kind)
     tested = model.pipeline.transform(split.filter("is_test"))
     hit = F.when(F.col("prediction") == F.col("churn"), 1.0).otherwise(0.0)
@@ -141,6 +142,17 @@ def train_and_test(tables: Tables, kind: str = "forest") -> tuple[ChurnModel, Da
     return model, metrics
 
 
+def train_and_test(tables: Tables, kind: str = "forest") -> tuple[ChurnModel, DataFrame]:
+    return train_on(materialize(churn_features(tables)), kind)
+
+
+def churn_scores(tables: Tables, kind: str = "forest") -> DataFrame:
+    """Train, then score every customer; the orders are read once for both."""
+    features = materialize(churn_features(tables))
+    model, _ = train_on(features, kind)
+    return score_churn(model, features)
+
+
 def _with_fallback(features: DataFrame) -> DataFrame:
     """1 - spending / highest spending, held within 0..1; 1 where nobody has spent anything.
 

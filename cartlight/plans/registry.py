@@ -110,11 +110,6 @@ def _forecast_fit(tables: Tables) -> DataFrame:
     return fit.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), "months")
 
 
-def _churn_scores(tables: Tables) -> DataFrame:
-    model, _ = churn.train_and_test(tables)
-    return churn.score_churn(model, churn.churn_features(tables))
-
-
 def _sales_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The event files run through the streaming job once; its final days."""
     run = f"{checkpoint_folder(spark)}/realtime-{uuid.uuid4().hex}"
@@ -164,8 +159,8 @@ def queries() -> dict[str, Query]:
         "churn_labels": churn.churn_labels,
         "churn_split_counts": churn.churn_split_counts,
         "churn_model_metrics": lambda tables: churn.train_and_test(tables)[1],
-        "churn_scores": _churn_scores,
-        "churn_model_top5": lambda tables: churn.top_risk(_churn_scores(tables)),
+        "churn_scores": churn.churn_scores,
+        "churn_model_top5": lambda tables: churn.top_risk(churn.churn_scores(tables)),
         "churn_boosted_metrics": lambda tables: churn.train_and_test(tables, "boosted")[1],
         "churn_fallback_risk": churn.fallback_risk,
         "churn_top5": lambda tables: churn.top_risk(churn.fallback_risk(tables)),
