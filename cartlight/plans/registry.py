@@ -111,7 +111,10 @@ def _forecast_fit(tables: Tables) -> DataFrame:
 
 
 def _sales_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The event files run through the streaming job once; its final days."""
+    """The event files run through the streaming job once; its final days.
+
+    A stream reads a folder or a pattern, so the one file is named by a pattern.
+    """
     run = f"{checkpoint_folder(spark)}/realtime-{uuid.uuid4().hex}"
     events = realtime.read_events(spark, f"{folder}/events.parque[t]", event_schema())
     realtime.write_daily_revenue(events, f"{run}/days", f"{run}/state").awaitTermination()
