@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cartlight.llm.decontaminate import contamination
+from cartlight.llm.line_dedup import line_dedup
 from cartlight.llm.ngram_join import ngram_join
+from cartlight.llm.packing import best_fit_pack, token_pieces
+from cartlight.llm.quality import quality
+from cartlight.llm.scratch import Scratch
+from cartlight.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +26,43 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(_table(spark, folder, "documents"), width=3, num=90, den=100)
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = Scratch(spark, "packing")
+    pieces = token_pieces(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return best_fit_pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 2048, scratch)
+
+
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup(_table(spark, folder, "documents")).select(
+        "doc_id", "dedup.n_lines", "dedup.n_removed", "dedup.n_spans",
+        F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"),
+    )
+
+
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.3)
+
+
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), window=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_packing": op2_packing,
+        "op3_line_dedup": op3_line_dedup,
+        "op5_quality": op5_quality,
+        "op7_decontamination": op7_decontamination,
+        "op10_token_counts": op10_token_counts,
     }
