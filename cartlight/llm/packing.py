@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cartlight.llm.scratch import Scratch
 from cartlight.llm.tokens import Encoder
 
-# Groups of equal cardinality that the large lengths are rounded up in, and the share of the capacity up to which a
-# length is small.
-GROUPS, SMALL = 1000, 1 / 16
+# Groups of equal cardinality that the large lengths are rounded up in, and the shares of the capacity up to which a
+# length may count as small; the share whose plan needs the fewest sequences is taken.
+GROUPS, SMALL = 1000, (1 / 8, 1 / 4, 1 / 3)
 # Items ranked within one task; a length with more is ranked in several parts.
 _RANKED = 100_000
 
@@ -107,7 +107,13 @@ def _take(segments: list[list[int]], n: int) -> list[tuple[int, int, int]]:
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Runs (length, first rank, count, first sequence, items a sequence, offset) that place every item.
+    """The plan with the fewest sequences of those that ``_plan`` makes with the shares in SMALL."""
+    plans = [_plan(counts, capacity, small) for small in SMALL]
+    return min(plans, key=lambda plan: plan[0])[1]
+
+
+def _plan(counts: dict[int, int], capacity: int, small: float) -> tuple[int, np.ndarray]:
+    """Number of sequences, and runs (length, first rank, count, first sequence, items a sequence, offset) that place every item.
 
     Works on the counts per length alone, at most ``capacity`` of them. The items of a run go to consecutive
     sequences, ``items a sequence`` to each, from ``offset`` on.
@@ -129,7 +135,7 @@ def plan_packing(counts: dict[int, int], capacity: int) -> np.ndarray:
                 insort(rooms, room)
             opened[room].append((first, n))
 
-    large = [(length, counts[length]) for length in sorted(counts, reverse=True) if length > capacity * SMALL]
+    large = [(length, counts[length]) for length in sorted(counts, reverse=True) if length > capacity * small]
     total = sum(n for _, n in large)
     order = [[length, 0, n] for length, n in large]
     groups = []
@@ -162,7 +168,7 @@ def plan_packing(counts: dict[int, int], capacity: int) -> np.ndarray:
         sequences += done
 
     rest = [s for group in merged.values() for s in group]
-    rest += [[length, 0, n] for length, n in counts.items() if length <= capacity * SMALL]
+    rest += [[length, 0, n] for length, n in counts.items() if length <= capacity * small]
     for length, first, n in sorted(rest, reverse=True):
         while n:
             at = bisect_left(rooms, length)
@@ -186,7 +192,7 @@ def plan_packing(counts: dict[int, int], capacity: int) -> np.ndarray:
                 leave(room - n * length, start, 1)
             first, n = first + whole * each, n - whole * each
             leave(room, start + whole, have - whole)
-    return np.array(runs, np.int64).reshape(-1, 6)
+    return sequences, np.array(runs, np.int64).reshape(-1, 6)
 
 
 def best_fit_pack(items: DataFrame, capacity: int = 2048, scratch: Scratch | None = None) -> DataFrame:

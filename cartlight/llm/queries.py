@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartlight.llm.decontaminate import contamination
+from cartlight.llm.embedding_dedup import embedding_dedup
 from cartlight.llm.line_dedup import line_dedup
 from cartlight.llm.ngram_join import ngram_join
 from cartlight.llm.packing import best_fit_pack, token_pieces
@@ -39,6 +40,10 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup(_table(spark, folder, "embeddings"), least=0.95)
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.3)
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Query]:
         "op1_ngram_join": op1_ngram_join,
         "op2_packing": op2_packing,
         "op3_line_dedup": op3_line_dedup,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_quality": op5_quality,
         "op7_decontamination": op7_decontamination,
         "op10_token_counts": op10_token_counts,
