@@ -14,6 +14,7 @@ from cartlight.llm.ngram_join import ngram_join
 from cartlight.llm.packing import best_fit_pack, token_pieces
 from cartlight.llm.quality import quality
 from cartlight.llm.scratch import Scratch
+from cartlight.llm.substring_dedup import repeated_substrings
 from cartlight.llm.token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,14 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return repeated_substrings(_table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -70,5 +79,6 @@ def queries() -> dict[str, Query]:
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_quality": op5_quality,
         "op7_decontamination": op7_decontamination,
+        "op8_substring_dedup": op8_substring_dedup,
         "op10_token_counts": op10_token_counts,
     }
