@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cartlight.llm.licences import KNOWN, SPELLINGS
+
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _NGRAM_JOIN = rf"""
@@ -11,24 +13,104 @@ with recursive words as (
   select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [w]
     else list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) end) as item from words
 ), sizes as (select doc_id, count(*) as n from items group by 1),
-overlaps as (
+shared as (
   select a.doc_id as a, b.doc_id as b, count(*) as k
   from items a join items b on a.item = b.item and a.doc_id < b.doc_id group by 1, 2
 ), links as (
-  select a, b from overlaps join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
   where 100 * k >= 90 * (x.n + y.n - k)
 ), both_ways as (select a, b from links union select b, a from links),
 reach as (select a as doc_id, a as other from both_ways union
   select reach.doc_id, both_ways.b from reach join both_ways on both_ways.a = reach.other
 ), low as (select doc_id, min(other) as component_id from reach group by 1),
-same as (select doc_id, min(doc_id) over (partition by (select list(item order by item) from items i where i.doc_id = s.doc_id)) as class_id from sizes s)
+sets as (select doc_id, list(item order by item) as s from items group by 1),
+same as (select doc_id, min(doc_id) over (partition by s) as class_id from sets)
 select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, coalesce(c.class_id, d.doc_id) as class_id,
   coalesce(l.component_id, d.doc_id) as component_id
 from documents d left join sizes s using (doc_id) left join low l using (doc_id) left join same c using (doc_id)
 """
 
+_LINE_DEDUP = """
+with lines as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+windows as (
+  select doc_id, pos, l[pos + 1] || chr(10) || l[pos + 2] || chr(10) || l[pos + 3] as w
+  from (select doc_id, l, unnest(range(0, len(l) - 2)) as pos from lines where len(l) >= 3)
+), later as (
+  select doc_id, pos from (select *, row_number() over (partition by w order by doc_id, pos) as k from windows) where k > 1
+), gone as (select distinct doc_id, unnest([pos, pos + 1, pos + 2]) as pos from later),
+stretches as (
+  select doc_id, count(*) as n, count(*) filter (where before is null or before < pos - 1) as spans
+  from (select *, lag(pos) over (partition by doc_id order by pos) as before from gone) group by 1
+), left_over as (
+  select x.doc_id, string_agg(x.line, chr(10) order by x.pos) as kept
+  from (select doc_id, unnest(l) as line, unnest(range(0, len(l))) as pos from lines) x
+  anti join gone on gone.doc_id = x.doc_id and gone.pos = x.pos group by 1
+)
+select d.doc_id, coalesce(len(d.l), 0)::bigint as n_lines, coalesce(s.n, 0)::bigint as n_removed,
+  coalesce(s.spans, 0)::bigint as n_spans, md5(coalesce(k.kept, '')) as kept_md5
+from lines d left join stretches s using (doc_id) left join left_over k using (doc_id)
+"""
+
+
+def _canonical(text: str) -> str:
+    line = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\p{L}\n]*(\(c\)|©|[0-9]{4})[^\n]*$"
+    made = f"trim(regexp_replace(regexp_replace(lower({text}), '{line}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    for pattern, replacement in SPELLINGS:
+        made = f"replace({made}, '{pattern}', '{replacement}')"
+    return made
+
+
+def _licence_scan() -> str:
+    quote = chr(39)
+    known = ", ".join(
+        f"('{name}', '{text.replace(quote, quote * 2)}')" for name, text in KNOWN
+    )
+    return f"""
+with known as (
+  select sha256({_canonical("t")}) as digest, min(name) as licence from (values {known}) v(name, t) group by 1
+), scanned as (select doc_id, text, sha256({_canonical("coalesce(text, '')")}) as digest from documents),
+found as (
+  select doc_id, array_to_string(list_sort(list_distinct(list(k.licence))), ',') as notices, count(*) as n
+  from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) x
+  join known k on k.digest = sha256({_canonical("x.line")}) group by 1
+)
+select s.doc_id, s.digest, k.licence, coalesce(f.notices, '') as notices, coalesce(f.n, 0)::bigint as n_notices
+from scanned s left join known k using (digest) left join found f using (doc_id)
+"""
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all({_LOWER.format(text)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+_DECONTAMINATION = f"""
+with items as (select distinct item_id, {_words("coalesce(text, '')")} as w from benchmark),
+windows as (
+  select item_id, least(len(w), 10) as m, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+    lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) as t
+  from items where len(w) > 0
+), docs as (select doc_id, {_words("coalesce(text, '')")} as w from documents),
+sizes as (select distinct m from windows),
+places as (
+  select doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') as t
+  from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from docs, sizes where len(w) >= m)
+), found as (select p.doc_id, p.i, p.m, x.item_id from places p join windows x on x.m = p.m and x.t = p.t),
+hits as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + m)) as k from found) group by 1),
+named as (
+  select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct doc_id, item_id::varchar as id from found) group by 1
+)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit,
+  coalesce(n.n_items, 0)::bigint as n_items, sha256(coalesce(n.ids, '')) as items_sha256,
+  coalesce(h.n_hit, 0) > 0 as contaminated
+from docs d left join hits h using (doc_id) left join named n using (doc_id)
+"""
+
 
 def sql() -> dict[str, str]:
     return {
         "op1_ngram_join": _NGRAM_JOIN,
+        "op3_line_dedup": _LINE_DEDUP,
+        "op6_licence_scan": _licence_scan(),
+        "op7_decontamination": _DECONTAMINATION,
     }

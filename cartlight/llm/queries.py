@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartlight.llm.decontaminate import contamination
 from cartlight.llm.embedding_dedup import embedding_dedup
+from cartlight.llm.licence_scan import licence_scan
 from cartlight.llm.line_dedup import line_dedup
 from cartlight.llm.ngram_join import ngram_join
 from cartlight.llm.packing import best_fit_pack, token_pieces
@@ -49,6 +50,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.3)
 
 
+def op6_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licence_scan(_table(spark, folder, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), window=10)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
@@ -78,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op3_line_dedup": op3_line_dedup,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op5_quality": op5_quality,
+        "op6_licence_scan": op6_licence_scan,
         "op7_decontamination": op7_decontamination,
         "op8_substring_dedup": op8_substring_dedup,
         "op10_token_counts": op10_token_counts,
