@@ -13,11 +13,15 @@ from cartlight.llm.licence_scan import licence_scan
 from cartlight.llm.line_dedup import line_dedup
 from cartlight.llm.ngram_join import ngram_join
 from cartlight.llm.packing import best_fit_pack, token_pieces
+from cartlight.llm.pii import replace_pii
 from cartlight.llm.quality import quality
 from cartlight.llm.scratch import Scratch
 from cartlight.llm.substring_dedup import repeated_substrings
 from cartlight.llm.token_counts import token_counts
 
+# The key of the registered query. A real run takes its own, kept secret.
+PII_KEY = b"registered query"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -71,6 +75,15 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    replaced = replace_pii(_table(spark, folder, "documents"), PII_KEY)
+    return replaced.select(
+        "doc_id", F.size("entities").cast("bigint").alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct("entities.kind")), ",").alias("kinds"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -86,5 +99,6 @@ def queries() -> dict[str, Query]:
         "op6_licence_scan": op6_licence_scan,
         "op7_decontamination": op7_decontamination,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_pii": op9_pii,
         "op10_token_counts": op10_token_counts,
     }
