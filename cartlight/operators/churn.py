@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from cartlight.functions.money import average, cents, money
+from cartlight.functions.money import MICROS, average, micros, micros_sum, money
 from cartlight.functions.ranking import exact_quantiles, extents, top_k, values_at_ranks
 from cartlight.operators.common import kept_orders, orders_by_customer
 from cartlight.session import materialize
@@ -27,7 +27,7 @@ TEST_SHARE = 0.2
 
 def churn_features(tables: Tables, exclude_status: str | None = None) -> DataFrame:
     """Orders, spending and average order value of every customer; zeros for customers without orders."""
-    spending = money(F.col("spent_cents"))
+    spending = money(F.col("spent_micros"))
     return (
         tables.customers.select("customer_id", "customer_name")
         .join(orders_by_customer(tables, exclude_status), "customer_id", "left")
@@ -42,8 +42,8 @@ def churn_features(tables: Tables, exclude_status: str | None = None) -> DataFra
 
 def label_by_median(features: DataFrame) -> DataFrame:
     """Add ``churn`` = 1 where spending is at or below the exact median. Pass a materialized frame."""
-    spent = {"spent": cents(F.col("total_spending"))}
-    median = exact_quantiles(features, spent, [0.5], scale=100.0)["spent"][0]
+    spent = {"spent": micros(F.col("total_spending"))}
+    median = exact_quantiles(features, spent, [0.5], scale=MICROS)["spent"][0]
     return features.withColumn("churn", F.when(F.col("total_spending") <= F.lit(median), 1).otherwise(0))
 
 
@@ -99,7 +99,7 @@ def churn_split_counts(tables: Tables) -> DataFrame:
 
 @dataclass
 class ChurnModel:
-    """A fitted pipeline and the labels it has seen."""
+    """A fitted pipeline and the labels it has seen: 0, 1 or both."""
 
     pipeline: PipelineModel
     labels: list[int]
@@ -118,11 +118,15 @@ def _classifier(kind: str):
 
 
 def fit_churn(labelled: DataFrame, kind: str = "forest") -> ChurnModel:
-    """Fit on rows with the three features and ``churn``. Raises ValueError on an empty table.
+    """Fit on rows with the three features and ``churn``, 0 or 1. Raises ValueError on an empty table or other labels.
 
     Pass a materialized frame: training reads it several times.
     """
-    labels = [row["churn"] for row in labelled.select("churn").distinct().orderBy("churn").limit(3).collect()]
+    seen = labelled.agg(*[F.coalesce(F.bool_or(F.col("churn") == k), F.lit(False)) for k in (0, 1)], F.coalesce(
+        F.bool_or(F.coalesce(~F.col("churn").isin(0, 1), F.lit(True))), F.lit(False))).first()
+    if seen[2]:
+        raise ValueError("churn must be 0 or 1")
+    labels = [k for k in (0, 1) if seen[k]]
     if not labels:
         raise ValueError("no customers to train on")
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="features"), _classifier(kind)]
@@ -191,11 +195,15 @@ def top_risk(scored: DataFrame, n: int = 5) -> DataFrame:
 def churn_label_90d(
     tables: Tables, cutoff: str | None = None, days: int = 90, exclude_status: str | None = None
 ) -> DataFrame:
-    """Customers who bought before ``cutoff``; churn = 1 where no purchase follows within ``days``.
+    """Known customers who bought before ``cutoff``; churn = 1 where no purchase follows within ``days``.
 
     The window runs from the cutoff day to ``days`` days later, both included; without a cutoff it ends
     with the last order date. One grouped pass over the orders.
     """
+    return _labels_90d(tables, cutoff, days, exclude_status).drop("cutoff").orderBy("customer_id")
+
+
+def _labels_90d(tables: Tables, cutoff: str | None, days: int, exclude_status: str | None) -> DataFrame:
     orders = kept_orders(tables, exclude_status)
     if cutoff is None:
         start = orders.agg(F.date_sub(F.max("order_date"), days)).scalar()
@@ -206,12 +214,47 @@ def churn_label_90d(
     cut = F.col("cutoff")
     return (
         dated.filter(day <= F.date_add(cut, days))
-        .groupBy("customer_id")
+        .join(tables.customers.select("customer_id"), "customer_id", "left_semi")
+        .groupBy("customer_id", "cutoff")
         .agg(
             F.count(F.when(day < cut, F.lit(1))).alias("orders_before"),
             F.count(F.when(day >= cut, F.lit(1))).alias("orders_in_window"),
         )
         .filter("orders_before > 0")
         .withColumn("churn", F.when(F.col("orders_in_window") == 0, 1).otherwise(0))
-        .orderBy("customer_id")
     )
+
+
+def churn_90d_features(
+    tables: Tables, cutoff: str | None = None, days: int = 90, exclude_status: str | None = None
+) -> DataFrame:
+    """The three features of each customer from orders before the cutoff alone, with the label of ``churn_label_90d``.
+
+    So the label is no function of a feature, and a model of it can be used on the day of the cutoff.
+    """
+    labels = _labels_90d(tables, cutoff, days, exclude_status).select("customer_id", "cutoff", "churn")
+    orders = kept_orders(tables, exclude_status).select("customer_id", "order_date", "total_amount")
+    before = orders.join(labels, "customer_id").filter(F.col("order_date") < F.col("cutoff"))
+    measured = before.groupBy("customer_id", "churn").agg(
+        F.count(F.lit(1)).alias("total_orders"), F.count("total_amount").alias("priced"),
+        micros_sum(F.col("total_amount")).alias("spent"),
+    )
+    spending = F.coalesce(money(F.col("spent")), F.lit(0.0))
+    return measured.select(
+        "customer_id", "total_orders", spending.alias("total_spending"),
+        F.coalesce(average(spending, F.col("priced")), F.lit(0.0)).alias("average_order_value"), "churn",
+    ).orderBy("customer_id")
+
+
+def churn_90d_metrics(tables: Tables, kind: str = "forest") -> DataFrame:
+    """Train on later inactivity; one row of test figures beside the share of the commoner label."""
+    labelled = materialize(churn_90d_features(tables))
+    split = materialize(stratified_split(labelled))
+    model = fit_churn(split.filter(~F.col("is_test")), kind)
+    tested = model.pipeline.transform(split.filter("is_test"))
+    hit = F.when(F.col("prediction") == F.col("churn"), 1.0).otherwise(0.0)
+    counts = split.agg(
+        F.count_if(~F.col("is_test")).alias("train_rows"), F.count_if("is_test").alias("test_rows"),
+        F.avg("churn").alias("churn_share"),
+    )
+    return counts.withColumn("accuracy", tested.agg(F.avg(hit)).scalar())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cartlight.functions.money import cents_sum
+from cartlight.functions.money import micros_sum
 from cartlight.tables import Tables
 
 CANCELLED = "Cancelled"
@@ -22,19 +22,19 @@ def kept_orders(tables: Tables, exclude_status: str | None) -> DataFrame:
 
 
 def orders_by_customer(tables: Tables, exclude_status: str | None) -> DataFrame:
-    """One row per ordering customer: total_orders, priced_orders (amount known), spent_cents.
+    """One row per ordering customer: total_orders, priced_orders (amount known), spent_micros.
 
     Reduced before any join, so a customer with a third of all orders reaches the join as one row.
     """
     return kept_orders(tables, exclude_status).groupBy("customer_id").agg(
         F.count("order_id").alias("total_orders"),
         F.count("total_amount").alias("priced_orders"),
-        cents_sum(F.col("total_amount")).alias("spent_cents"),
+        micros_sum(F.col("total_amount")).alias("spent_micros"),
     )
 
 
 def sales_by_product(tables: Tables, exclude_status: str | None = CANCELLED) -> DataFrame:
-    """One row per sold product: units_sold, sold_cents.
+    """One row per sold product: units_sold, sold_micros.
 
     The one join of the two big tables. Only order_id crosses from the orders side; adaptive
     execution splits an order_id that holds a large share of the items.
@@ -46,6 +46,6 @@ def sales_by_product(tables: Tables, exclude_status: str | None = CANCELLED) ->
         .groupBy("product_id")
         .agg(
             F.sum("quantity").alias("units_sold"),
-            cents_sum(F.col("quantity") * F.col("unit_price")).alias("sold_cents"),
+            micros_sum(F.col("quantity") * F.col("unit_price")).alias("sold_micros"),
         )
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cartlight.functions.money import average, cents_key, money
+from cartlight.functions.money import MICROS, average, micros_key, money
 from cartlight.functions.ranking import exact_quantiles, top_k
 from cartlight.operators.common import CANCELLED, orders_by_customer
 from cartlight.session import materialize
@@ -22,7 +22,7 @@ def customer_profile(tables: Tables, exclude_status: str | None = CANCELLED) ->
 
 
 def _shaped(profiles: DataFrame) -> DataFrame:
-    spending = money(F.col("spent_cents"))
+    spending = money(F.col("spent_micros"))
     return profiles.select(
         "customer_id", "customer_name", "city", "total_orders",
         spending.alias("total_spending"),
@@ -39,12 +39,12 @@ def spending_stats(tables: Tables, exclude_status: str | None = CANCELLED) -> Da
 
     The spending per customer is written once to the checkpoint folder; everything else reads that.
     """
-    spent = materialize(_profiles(tables, exclude_status).select("spent_cents").filter("spent_cents is not null"))
-    cuts = exact_quantiles(spent, {"spent": cents_key(F.col("spent_cents"))}, [0.25, 0.5, 0.75], scale=100.0)["spent"]
-    value = money(F.col("spent_cents"))
+    spent = materialize(_profiles(tables, exclude_status).select("spent_micros").filter("spent_micros is not null"))
+    cuts = exact_quantiles(spent, {"spent": micros_key(F.col("spent_micros"))}, [0.25, 0.5, 0.75], scale=MICROS)["spent"]
+    value = money(F.col("spent_micros"))
     return spent.agg(
         F.count(F.lit(1)).alias("count"),
-        average(money(F.sum("spent_cents")), F.count(F.lit(1))).alias("mean"),
+        average(money(F.sum("spent_micros")), F.count(F.lit(1))).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"),
         *[F.lit(cut).cast("double").alias(name) for name, cut in zip(("q25", "q50", "q75"), cuts)],
@@ -65,9 +65,10 @@ def repeat_customers(
 
 
 def repeat_rate(tables: Tables, min_orders: int = 2, exclude_status: str | None = CANCELLED) -> DataFrame:
-    """How many of the ordering customers came back."""
+    """How many of the ordering customers came back. Like the profiles, known customers only."""
     again = F.count(F.when(F.col("total_orders") >= min_orders, F.lit(1)))
-    return orders_by_customer(tables, exclude_status).agg(
+    buyers = orders_by_customer(tables, exclude_status)
+    return buyers.join(tables.customers.select("customer_id"), "customer_id", "left_semi").agg(
         F.count(F.lit(1)).alias("buyers"), again.alias("repeat_buyers")
     ).withColumn("repeat_rate", average(F.col("repeat_buyers"), F.col("buyers")))
 
@@ -76,9 +77,9 @@ def high_value_customers(
     tables: Tables, quantile: float = 0.9, exclude_status: str | None = CANCELLED
 ) -> DataFrame:
     """Customers whose spending reaches the given quantile, with their share of the spending of all."""
-    profiles = materialize(_profiles(tables, exclude_status).filter("spent_cents is not null"))
-    cut = exact_quantiles(profiles, {"spent": cents_key(F.col("spent_cents"))}, [quantile], scale=100.0)["spent"][0]
-    everything = profiles.agg(money(F.sum("spent_cents"))).scalar()
+    profiles = materialize(_profiles(tables, exclude_status).filter("spent_micros is not null"))
+    cut = exact_quantiles(profiles, {"spent": micros_key(F.col("spent_micros"))}, [quantile], scale=MICROS)["spent"][0]
+    everything = profiles.agg(money(F.sum("spent_micros"))).scalar()
     return (
         _shaped(profiles)
         .filter(F.col("total_spending") >= F.lit(cut))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from cartlight.functions.money import cents_sum, money, money_sum
+from cartlight.functions.money import micros_sum, money, money_sum
 from cartlight.functions.parsing import month_label
 from cartlight.operators.common import CANCELLED, kept_orders
 from cartlight.tables import Tables
@@ -107,11 +107,11 @@ def forecast_by_category(tables: Tables, exclude_status: str | None = CANCELLED)
         tables.order_items.select("order_id", "product_id", "quantity", "unit_price")
         .join(dated, "order_id")
         .groupBy("product_id", "first_day")
-        .agg(cents_sum(F.col("quantity") * F.col("unit_price")).alias("sold_cents"))
+        .agg(micros_sum(F.col("quantity") * F.col("unit_price")).alias("sold_micros"))
     )
     by_category = (
         by_product.join(tables.products.select("product_id", "category_id"), "product_id")
-        .groupBy("category_id", "first_day").agg(money(F.sum("sold_cents")).alias("revenue"))
+        .groupBy("category_id", "first_day").agg(money(F.sum("sold_micros")).alias("revenue"))
     )
     numbered = by_category.withColumn(
         "month_number",

@@ -6,7 +6,7 @@ Input columns are text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartlight.functions.parsing import blank_to_null, iso_date, number, whole_number
 from cartlight.functions.ranking import dense_index, top_k_per
@@ -25,29 +25,40 @@ def _first_reason(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(text)) for bad, text in checks])
 
 
+def _largest(existing: DataFrame, key: str) -> int:
+    """The largest id stored now, read once: what is appended later does not move ids already given."""
+    return existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).first()[0]
+
+
 def with_new_ids(rows: DataFrame, key: str, existing: DataFrame) -> DataFrame:
-    """Give rows the ids after the largest existing one, without gaps."""
-    start = existing.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
-    return dense_index(rows, "_place").withColumn(key, (start + F.col("_place") + 1).cast("bigint")).drop("_place")
+    """Give rows the ids after the largest existing one, without gaps.
 
+    The rows are written to the checkpoint folder, so their ids are the same however often they are read.
+    """
+    start = _largest(existing, key)
+    return dense_index(rows, "_place").withColumn(key, F.lit(start) + F.col("_place") + 1).drop("_place")
 
-def new_rows(batch: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+
+def new_rows(batch: DataFrame, existing: DataFrame, keys: list[str], arrival: list[str] | None = None) -> DataFrame:
     """Rows of the batch that are not stored yet, each natural key once. Loading a batch twice changes nothing.
 
-    Keys match NULL with NULL; of equal keys in the batch any one row is kept. Duplicates are removed in
-    the map tasks before the shuffle.
+    Keys match NULL with NULL. Of rows with equal keys the first by ``arrival`` is kept, ties decided by the other
+    columns, so the order in which rows are read plays no part. Duplicates are cut in the map tasks before the shuffle.
     """
-    same = [batch[k].eqNullSafe(existing[k]) for k in keys]
+    order = [F.asc(c) for c in (arrival or [])] + [F.asc(c) for c in batch.columns if c not in keys]
+    first = top_k_per(batch, keys, 1, order or [F.lit(0)], "_rank").drop("_rank")
+    same = [first[k].eqNullSafe(existing[k]) for k in keys]
     condition = same[0]
     for part in same[1:]:
         condition = condition & part
-    return batch.dropDuplicates(keys).join(existing.select(*keys), condition, "left_anti")
+    return first.join(existing.select(*keys), condition, "left_anti")
 
 
 def ingest_customers(batch: DataFrame, tables: Tables, arrival: str = "arrival") -> tuple[DataFrame, DataFrame]:
     """Name and e-mail are required; the first row of an e-mail wins, in the batch (by ``arrival``) and over it.
 
-    The country defaults, a blank age is NULL, the registration date is today.
+    A later row of an e-mail, or one that is stored already, is rejected like any other: every row of the batch is
+    either accepted or rejected. The country defaults, a blank age is NULL, the registration date is today.
     """
     text = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("phone", "city", "state", "gender")}
     prepared = batch.withColumns({
@@ -60,9 +71,15 @@ def ingest_customers(batch: DataFrame, tables: Tables, arrival: str = "arrival")
         (F.col("_age").isNotNull() & whole_number(F.col("_age")).try_cast("int").isNull(), "age is not a whole number"),
     ))
     sound, rejected = _split(judged)
-    first = top_k_per(sound, "_email", 1, [F.asc(arrival)]).drop("rank")
-    known = tables.customers.select(F.col("email").alias("_email"))
-    fresh = first.join(known, "_email", "left_anti")
+    known = tables.customers.filter("email is not null").select(F.col("email").alias("_email"), F.lit(True).alias("_taken"))
+    ranked = sound.withColumn("_rank", F.row_number().over(
+        Window.partitionBy("_email").orderBy(F.asc(arrival), *[F.asc(c) for c in batch.columns if c != arrival])
+    )).join(known.distinct(), "_email", "left")
+    fresh, taken = _split(ranked.withColumn(REASON, _first_reason(
+        ((F.col("_rank") > 1) | F.col("_taken"), "email is taken")
+    )))
+    columns = [*batch.columns, REASON]
+    rejected = rejected.select(*columns).unionByName(taken.select(*columns))
     numbered = with_new_ids(
         fresh.select(
             F.col("_name").alias("customer_name"),
@@ -75,7 +92,7 @@ def ingest_customers(batch: DataFrame, tables: Tables, arrival: str = "arrival")
         ),
         "customer_id", tables.customers,
     )
-    return numbered, rejected.drop("_name", "_email", "_age")
+    return numbered, rejected
 
 
 def ingest_products(batch: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
@@ -151,18 +168,16 @@ def ingest_orders(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Returns (orders, order_items, rejected) with new ids; an item keeps the price at order time.
 
-    The numbered rows lie in the checkpoint folder, so both tables agree however often they are computed.
-    Append orders first: there is no transaction over two tables, but a failed append can be repeated.
+    The ids are fixed when this is called: the numbered rows lie in the checkpoint folder and both starts are read
+    once, so orders and items agree whatever is appended meanwhile. ``store.append_batch`` stores both as one.
     """
     accepted, rejected = priced_orders(batch, tables, strict_customers)
+    first_order, first_item = _largest(tables.orders, "order_id"), _largest(tables.order_items, "order_item_id")
     numbered = with_new_ids(accepted, "order_id", tables.orders)
     orders = numbered.select("order_id", "customer_id", "order_date", "order_status", "total_amount")
-    offset = (
-        tables.order_items.agg(F.coalesce(F.max("order_item_id"), F.lit(0))).scalar()
-        - tables.orders.agg(F.coalesce(F.max("order_id"), F.lit(0))).scalar()
-    )
     items = numbered.select(
-        (F.col("order_id") + offset).alias("order_item_id"), "order_id", "product_id", "quantity", "unit_price"
+        (F.col("order_id") + F.lit(first_item - first_order)).alias("order_item_id"), "order_id", "product_id",
+        "quantity", "unit_price",
     )
     return orders, items, rejected
 
@@ -172,7 +187,9 @@ def upsert_by_key(
 ) -> DataFrame:
     """The next snapshot of a table: per key the row with the highest ``version`` wins, a ``deleted`` one disappears.
 
-    ``current`` rows lose against any change. Only one row per key and map task is shuffled.
+    ``current`` rows lose against any change. Changes of a key with equal versions must not differ: of those that do,
+    the smallest in the order of the columns wins, a deletion last, whatever order they are read in. Only one row
+    per key and map task is shuffled.
     """
     columns = current.columns
     flag = F.col(deleted) if deleted else F.lit(False)
@@ -182,6 +199,6 @@ def upsert_by_key(
     new = changes.select(
         *columns, F.lit(1).alias("_new"), F.col(version).cast("bigint").alias("_version"), flag.alias("_gone")
     )
-    order = [F.desc("_new"), F.desc("_version")]
+    order = [F.desc("_new"), F.desc("_version"), F.asc("_gone"), *[F.asc(c) for c in columns if c not in keys]]
     latest = top_k_per(old.unionByName(new), keys, 1, order)
     return latest.filter(~F.col("_gone")).select(*columns)

@@ -25,7 +25,7 @@ def _by_rating():
 def top_spender(tables: Tables) -> DataFrame:
     """The customer with the highest spending, cancelled orders included."""
     names = tables.customers.select("customer_id", "customer_name")
-    spending = F.coalesce(money(F.col("spent_cents")), F.lit(0.0)).alias("total_spending")
+    spending = F.coalesce(money(F.col("spent_micros")), F.lit(0.0)).alias("total_spending")
     everyone = names.join(orders_by_customer(tables, None), "customer_id", "left")
     return top_k(
         everyone.select("customer_id", "customer_name", spending),

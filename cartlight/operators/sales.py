@@ -15,7 +15,7 @@ def top_products(tables: Tables, n: int = 10, exclude_status: str | None = CANCE
     """Products with the highest item revenue."""
     names = tables.products.select("product_id", "product_name")
     sold = sales_by_product(tables, exclude_status).join(names, "product_id").select(
-        "product_id", "product_name", "units_sold", money(F.col("sold_cents")).alias("revenue")
+        "product_id", "product_name", "units_sold", money(F.col("sold_micros")).alias("revenue")
     )
     return top_k(sold, n, F.desc("revenue"), F.asc("product_id"))
 
@@ -30,9 +30,9 @@ def category_revenue(tables: Tables, exclude_status: str | None = CANCELLED) ->
     return (
         sales_by_product(tables, exclude_status)
         .join(links, "product_id")
-        .groupBy("category_id").agg(F.sum("sold_cents").alias("sold_cents"))
+        .groupBy("category_id").agg(F.sum("sold_micros").alias("sold_micros"))
         .join(names, "category_id")
-        .select("category_id", "category_name", money(F.col("sold_cents")).alias("revenue"))
+        .select("category_id", "category_name", money(F.col("sold_micros")).alias("revenue"))
         .orderBy(F.desc("revenue"), "category_id")
     )
 
@@ -52,7 +52,7 @@ def top_customers(tables: Tables, n: int = 10, exclude_status: str | None = CANC
     """Customers with the highest order revenue."""
     names = tables.customers.select("customer_id", "customer_name")
     spending = orders_by_customer(tables, exclude_status).join(names, "customer_id").select(
-        "customer_id", "customer_name", money(F.col("spent_cents")).alias("spending")
+        "customer_id", "customer_name", money(F.col("spent_micros")).alias("spending")
     )
     return top_k(spending, n, F.desc("spending"), F.asc("customer_id"))
 
@@ -64,7 +64,7 @@ def city_revenue(tables: Tables, exclude_status: str | None = CANCELLED) -> Data
         orders_by_customer(tables, exclude_status)
         .join(cities, "customer_id")
         .groupBy("city")
-        .agg(F.sum("total_orders").alias("total_orders"), money(F.sum("spent_cents")).alias("revenue"))
+        .agg(F.sum("total_orders").alias("total_orders"), money(F.sum("spent_micros")).alias("revenue"))
         .orderBy(F.desc("revenue"), "city")
     )
 
@@ -137,7 +137,7 @@ def product_performance(tables: Tables, exclude_status: str | None = CANCELLED)
         .select(
             "product_id", "product_name", "category_name", "stock_quantity", "rating",
             F.coalesce("units_sold", F.lit(0)).alias("units_sold"),
-            F.coalesce(money(F.col("sold_cents")), F.lit(0.0)).alias("revenue"),
+            F.coalesce(money(F.col("sold_micros")), F.lit(0.0)).alias("revenue"),
         )
         .orderBy(F.desc("revenue"), "product_id")
     )

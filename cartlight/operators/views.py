@@ -52,29 +52,48 @@ def order_lines(tables: Tables) -> DataFrame:
     )
 
 
-def order_detail(tables: Tables) -> DataFrame:
-    """One row per order with its items, payments and shipping.
+def order_payments(tables: Tables) -> DataFrame:
+    """Every payment beside its order (NULL columns for a payment without one)."""
+    orders = tables.orders.select("order_id", "customer_id", "order_status", "total_amount")
+    return tables.payments.join(orders, "order_id", "left").select(
+        "payment_id", "order_id", "customer_id", "order_status", "payment_date", "payment_method", "payment_status",
+        "amount", "total_amount",
+    )
+
+
+def order_shipments(tables: Tables) -> DataFrame:
+    """Every shipment beside its order, with the days from order to delivery."""
+    orders = tables.orders.select("order_id", "customer_id", "order_status", "order_date")
+    return tables.shipping.join(orders, "order_id", "left").select(
+        "shipping_id", "order_id", "customer_id", "order_status", "shipping_date", "delivery_date", "shipping_status",
+        F.datediff("delivery_date", "order_date").cast("bigint").alias("days_to_delivery"),
+    )
 
-    Each side is reduced to one row per order_id first, so nothing fans out and all joins share the
-    order_id partitioning. Of several payments or shipments the latest one is shown.
+
+def order_detail(tables: Tables, paid_status: str = "Paid") -> DataFrame:
+    """One row per order with its items, payments and shipments, none of them left out.
+
+    Paid amounts and those of any other status are apart; ``order_payments`` and ``order_shipments`` show the rows
+    themselves. Each side is reduced to one row per order_id by sums, counts and dates, which need no sort, so
+    nothing fans out and all joins share the order_id partitioning.
     """
     items = tables.order_items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("item_lines"),
         F.sum("quantity").alias("units"),
         money_sum(F.col("quantity") * F.col("unit_price")).alias("items_amount"),
     )
-    payments = (
-        tables.payments.groupBy("order_id").agg(
-            F.max(F.struct("payment_date", "payment_id", "payment_method", "payment_status")).alias("last"),
-            money_sum(F.col("amount")).alias("payment_amount"),
-        )
-        .select("order_id", "last.payment_date", "last.payment_method", "last.payment_status", "payment_amount")
+    paid = F.coalesce(F.col("payment_status") == paid_status, F.lit(False))
+    payments = tables.payments.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("payments"),
+        money_sum(F.when(paid, F.col("amount"))).alias("paid_amount"),
+        money_sum(F.when(~paid, F.col("amount"))).alias("open_amount"),
+        F.max("payment_date").alias("last_payment_date"),
     )
-    shipments = (
-        tables.shipping.groupBy("order_id").agg(
-            F.max(F.struct("shipping_id", "shipping_date", "delivery_date", "shipping_status")).alias("last")
-        )
-        .select("order_id", "last.shipping_date", "last.delivery_date", "last.shipping_status")
+    shipments = tables.shipping.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("shipments"),
+        F.min("shipping_date").alias("first_shipping_date"),
+        F.max("delivery_date").alias("last_delivery_date"),
+        F.count(F.when(F.col("delivery_date").isNull(), F.lit(1))).alias("undelivered"),
     )
     return (
         tables.orders
@@ -83,10 +102,11 @@ def order_detail(tables: Tables) -> DataFrame:
         .join(shipments, "order_id", "left")
         .select(
             "order_id", "customer_id", "order_date", "order_status", "total_amount",
-            F.coalesce("item_lines", F.lit(0)).alias("item_lines"),
-            F.coalesce("units", F.lit(0)).alias("units"),
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("item_lines", "units")],
             F.coalesce("items_amount", F.lit(0.0)).alias("items_amount"),
-            "payment_date", "payment_method", "payment_status", "payment_amount",
-            "shipping_date", "delivery_date", "shipping_status",
+            F.coalesce("payments", F.lit(0)).alias("payments"),
+            *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("paid_amount", "open_amount")], "last_payment_date",
+            F.coalesce("shipments", F.lit(0)).alias("shipments"), "first_shipping_date", "last_delivery_date",
+            F.coalesce("undelivered", F.lit(0)).alias("undelivered"),
         )
     )

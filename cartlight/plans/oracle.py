@@ -32,13 +32,13 @@ _TABLES = {
     "s_reviews": """SELECT o_custkey AS customer_id, l_partkey AS product_id,
         1 + (l_linenumber - 1) % 5 AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "sold": """SELECT product_id, CAST(sum(quantity) AS BIGINT) AS units_sold,
-        CAST(sum(CAST(quantity * unit_price AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+        CAST(sum(CAST(quantity * unit_price AS DECIMAL(38,6))) AS DOUBLE) AS revenue
         FROM s_items JOIN s_orders USING (order_id) WHERE order_status <> 'Cancelled' GROUP BY product_id""",
     "spent": """SELECT customer_id, count(*) AS total_orders,
-        CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_spending
+        CAST(sum(CAST(total_amount AS DECIMAL(38,6))) AS DOUBLE) AS total_spending
         FROM s_orders WHERE order_status <> 'Cancelled' GROUP BY customer_id""",
     "spent_all": """SELECT customer_id, count(*) AS total_orders,
-        CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS total_spending
+        CAST(sum(CAST(total_amount AS DECIMAL(38,6))) AS DOUBLE) AS total_spending
         FROM s_orders GROUP BY customer_id""",
     "features": """SELECT customer_id, customer_name, coalesce(total_orders, 0) AS total_orders,
         coalesce(total_spending, 0) AS total_spending,
@@ -47,7 +47,7 @@ _TABLES = {
     "labels_": """SELECT *, CAST(CASE WHEN total_spending <= (SELECT quantile_cont(total_spending, 0.5) FROM features)
         THEN 1 ELSE 0 END AS INTEGER) AS churn FROM features""",
     "monthly": """SELECT strftime(order_date, '%Y-%m') AS month,
-        CAST(sum(CAST(total_amount AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+        CAST(sum(CAST(total_amount AS DECIMAL(38,6))) AS DOUBLE) AS revenue
         FROM s_orders WHERE order_status <> 'Cancelled' GROUP BY 1""",
     "numbered": """SELECT month, row_number() OVER (ORDER BY month) AS month_number, revenue
         FROM monthly WHERE month IS NOT NULL""",
@@ -74,7 +74,7 @@ _TABLES = {
         QUALIFY rank <= 5""",
 }
 
-_MONEY = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
+_MONEY = "CAST(sum(CAST({} AS DECIMAL(38,6))) AS DOUBLE)"
 
 
 def _money(amount: str) -> str:
@@ -95,14 +95,26 @@ _QUERIES = {
         i.quantity * i.unit_price AS line_amount FROM s_items i LEFT JOIN s_products p ON i.product_id = p.product_id""",
     "order_detail": f"""SELECT o.order_id, o.customer_id, o.order_date, o.order_status, o.total_amount,
         coalesce(i.item_lines, 0) AS item_lines, coalesce(i.units, 0) AS units,
-        coalesce(i.items_amount, 0) AS items_amount, p.payment_date, p.payment_method, p.payment_status,
-        p.amount AS payment_amount, s.shipping_date, s.delivery_date, s.shipping_status
+        coalesce(i.items_amount, 0) AS items_amount, coalesce(p.payments, 0) AS payments,
+        coalesce(p.paid_amount, 0) AS paid_amount, coalesce(p.open_amount, 0) AS open_amount, p.last_payment_date,
+        coalesce(s.shipments, 0) AS shipments, s.first_shipping_date, s.last_delivery_date,
+        coalesce(s.undelivered, 0) AS undelivered
         FROM s_orders o
         LEFT JOIN (SELECT order_id, count(*) AS item_lines, CAST(sum(quantity) AS BIGINT) AS units,
             {_money('quantity * unit_price')} AS items_amount FROM s_items GROUP BY order_id) i
             ON o.order_id = i.order_id
-        LEFT JOIN s_payments p ON o.order_id = p.order_id
-        LEFT JOIN s_shipping s ON o.order_id = s.order_id""",
+        LEFT JOIN (SELECT order_id, count(*) AS payments, max(payment_date) AS last_payment_date,
+            {_money("CASE WHEN payment_status = 'Paid' THEN amount END")} AS paid_amount,
+            {_money("CASE WHEN payment_status <> 'Paid' THEN amount END")} AS open_amount
+            FROM s_payments GROUP BY order_id) p ON o.order_id = p.order_id
+        LEFT JOIN (SELECT order_id, count(*) AS shipments, min(shipping_date) AS first_shipping_date,
+            max(delivery_date) AS last_delivery_date, count(*) FILTER (delivery_date IS NULL) AS undelivered
+            FROM s_shipping GROUP BY order_id) s ON o.order_id = s.order_id""",
+    "order_payments": """SELECT p.order_id AS payment_id, p.order_id, customer_id, order_status, payment_date,
+        payment_method, payment_status, amount, total_amount FROM s_payments p LEFT JOIN s_orders USING (order_id)""",
+    "order_shipments": """SELECT s.order_id AS shipping_id, s.order_id, customer_id, order_status, shipping_date,
+        delivery_date, shipping_status, CAST(delivery_date - order_date AS BIGINT) AS days_to_delivery
+        FROM s_shipping s LEFT JOIN s_orders USING (order_id)""",
     # headline figures
     "total_revenue": f"""SELECT coalesce({_money('total_amount')}, 0) AS revenue
         FROM s_orders WHERE order_status <> 'Cancelled'""",
@@ -152,7 +164,7 @@ _QUERIES = {
         total_spending / total_orders AS average_order_value FROM spent JOIN s_customers USING (customer_id)
         ORDER BY total_spending DESC NULLS LAST, customer_id LIMIT 1""",
     "spending_stats": """SELECT count(*) AS count,
-        CAST(sum(CAST(total_spending AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean,
+        CAST(sum(CAST(total_spending AS DECIMAL(38,6))) AS DOUBLE) / count(*) AS mean,
         round(stddev_samp(total_spending), 4) AS std, min(total_spending) AS min,
         quantile_cont(total_spending, 0.25) AS q25, quantile_cont(total_spending, 0.5) AS q50,
         quantile_cont(total_spending, 0.75) AS q75, max(total_spending) AS max
@@ -160,9 +172,10 @@ _QUERIES = {
     "repeat_customers": """SELECT customer_id, customer_name, total_orders, total_spending
         FROM spent JOIN s_customers USING (customer_id) WHERE total_orders > 1""",
     "repeat_rate": """SELECT count(*) AS buyers, count(*) FILTER (total_orders > 1) AS repeat_buyers,
-        CAST(count(*) FILTER (total_orders > 1) AS DOUBLE) / count(*) AS repeat_rate FROM spent""",
+        CAST(count(*) FILTER (total_orders > 1) AS DOUBLE) / count(*) AS repeat_rate
+        FROM spent JOIN s_customers USING (customer_id)""",
     "high_value_customers": """SELECT customer_id, customer_name, total_spending,
-        total_spending / (SELECT CAST(sum(CAST(total_spending AS DECIMAL(18,2))) AS DOUBLE)
+        total_spending / (SELECT CAST(sum(CAST(total_spending AS DECIMAL(38,6))) AS DOUBLE)
             FROM spent JOIN s_customers USING (customer_id)) AS revenue_share
         FROM spent JOIN s_customers USING (customer_id)
         WHERE total_spending >= (SELECT quantile_cont(total_spending, 0.9) FROM spent JOIN s_customers USING (customer_id))""",
@@ -186,8 +199,23 @@ _QUERIES = {
         CAST(CASE WHEN after_cut = 0 THEN 1 ELSE 0 END AS INTEGER) AS churn FROM (
             SELECT customer_id, count(*) FILTER (order_date < cutoff) AS before_cut,
             count(*) FILTER (order_date >= cutoff AND order_date <= cutoff + 90) AS after_cut
-            FROM s_orders, (SELECT max(order_date) - 90 AS cutoff FROM s_orders) GROUP BY customer_id)
+            FROM s_orders JOIN s_customers USING (customer_id), (SELECT max(order_date) - 90 AS cutoff FROM s_orders)
+            GROUP BY customer_id)
         WHERE before_cut > 0""",
+    "churn_90d_features": "SELECT * FROM features_90d",
+    "churn_90d_counts": """SELECT n - CAST(ceil(0.2 * n) AS BIGINT) AS train_rows, CAST(ceil(0.2 * n) AS BIGINT) AS test_rows
+        FROM (SELECT count(*) AS n FROM features_90d)""",
+    "churn_metrics_summary": """SELECT n - CAST(ceil(0.2 * n) AS BIGINT) AS train_rows,
+        CAST(ceil(0.2 * n) AS BIGINT) AS test_rows, true AS accurate FROM (SELECT count(*) AS n FROM s_customers)""",
+    "churn_boosted_summary": """SELECT n - CAST(ceil(0.2 * n) AS BIGINT) AS train_rows,
+        CAST(ceil(0.2 * n) AS BIGINT) AS test_rows, true AS accurate FROM (SELECT count(*) AS n FROM s_customers)""",
+    "churn_scores_summary": """SELECT count(*) AS customers, CAST(0 AS BIGINT) AS outside, true AS falls_with_spending
+        FROM s_customers""",
+    "customer_clusters_summary": """SELECT count(*) AS customers, CAST(4 AS BIGINT) AS segments, true AS at_nearest
+        FROM s_customers""",
+    "reco_als_summary": """SELECT count(DISTINCT customer_id) AS customers, CAST(0 AS BIGINT) AS gaps,
+        CAST(0 AS BIGINT) AS unordered, CAST(0 AS BIGINT) AS unknown_products
+        FROM s_items JOIN s_orders USING (order_id)""",
     # forecast
     "monthly_ordinal": "SELECT month, month_number, revenue FROM numbered",
     "forecast_fit": "SELECT round(slope, 4) AS slope, round(intercept, 4) AS intercept, months FROM fit",
@@ -239,12 +267,40 @@ _QUERIES = {
         price AS unit_price, price * quantity AS total_amount
         FROM s_items i JOIN s_orders USING (order_id) JOIN s_products p ON i.product_id = p.product_id
         WHERE quantity > 0""",
+    "order_rejects": """SELECT * FROM (SELECT customer_id::VARCHAR AS customer_id, product_id::VARCHAR AS product_id,
+        quantity, order_date, CAST(NULL AS VARCHAR) AS order_status,
+        CASE WHEN quantity = 'x' THEN 'customer, product and a valid quantity are required'
+             WHEN unknown THEN 'product not found'
+             WHEN order_date = 'someday' THEN 'order_date is not a date' END AS reject_reason FROM requests)
+        WHERE reject_reason IS NOT NULL""",
+    "ingest_orders": f"""SELECT customer_id, CAST(order_date AS DATE) AS order_date, 'Pending' AS order_status,
+        count(*) AS orders, count(*) AS ids, {_money('price * CAST(quantity AS INTEGER)')} AS amount,
+        (SELECT max(order_id) FROM s_orders) AS above,
+        (SELECT max(order_id) FROM s_orders) + (SELECT count(*) FROM good_requests) AS highest
+        FROM good_requests GROUP BY 1, 2""",
+    "ingest_order_items": """SELECT customer_id, CAST(order_date AS DATE) AS order_date, CAST(product_id AS BIGINT) AS product_id,
+        CAST(quantity AS INTEGER) AS quantity, price AS unit_price, true AS amount_agrees,
+        (SELECT max(order_id) * 10 FROM s_items) - (SELECT max(order_id) FROM s_orders) AS "offset" FROM good_requests""",
+    "customer_rejects": """SELECT arrival, customer_name, email, city, state,
+        CASE WHEN trim(email) = '' THEN 'name and email are required' ELSE 'email is taken' END AS reject_reason
+        FROM (SELECT customer_id + n * 1000000000000 AS arrival,
+            CASE n WHEN 0 THEN '  ' || customer_name || ' ' ELSE 'too late' END AS customer_name,
+            CASE WHEN state = 'AFRICA' THEN ' ' ELSE email END AS email, city, state, n
+            FROM s_customers, (VALUES (0), (1)) v(n))
+        WHERE n = 1 OR state IN ('ASIA', 'AFRICA')""",
+    "product_rejects": """SELECT CASE WHEN brand = 'Brand#1' THEN '' ELSE product_name END AS product_name,
+        CAST(category_id AS VARCHAR) AS category_id, CAST(stock_quantity AS VARCHAR) AS stock_quantity, brand || ' ' AS brand,
+        CASE WHEN brand = 'Brand#1' THEN 'name and category are required' ELSE 'rating is not a number' END AS reject_reason
+        FROM s_products WHERE brand IN ('Brand#1', 'Brand#2')""",
+    "typed_rejects": """SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(customer_id AS VARCHAR) AS customer_id,
+        'unknown' AS order_date, order_status, 'order_date is not a date' AS reject_reason FROM s_orders
+        WHERE order_status = 'Cancelled'""",
     "ingest_customers": """SELECT customer_name, email, '' AS phone, city, state, 'India' AS country, '' AS gender,
         CAST(NULL AS INTEGER) AS age FROM s_customers WHERE state NOT IN ('ASIA', 'AFRICA')""",
     "ingest_products": """SELECT product_name, category_id, CASE WHEN stock_quantity < 5 THEN 0 ELSE price END AS price,
-        stock_quantity, brand, rating FROM s_products WHERE brand <> 'Brand#1'""",
-    "surrogate_keys": """SELECT new_rows, top + 1 AS first_id, top + new_rows AS last_id, new_rows AS distinct_ids
-        FROM (SELECT count(*) AS new_rows FROM s_items), (SELECT max(order_id) AS top FROM s_orders)""",
+        stock_quantity, brand, rating FROM s_products WHERE brand NOT IN ('Brand#1', 'Brand#2')""",
+    "surrogate_keys": """SELECT top + i AS order_id FROM (SELECT max(order_id) AS top FROM s_orders),
+        (SELECT row_number() OVER () AS i FROM s_items)""",
     "typed_orders": """SELECT order_id, customer_id, order_date, order_status, total_amount FROM s_orders
         WHERE order_status <> 'Cancelled'""",
     "dedup_load": """SELECT order_id, customer_id, order_date, order_status, total_amount FROM s_orders""",
@@ -279,16 +335,29 @@ _QUERIES = {
         WHERE stock_quantity <= 30""",
     "realtime_sales_batch": f"""SELECT CAST(ts AS DATE) AS day, count(*) AS purchases, {_money('value')} AS revenue
         FROM events WHERE event_type = 'purchase' GROUP BY 1""",
-    # Days whose end lies a day or more before the last purchase are final.
     "realtime_sales_stream": f"""SELECT CAST(ts AS DATE) AS day, count(*) AS purchases, {_money('value')} AS revenue
-        FROM events WHERE event_type = 'purchase' GROUP BY 1
-        HAVING CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events WHERE event_type = 'purchase')""",
+        FROM events WHERE event_type = 'purchase' GROUP BY 1""",
 }
 
+_TABLES["requests"] = """SELECT o.customer_id, i.product_id % 7 = 0 AS unknown,
+    CASE WHEN i.product_id % 7 = 0 THEN '9000000000' || i.product_id ELSE i.product_id::VARCHAR END AS product_id,
+    CASE WHEN o.customer_id % 5 = 0 THEN 'x' ELSE i.quantity::VARCHAR END AS quantity,
+    CASE WHEN o.customer_id % 11 = 0 THEN 'someday' ELSE o.order_date::VARCHAR END AS order_date
+    FROM s_items i JOIN s_orders o USING (order_id)"""
+_TABLES["good_requests"] = """SELECT r.*, p.price FROM requests r JOIN s_products p ON r.product_id = p.product_id::VARCHAR
+    WHERE quantity <> 'x' AND NOT unknown AND order_date <> 'someday' AND CAST(quantity AS INTEGER) > 0"""
+_TABLES["features_90d"] = f"""SELECT customer_id, count(*) AS total_orders, {_money('total_amount')} AS total_spending,
+    {_money('total_amount')} / count(*) AS average_order_value, any_value(churn) AS churn
+    FROM s_orders JOIN (SELECT customer_id, any_value(cutoff) AS cutoff,
+        CAST(CASE WHEN count(*) FILTER (order_date >= cutoff AND order_date <= cutoff + 90) = 0 THEN 1 ELSE 0 END AS INTEGER) AS churn
+        FROM s_orders JOIN s_customers USING (customer_id), (SELECT max(order_date) - 90 AS cutoff FROM s_orders)
+        GROUP BY customer_id HAVING count(*) FILTER (order_date < cutoff) > 0) USING (customer_id)
+    WHERE order_date < cutoff GROUP BY customer_id"""
 _TABLES["rfm_measures"] = f"""SELECT customer_id,
     CAST((SELECT max(order_date) FROM s_orders WHERE order_status <> 'Cancelled') - max(order_date) AS BIGINT) AS recency,
     count(*) AS frequency, {_money('total_amount')} AS monetary
-    FROM s_orders WHERE order_status <> 'Cancelled' GROUP BY customer_id"""
+    FROM s_orders WHERE order_status <> 'Cancelled' AND customer_id IN (SELECT customer_id FROM s_customers)
+    GROUP BY customer_id"""
 
 
 def _needed(text: str) -> list[str]:

@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cartlight.functions.money import money_sum
 from cartlight.operators import (
     churn, customers, forecast, ingest, kpi, recommend, sales, segments, views,
 )
-from cartlight.session import checkpoint_folder, prepare
+from cartlight.session import checkpoint_folder, materialize, prepare
 from cartlight.sources import store
 from cartlight.sources.starschema import event_schema, scan, shop_tables
 from cartlight.streaming import realtime
@@ -36,7 +37,49 @@ def _order_pricing(tables: Tables) -> DataFrame:
     return ingest.priced_orders(_order_requests(tables), tables)[0]
 
 
-def _ingest_customers(tables: Tables) -> DataFrame:
+def _faulty_requests(tables: Tables) -> DataFrame:
+    """Every order item as a request; some without quantity, some for unknown products, some on no day."""
+    good = _order_requests(tables)
+    product, customer = F.col("product_id").cast("bigint"), F.col("customer_id").cast("bigint")
+    return good.withColumns({
+        "quantity": F.when(customer % 5 == 0, "x").otherwise(F.col("quantity")),
+        "product_id": F.when(product % 7 == 0, F.concat(F.lit("9000000000"), "product_id")).otherwise(F.col("product_id")),
+        "order_date": F.when(customer % 11 == 0, "someday").otherwise(F.col("order_date")),
+    })
+
+
+def _order_rejects(tables: Tables) -> DataFrame:
+    return ingest.priced_orders(_faulty_requests(tables), tables)[1]
+
+
+def _numbered_orders(tables: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All items ordered anew, over items that have ids."""
+    ids = tables.order_items.withColumn("order_item_id", F.col("order_id") * 10)
+    return ingest.ingest_orders(_faulty_requests(tables), tables.replace(order_items=ids))
+
+
+def _ingest_orders(tables: Tables) -> DataFrame:
+    """Per customer and day the new orders, and how their ids lie: which order gets which id is free."""
+    orders, _, _ = _numbered_orders(tables)
+    return orders.groupBy("customer_id", "order_date", "order_status").agg(
+        F.count(F.lit(1)).alias("orders"), F.countDistinct("order_id").alias("ids"),
+        money_sum(F.col("total_amount")).alias("amount"),
+    ).withColumn("above", orders.agg(F.min("order_id")).scalar() - 1).withColumn(
+        "highest", orders.agg(F.max("order_id")).scalar())
+
+
+def _ingest_order_items(tables: Tables) -> DataFrame:
+    """Every new item beside the customer and day of the order it points to."""
+    orders, items, _ = _numbered_orders(tables)
+    joined = items.join(orders, "order_id")
+    return joined.select(
+        "customer_id", "order_date", "product_id", "quantity", "unit_price",
+        (F.col("quantity") * F.col("unit_price") == F.col("total_amount")).alias("amount_agrees"),
+        (F.col("order_item_id") - F.col("order_id")).alias("offset"),
+    )
+
+
+def _customer_forms(tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Every customer as a form, twice, over a store that knows Asia already; Africa forgot the e-mail."""
     people = tables.customers
     blank = F.lit(None).cast("string")
@@ -48,11 +91,19 @@ def _ingest_customers(tables: Tables) -> DataFrame:
     )
     later = forms.withColumn("arrival", F.col("arrival") + 10**12).withColumn("customer_name", F.lit("too late"))
     stored = tables.replace(customers=people.filter("state = 'ASIA'"))
-    return ingest.ingest_customers(forms.unionByName(later), stored)[0].drop("customer_id", "registration_date")
+    return ingest.ingest_customers(forms.unionByName(later), stored)
 
 
-def _ingest_products(tables: Tables) -> DataFrame:
-    """Every product as a form; scarce ones without price, one brand without names."""
+def _ingest_customers(tables: Tables) -> DataFrame:
+    return _customer_forms(tables)[0].drop("customer_id", "registration_date")
+
+
+def _customer_rejects(tables: Tables) -> DataFrame:
+    return _customer_forms(tables)[1].select("arrival", "customer_name", "email", "city", "state", ingest.REASON)
+
+
+def _product_forms(tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every product as a form; scarce ones without price, one brand without names, one with a rating in words."""
     products = tables.products
     forms = products.select(
         F.when(products.brand == "Brand#1", "").otherwise(products.product_name).alias("product_name"),
@@ -60,32 +111,93 @@ def _ingest_products(tables: Tables) -> DataFrame:
         F.when(products.stock_quantity < 5, " ").otherwise(products.price.cast("string")).alias("price"),
         products.stock_quantity.cast("string").alias("stock_quantity"),
         F.concat("brand", F.lit(" ")).alias("brand"),
-        products.rating.cast("string").alias("rating"),
+        F.when(products.brand == "Brand#2", "good").otherwise(products.rating.cast("string")).alias("rating"),
     )
-    return ingest.ingest_products(forms, tables)[0].drop("product_id")
+    return ingest.ingest_products(forms, tables)
+
+
+def _ingest_products(tables: Tables) -> DataFrame:
+    return _product_forms(tables)[0].drop("product_id")
+
+
+def _product_rejects(tables: Tables) -> DataFrame:
+    return _product_forms(tables)[1].select("product_name", "category_id", "stock_quantity", "brand", ingest.REASON)
 
 
 def _surrogate_keys(tables: Tables) -> DataFrame:
-    """New order ids for as many rows as there are order items."""
-    rows = ingest.with_new_ids(tables.order_items.select("product_id"), "order_id", tables.orders)
-    return rows.agg(
-        F.count(F.lit(1)).alias("new_rows"), F.min("order_id").alias("first_id"),
-        F.max("order_id").alias("last_id"), F.countDistinct("order_id").alias("distinct_ids"),
-    )
+    """New order ids, one row each, for as many rows as there are order items."""
+    return ingest.with_new_ids(tables.order_items.select("product_id"), "order_id", tables.orders).select("order_id")
 
 
-def _typed_orders(tables: Tables) -> DataFrame:
-    """Every order as text, cancelled ones with a date that does not parse; the rows that type."""
+def _typing(tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every order as text, cancelled ones with a date that does not parse."""
     text = tables.orders.select(*[F.col(c).cast("string") for c in tables.orders.columns])
     day = F.when(F.col("order_status") == "Cancelled", "unknown").otherwise(F.concat("order_date", F.lit(" 10:00")))
-    return store.typed(text.withColumn("order_date", day), "orders")[0]
+    return store.typed(text.withColumn("order_date", day), "orders")
+
+
+def _typed_orders(tables: Tables) -> DataFrame:
+    return _typing(tables)[0]
+
+
+def _typed_rejects(tables: Tables) -> DataFrame:
+    return _typing(tables)[1].select("order_id", "customer_id", "order_date", "order_status", "reject_reason")
 
 
 def _dedup_load(tables: Tables) -> DataFrame:
-    """All orders loaded twice over a store that already holds the delivered ones."""
+    """All orders loaded over a store that holds the delivered ones, each again later with another status."""
     stored = tables.orders.filter("order_status = 'Delivered'")
-    batch = tables.orders.unionByName(tables.orders)
-    return stored.unionByName(ingest.new_rows(batch, stored, ["order_id"]))
+    batch = tables.orders.withColumn("arrival", F.lit(1)).unionByName(
+        tables.orders.withColumn("order_status", F.lit("Late")).withColumn("arrival", F.lit(2)))
+    return stored.unionByName(ingest.new_rows(batch, stored, ["order_id"], ["arrival"]).drop("arrival"))
+
+
+def _segment_summary(tables: Tables) -> DataFrame:
+    """What must hold of any segments: everybody has one, and nobody lies nearer to another segment's centre."""
+    rows = materialize(segments.customer_clusters(tables).join(
+        segments.standardized(tables), "customer_id").select("customer_id", "segment", *segments.SCALED))
+    centres = rows.groupBy("segment").agg(*[F.avg(c).alias(f"_{c}") for c in segments.SCALED])
+    own = F.aggregate(F.array(*[(F.col(c) - F.col(f"_{c}")) ** 2 for c in segments.SCALED]), F.lit(0.0), lambda s, x: s + x)
+    table = centres.agg(F.collect_list(F.struct(*centres.columns))).scalar()  # one row a segment
+    every = F.transform("centres", lambda m: sum(((F.col(c) - m[f"_{c}"]) ** 2 for c in segments.SCALED), F.lit(0.0)))
+    return rows.join(F.broadcast(centres), "segment").withColumn("centres", table).agg(
+        F.countDistinct("customer_id").alias("customers"), F.countDistinct("segment").alias("segments"),
+        (F.avg(F.when(own <= F.array_min(every) + 1e-6, 1.0).otherwise(0.0)) >= 0.99).alias("at_nearest"),
+    )
+
+
+def _churn_summary(tables: Tables) -> DataFrame:
+    """What must hold of the scores: everybody has one within 0 and 1, and those who spend least are most at risk."""
+    scores = materialize(churn.churn_scores(tables))
+    cut = scores.agg(F.avg("total_spending")).scalar()
+    judged = scores.withColumn("cut", cut)
+    return judged.agg(
+        F.countDistinct("customer_id").alias("customers"),
+        F.count_if(~F.col("churn_probability").between(0, 1)).alias("outside"),
+        (F.avg(F.when(F.col("total_spending") <= F.col("cut"), F.col("churn_probability")))
+         > F.avg(F.when(F.col("total_spending") > F.col("cut"), F.col("churn_probability")))).alias("falls_with_spending"),
+    )
+
+
+def _metrics_summary(kind: str) -> Callable[[Tables], DataFrame]:
+    return lambda tables: churn.train_and_test(tables, kind)[1].select(
+        "train_rows", "test_rows", (F.col("accuracy") >= 0.9).alias("accurate"))
+
+
+def _als_summary(tables: Tables) -> DataFrame:
+    """What must hold of the recommendations: ranks without gaps, known products, falling scores."""
+    rows = materialize(segments.reco_als(tables))
+    known = rows.join(tables.products.select("product_id"), "product_id", "left_semi").agg(F.count(F.lit(1))).scalar()
+    per = rows.groupBy("customer_id").agg(
+        F.max("rank").alias("last"), F.countDistinct("rank").alias("ranks"), F.countDistinct("product_id").alias("products"),
+        F.max_by("score", -F.col("rank")).alias("top"), F.max("score").alias("best"),
+    )
+    return per.agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count_if((F.col("last") != F.col("ranks")) | (F.col("ranks") != F.col("products")) | (F.col("last") > 5)).alias("gaps"),
+        F.count_if(F.col("top") < F.col("best")).alias("unordered"),
+        F.sum("ranks").alias("_all"),
+    ).withColumn("unknown_products", F.col("_all") - known).drop("_all")
 
 
 def _upsert_latest(tables: Tables) -> DataFrame:
@@ -111,14 +223,14 @@ def _forecast_fit(tables: Tables) -> DataFrame:
 
 
 def _sales_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The event files run through the streaming job once; its final days.
+    """The event files run through the streaming job once; all its days.
 
     A stream reads a folder or a pattern, so the one file is named by a pattern.
     """
     run = f"{checkpoint_folder(spark)}/realtime-{uuid.uuid4().hex}"
     events = realtime.read_events(spark, f"{folder}/events.parque[t]", event_schema())
     realtime.write_daily_revenue(events, f"{run}/days", f"{run}/state").awaitTermination()
-    return spark.read.schema("day date, purchases bigint, revenue double").parquet(f"{run}/days")
+    return realtime.read_days(spark, f"{run}/days")
 
 
 def queries() -> dict[str, Query]:
@@ -132,6 +244,8 @@ def queries() -> dict[str, Query]:
         "product_lookup": views.product_lookup,
         "order_lines": views.order_lines,
         "order_detail": views.order_detail,
+        "order_payments": views.order_payments,
+        "order_shipments": views.order_shipments,
         # headline figures
         "total_revenue": kpi.total_revenue,
         "total_orders": kpi.total_orders,
@@ -168,6 +282,12 @@ def queries() -> dict[str, Query]:
         "churn_fallback_risk": churn.fallback_risk,
         "churn_top5": lambda tables: churn.top_risk(churn.fallback_risk(tables)),
         "churn_label_90d": churn.churn_label_90d,
+        "churn_90d_features": churn.churn_90d_features,
+        "churn_90d_metrics": churn.churn_90d_metrics,
+        "churn_90d_counts": lambda tables: churn.churn_90d_metrics(tables).select("train_rows", "test_rows"),
+        "churn_metrics_summary": _metrics_summary("forest"),
+        "churn_boosted_summary": _metrics_summary("boosted"),
+        "churn_scores_summary": _churn_summary,
         # forecast
         "monthly_ordinal": forecast.monthly_ordinal,
         "forecast_fit": _forecast_fit,
@@ -185,6 +305,12 @@ def queries() -> dict[str, Query]:
         "reco_unseen": recommend.reco_unseen,
         # ingest
         "order_pricing": _order_pricing,
+        "order_rejects": _order_rejects,
+        "ingest_orders": _ingest_orders,
+        "ingest_order_items": _ingest_order_items,
+        "customer_rejects": _customer_rejects,
+        "product_rejects": _product_rejects,
+        "typed_rejects": _typed_rejects,
         "ingest_customers": _ingest_customers,
         "ingest_products": _ingest_products,
         "surrogate_keys": _surrogate_keys,
@@ -195,7 +321,9 @@ def queries() -> dict[str, Query]:
         "rfm_scores": segments.rfm_scores,
         "customer_clusters": segments.customer_clusters,
         "monthly_trend": forecast.monthly_trend,
+        "customer_clusters_summary": _segment_summary,
         "reco_als": segments.reco_als,
+        "reco_als_summary": _als_summary,
         "inventory_alerts": segments.inventory_alerts,
     }
     registered = {name: _over_shop(job) for name, job in over_shop.items()}

@@ -12,29 +12,110 @@ from cartlight.session import prepare
 from cartlight.tables import TABLE_NAMES, Tables
 
 _REJECT = "reject_reason"
+_WHOLE, _BATCHES, _VERSIONS = "_WHOLE", "_batches", "_versions"
 
 
 def read_store(spark: SparkSession, folder: str) -> Tables:
-    """Scan the eight tables from ``folder/<table>`` with their fixed schemas."""
+    """Scan the eight tables from ``folder/<table>``, their newest version and the whole batches, with fixed schemas."""
     prepare(spark)
-    return Tables({
-        name: (lambda name=name: spark.read.schema(schemas.schema(name)).parquet(f"{folder}/{name}"))
-        for name in TABLE_NAMES
-    })
+    return Tables({name: (lambda name=name: _read(spark, folder, name)) for name in TABLE_NAMES})
+
+
+def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    scan = spark.read.schema(schemas.schema(name))
+    versions = whole_folders(spark, f"{folder}/{_VERSIONS}/{name}")
+    held: set[str] = set()
+    paths = [f"{folder}/{name}"]
+    if versions:
+        paths = [f"{versions[-1]}/rows"]
+        rows = spark.read.schema("batch string").parquet(f"{versions[-1]}/batches").collect()  # a row per batch held
+        held = {row["batch"] for row in rows}
+    for batch in whole_folders(spark, f"{folder}/{_BATCHES}"):
+        files, place = _filesystem(spark, f"{batch}/{name}")
+        if batch.rsplit("/", 1)[1] not in held and files.exists(place):
+            paths.append(f"{batch}/{name}")
+    files, first = _filesystem(spark, paths[0])
+    if len(paths) > 1 and not files.exists(first):
+        paths = paths[1:]
+    return scan.parquet(*paths)
 
 
 def append(df: DataFrame, folder: str, table: str) -> None:
     """Append rows with exactly the table's columns and types; nothing is written if a value does not fit."""
+    _checked(df, table).write.mode("append").parquet(f"{folder}/{table}")
+
+
+def _checked(df: DataFrame, table: str) -> DataFrame:
     wanted = schemas.schema(table)
     typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted.fields])
     required = [f.name for f in wanted.fields if not f.nullable]
-    checked = typed.select(*[
+    return typed.select(*[
         F.when(F.col(name).isNotNull(), F.col(name))
         .otherwise(F.raise_error(F.lit(f"{table}.{name} must not be null"))).alias(name)
         if name in required else F.col(name)
         for name in typed.columns
     ])
-    checked.write.mode("append").parquet(f"{folder}/{table}")
+
+
+def _filesystem(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def mark_whole(spark: SparkSession, folder: str) -> None:
+    """Say, by an empty file written last, that everything in ``folder`` has been written."""
+    files, place = _filesystem(spark, f"{folder}/{_WHOLE}")
+    files.create(place, True).close()
+
+
+def is_whole(spark: SparkSession, folder: str) -> bool:
+    files, place = _filesystem(spark, f"{folder}/{_WHOLE}")
+    return files.exists(place)
+
+
+def whole_folders(spark: SparkSession, folder: str) -> list[str]:
+    """The marked folders in ``folder``, by name."""
+    files, pattern = _filesystem(spark, f"{folder}/*/{_WHOLE}")
+    found = files.globStatus(pattern) or []
+    return sorted(str(status.getPath().getParent().toString()) for status in found)
+
+
+def append_batch(frames: dict[str, DataFrame], folder: str, batch_id: str) -> bool:
+    """Append rows to several tables as one: readers see all of them or none. Says whether anything was written.
+
+    The rows go to a folder of the batch that ``read_store`` only reads once its marker, written last, is there. A
+    batch that failed can be run again under its id; one that is stored already is left alone.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    home = f"{folder}/{_BATCHES}/{batch_id}"
+    if is_whole(spark, home):
+        return False
+    for table, df in frames.items():
+        _checked(df, table).write.mode("overwrite").parquet(f"{home}/{table}")
+    mark_whole(spark, home)
+    return True
+
+
+def write_snapshot(df: DataFrame, folder: str, table: str, version: str) -> None:
+    """Replace a table by a new version beside the old ones, so that it can be made from the table itself.
+
+    The newest marked version, by name, is what ``read_store`` reads instead of the table's first folder. Batches
+    that the version already holds are listed in it and no longer added.
+    """
+    spark = df.sparkSession
+    home = f"{folder}/{_VERSIONS}/{table}/{version}"
+    held = whole_folders(spark, f"{folder}/{_BATCHES}")
+    _checked(df, table).write.mode("overwrite").parquet(f"{home}/rows")
+    names = [(b.rsplit("/", 1)[1],) for b in held]
+    spark.createDataFrame(names, "batch string").coalesce(1).write.mode("overwrite").parquet(f"{home}/batches")
+    mark_whole(spark, home)
+
+
+def read_bucketed(spark: SparkSession, database: str, tables: Tables) -> Tables:
+    """``tables`` with orders and order items read from the bucketed copies, whose join needs no shuffle."""
+    return tables.replace(
+        orders=spark.table(f"{database}.orders"), order_items=spark.table(f"{database}.order_items")
+    )
 
 
 def write_bucketed(tables: Tables, database: str, buckets: int) -> None:

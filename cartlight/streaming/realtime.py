@@ -8,49 +8,53 @@ from pyspark.sql.streaming import StreamingQuery
 from cartlight.functions.money import money_sum
 from cartlight.session import prepare
 
-LATE_BY = "1 day"
+DAYS = "purchases bigint, revenue double, day date"
 
 
-def read_events(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream over the Parquet files that arrive in ``folder``."""
-    prepare(spark)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def read_events(
+    spark: SparkSession, folder: str, schema: str, files_per_batch: int | None = None, state_partitions: int = 8
+) -> DataFrame:
+    """A stream over the Parquet files that arrive in ``folder``, all that are there in one batch unless capped.
+
+    The state is one row per day, so few state partitions do. They are set in a session of the stream's own; a query
+    keeps the number it was first started with.
+    """
+    own = prepare(spark.newSession())
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    reader = own.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
-def daily_revenue(events: DataFrame, late_by: str = LATE_BY) -> DataFrame:
+def daily_revenue(events: DataFrame) -> DataFrame:
     """Purchases and revenue per UTC day, for a batch or a stream.
 
-    As a stream a day is final, and its state dropped, once an event ``late_by`` after its end has
-    been seen.
+    A stream keeps one row of state per day and no watermark: an event counts however late it comes.
     """
-    bought = events.filter(F.col("event_type") == "purchase").select(
-        F.col("ts").cast("timestamp").alias("ts"), "value"
-    )
-    return (
-        bought.withWatermark("ts", late_by)
-        .groupBy(F.window("ts", "1 day").alias("w"))
-        .agg(F.count(F.lit(1)).alias("purchases"), money_sum(F.col("value")).alias("revenue"))
-        .select(F.to_date("w.start").alias("day"), "purchases", "revenue")
+    day = F.to_date(F.col("ts").cast("timestamp")).alias("day")
+    bought = events.filter(F.col("event_type") == "purchase").select(day, "value")
+    return bought.groupBy("day").agg(
+        F.count(F.lit(1)).alias("purchases"), F.coalesce(money_sum(F.col("value")), F.lit(0.0)).alias("revenue")
     )
 
 
-def write_daily_revenue(
-    events: DataFrame, target: str, checkpoint: str, late_by: str = LATE_BY, state_partitions: int = 8
-) -> StreamingQuery:
-    """Append final days to Parquet files in ``target``, working through all files present, then stopping.
+def write_daily_revenue(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Keep ``target`` up to date, a partition per day, working through all files present, then stopping.
 
     The offsets and state in ``checkpoint`` make a restarted query continue without loss or repeats.
-    The state is one row per open day, so few state partitions do; a query keeps the number it was
-    first started with.
     """
-    spark = events.sparkSession
-    session_partitions = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))  # a query copies it when it starts
-    try:
-        return (
-            daily_revenue(events, late_by).writeStream.outputMode("append").format("parquet")
-            .option("path", target).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start()
-        )
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", session_partitions)
+
+    def replace(days: DataFrame, batch: int) -> None:
+        days.select("purchases", "revenue", "day").repartition("day").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("day").parquet(target)
+
+    return (
+        daily_revenue(events).writeStream.outputMode("update").foreachBatch(replace)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def read_days(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.schema(DAYS).parquet(target).select("day", "purchases", "revenue")

@@ -3,7 +3,7 @@
 import pytest
 
 from cartlight.functions.parsing import iso_date, whole_number
-from cartlight.operators import churn, customers, forecast, kpi, recommend, sales, views
+from cartlight.operators import churn, customers, forecast, kpi, recommend, sales, segments, views
 from tests.seed import customer, item, order, product, seed_rows, shop
 
 
@@ -53,6 +53,35 @@ def test_orphans(odd):
     assert sum(r["revenue"] for r in sales.category_revenue(odd).collect()) == 220300.0
 
 
+def test_orphan_buyers_are_nobody(odd):
+    assert customers.repeat_rate(odd).first()["buyers"] == customers.customer_profile(odd).count()
+    assert 999 not in {r["customer_id"] for r in segments.rfm_scores(odd).collect()}
+    assert 999 not in {r["customer_id"] for r in churn.churn_label_90d(odd).collect()}
+
+
+def test_small_and_missing_amounts(spark):
+    def revenue(amounts):
+        orders = [order(k, 1, "2025-05-01", total=a) for k, a in enumerate(amounts, 1)]
+        return kpi.total_revenue(shop(spark, **{**seed_rows(), "orders": orders})).first()[0]
+
+    assert revenue([0.004] * 1000) == 4.0
+    assert revenue([0.125] * 8) == 1.0
+    assert revenue([float("nan"), float("inf"), 2.5, None]) == 2.5
+
+
+def test_two_payments_and_shipments(spark):
+    rows = seed_rows()
+    payment, shipment = list(rows["payments"][0]), list(rows["shipping"][0])
+    rows["payments"] = [tuple(payment), (99, payment[1], payment[2], "Card", "Pending", 40.0)]
+    rows["shipping"] = [tuple(shipment), (99, shipment[1], shipment[2], None, "In Transit", None)]
+    tables = shop(spark, **rows)
+    detail = {r["order_id"]: r for r in views.order_detail(tables).collect()}[payment[1]]
+    assert (detail["payments"], detail["paid_amount"], detail["open_amount"]) == (2, payment[5], 40.0)
+    assert (detail["shipments"], detail["undelivered"], detail["last_delivery_date"]) == (2, 1, shipment[3])
+    assert views.order_payments(tables).count() == 2 and views.order_shipments(tables).count() == 2
+    assert "SortAggregate" not in views.order_detail(tables)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_months(odd):
     months = [(r["month"], r["revenue"]) for r in sales.monthly_revenue(odd).collect()]
     assert months == [(None, 7.0), ("2025-05", 218900.0), ("2025-08", 500.0)]

@@ -103,8 +103,8 @@ def test_order_detail(seed):
     rows = {r["order_id"]: r for r in views.order_detail(seed).collect()}
     off = {k: r["total_amount"] - r["items_amount"] for k, r in rows.items() if r["total_amount"] != r["items_amount"]}
     assert off == {2: -1000.0, 6: -1000.0, 7: 600.0}
-    assert (rows[9]["payment_status"], rows[9]["shipping_status"], rows[9]["shipping_date"]) == (
-        "Pending", "Processing", None)
+    assert (rows[9]["paid_amount"], rows[9]["open_amount"], rows[9]["undelivered"]) == (0.0, 1800.0, 1)
+    assert (rows[1]["paid_amount"], rows[1]["open_amount"], rows[1]["shipments"]) == (66200.0, 0.0, 1)
     assert views.order_lines(seed).count() == 16
 
 

@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from cartlight import schemas
 from cartlight.operators import ingest
@@ -33,7 +34,9 @@ def test_customers(spark, seed):
     assert {ann["customer_id"], ben["customer_id"]} == {11, 12}
     assert ann["registration_date"] is not None
     assert {r["arrival"]: r["reject_reason"] for r in rejected.collect()} == {
-        4: "name and email are required", 5: "name and email are required", 7: "age is not a whole number"}
+        2: "email is taken", 3: "email is taken", 4: "name and email are required", 5: "name and email are required",
+        7: "age is not a whole number"}
+    assert accepted.count() + rejected.count() == batch.count()
 
 
 def test_products(spark, seed):
@@ -91,6 +94,81 @@ def test_orders(spark, seed):
     assert "customer not found" in {r["reject_reason"] for r in more.collect()}
 
 
+def test_ids_stay_when_the_tables_grow(spark, seed):
+    """Live catalogue tables: what is appended meanwhile does not move ids already given."""
+    spark.sql("create database if not exists live_shop")
+    try:
+        for name in ("orders", "order_items"):
+            getattr(seed, name).write.mode("overwrite").saveAsTable(f"live_shop.{name}")
+        live = seed.replace(orders=spark.table("live_shop.orders"), order_items=spark.table("live_shop.order_items"))
+        batch = forms(spark, ORDER, [("1", "3", "2", None, "2025-06-01"), ("2", "4", "1", None, "2025-06-02")])
+        orders, items, _ = ingest.ingest_orders(batch, live)
+        orders.write.mode("append").saveAsTable("live_shop.orders")
+        items.select(*seed.order_items.columns).write.mode("append").saveAsTable("live_shop.order_items")
+        lines = spark.table("live_shop.order_items").join(spark.table("live_shop.orders"), "order_id").filter("order_id > 10")
+        assert sorted((r["order_id"], r["order_item_id"]) for r in lines.collect()) == [(11, 17), (12, 18)]
+        assert all(r["quantity"] * r["unit_price"] == r["total_amount"] for r in lines.collect())
+    finally:
+        spark.sql("drop database live_shop cascade")
+
+
+def test_a_failed_batch_can_be_repeated(spark, seed, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    for name in ("orders", "order_items", "products"):
+        store.append(getattr(seed, name), folder, name)
+    batch = forms(spark, ORDER, [("1", "3", "2", None, "2025-06-01"), ("2", "4", "1", None, "2025-06-02")])
+
+    def load():
+        orders, items, _ = ingest.ingest_orders(batch, store.read_store(spark, folder))
+        return store.append_batch({"orders": orders, "order_items": items}, folder, "2025-06-02")
+
+    def counts():
+        now = store.read_store(spark, folder)
+        return now.orders.count(), now.order_items.count()
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "mark_whole", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            load()
+    assert counts() == (10, 16)
+    assert load() is True and counts() == (12, 18)
+    assert load() is False and counts() == (12, 18)
+    now = store.read_store(spark, folder)
+    lines = now.order_items.join(now.orders, "order_id").filter("order_id > 10").collect()
+    assert len(lines) == 2 and all(r["quantity"] * r["unit_price"] == r["total_amount"] for r in lines)
+
+
+def test_an_upsert_is_stored_and_read_back(spark, seed, tmp_path):
+    folder = str(tmp_path)
+    store.append(seed.products, folder, "products")
+    new = seed.products.filter("product_id = 1").withColumn("product_id", F.lit(15).cast("bigint"))
+    store.append_batch({"products": new}, folder, "b1")
+    now = store.read_store(spark, folder).products
+    changes = now.filter("product_id in (2, 3)").withColumn("price", F.lit(1.0)).withColumn("version", F.lit(1)).withColumn(
+        "gone", F.col("product_id") == 3)
+    store.write_snapshot(ingest.upsert_by_key(now, changes, ["product_id"], "version", "gone"), folder, "products", "v1")
+    after = {r["product_id"]: r["price"] for r in store.read_store(spark, folder).products.collect()}
+    assert len(after) == 14 and after[2] == 1.0 and 3 not in after and after[15] == 65000.0
+    store.append_batch({"products": new.withColumn("product_id", F.lit(16).cast("bigint"))}, folder, "b2")
+    assert store.read_store(spark, folder).products.count() == 15
+
+
+def test_the_first_row_wins_in_any_order(spark):
+    rows = [(1, "a", 2), (1, "b", 1), (1, "c", 1), (2, None, 1), (None, "d", 1), (None, "e", 2)]
+    none = spark.createDataFrame([], "k bigint")
+    for batch in (rows, rows[::-1], rows[3:] + rows[:3]):
+        frame = spark.createDataFrame(batch, "k bigint, x string, arrival int").repartition(3)
+        got = {(r["k"], r["x"]) for r in ingest.new_rows(frame, none, ["k"], ["arrival"]).collect()}
+        assert got == {(1, "b"), (2, None), (None, "d")}
+
+
+def test_equal_versions_have_one_winner(spark):
+    current = spark.createDataFrame([(1, "old")], "k bigint, x string")
+    for rows in ([(1, "p", 3), (1, "q", 3)], [(1, "q", 3), (1, "p", 3)]):
+        changes = spark.createDataFrame(rows, "k bigint, x string, v int").repartition(2)
+        assert [tuple(r) for r in ingest.upsert_by_key(current, changes, ["k"], "v").collect()] == [(1, "p")]
+
+
 def test_loading_twice_changes_nothing(seed):
     keys = schemas.NATURAL_KEYS["products"]
     fresh = ingest.new_rows(seed.products.unionByName(seed.products), seed.products.limit(0), keys)
@@ -145,7 +223,8 @@ def test_bucketed_join_needs_no_shuffle(spark, seed):
     store.write_bucketed(seed, "bucketed_shop", 4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        orders, items = spark.table("bucketed_shop.orders"), spark.table("bucketed_shop.order_items")
+        bucketed = store.read_bucketed(spark, "bucketed_shop", seed)
+        orders, items = bucketed.orders, bucketed.order_items
         plan = items.join(orders.select("order_id"), "order_id")._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
     finally:

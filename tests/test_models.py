@@ -67,6 +67,41 @@ def test_load_or_fit_churn(spark, seed, tmp_path):
     assert churn_model.labels == [0, 1] and line.first()["months"] == 1
 
 
+def test_a_crashed_save_counts_as_none(spark, seed, tmp_path):
+    path = str(tmp_path / "line")
+    crashed = f"{path}/00000000000000000001/line/_temporary"
+    spark.createDataFrame([(1,)], "x int").write.parquet(crashed)
+    assert models_io.load_or_fit_forecast(spark, seed, path).first()["months"] == 1
+    assert models_io.load_churn(spark, str(tmp_path / "nothing")) is None
+
+
+def test_churn_after_the_cutoff(spark):
+    from tests.seed import customer
+
+    rows = [order(k, k % 40 + 1, f"2025-0{1 + k % 6}-10", total=float(k)) for k in range(1, 200)]
+    tables = shop(spark, **{**seed_rows(), "customers": [customer(k) for k in range(1, 31)], "orders": rows})
+    features = churn.churn_90d_features(tables, cutoff="2025-03-01").collect()
+    assert {r["customer_id"] for r in features} <= set(range(1, 31))  # orphans have no label
+    for r in features:
+        own = [o for o in rows if o[1] == r["customer_id"]]
+        assert r["total_orders"] == sum(str(o[2]) < "2025-03-01" for o in own)
+        assert r["churn"] == int(not any("2025-03-01" <= str(o[2]) <= "2025-05-30" for o in own))
+    with pytest.raises(ValueError):
+        churn.fit_churn(churn.churn_features(tables).withColumn("churn", F.lit(2)))
+
+
+def test_recommendations_for_any_id(spark):
+    from tests.seed import customer, item
+
+    big = 3_000_000_000
+    rows = seed_rows()
+    rows["customers"] += [customer(big)]
+    rows["orders"] += [order(500, big, "2025-06-01", total=1.0)]
+    rows["order_items"] += [item(500, 500, 1, 2, 1.0)]
+    got = [r for r in segments.reco_als(shop(spark, **rows), n=2).collect() if r["customer_id"] == big]
+    assert [r["rank"] for r in got] == [1, 2] and got[0]["score"] >= got[1]["score"]
+
+
 def test_segments(tables):
     clusters = segments.customer_clusters(tables, k=3)
     assert clusters.count() == 150

@@ -16,13 +16,13 @@ def plan(spark, name, final=False):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [
-    "top_products", "category_revenue", "reco_all_customers", "reco_unseen", "reco_history_pairs", "order_detail",
-    "customer_profile", "churn_features", "high_value_customers", "dashboard_kpis", "recommendations",
-    "reco_with_fallback", "churn_fallback_risk", "inventory_alerts", "product_performance", "order_pricing",
-])
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_products_of_tables_and_no_python(spark, name):
-    text = plan(spark, name)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
     assert "Python" not in text and "InPandas" not in text

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartlight.functions import ranking
-from cartlight.functions.money import cents_sum, money_sum, money_text
+from cartlight.functions.money import micros_sum, money_sum, money_text
 from cartlight.functions.ranking import dense_index, exact_quantiles, extents, top_k_per, values_at_ranks
 from cartlight.operators.churn import _test_sizes, stratified_split
 
@@ -77,7 +77,7 @@ def test_money_is_exact_in_any_order(spark):
         df = spark.createDataFrame([(a,) for a in amounts], "a double").repartition(parts)
         assert df.agg(money_sum(F.col("a"))).first()[0] == 1000000000000075.0
     huge = spark.range(0, 2000).select(F.lit(9e16).alias("a"))
-    assert int(huge.agg(cents_sum(F.col("a"))).first()[0]) == 2000 * 9 * 10**18
+    assert int(huge.agg(micros_sum(F.col("a"))).first()[0]) == 2000 * 9 * 10**22
     assert spark.createDataFrame([], "a double").agg(money_sum(F.col("a"))).first()[0] is None
     assert spark.range(1).select(money_text(F.lit(218900.0))).first()[0] == "218900.00"
 

@@ -1,36 +1,50 @@
 from datetime import datetime, timedelta
 
+import pytest
+
 from cartlight.sources.starschema import event_schema, scan
 from cartlight.streaming import realtime
 
 FOLDER = "/root/testdata/sf0.001"
+START, DAY = datetime(2025, 1, 1, 12), timedelta(days=1)
 
 
-def test_final_days_equal_the_batch(spark, tmp_path):
+def test_all_days_equal_the_batch(spark, tmp_path):
     events = realtime.read_events(spark, f"{FOLDER}/events.parque[t]", event_schema())
     target = str(tmp_path / "days")
     realtime.write_daily_revenue(events, target, str(tmp_path / "state")).awaitTermination()
-    got = {r["day"]: tuple(r) for r in spark.read.parquet(target).collect()}
-    batch = {r["day"]: tuple(r) for r in realtime.daily_revenue(scan(spark, FOLDER, "events")).collect()}
-    assert got and all(batch[day] == row for day, row in got.items())
-    assert 0 < len(batch) - len(got) <= 3  # the last days are still open
+    got = {tuple(r) for r in realtime.read_days(spark, target).collect()}
+    assert got and got == {tuple(r) for r in realtime.daily_revenue(scan(spark, FOLDER, "events")).collect()}
+
+
+def _arrive(spark, source, rows):
+    frame = spark.createDataFrame(
+        [(i, ts, 1, kind, value, None) for i, (ts, kind, value) in enumerate(rows)], event_schema())
+    frame.coalesce(1).write.mode("append").parquet(source)
 
 
 def test_files_that_arrive_later(spark, tmp_path):
-    """A restarted query goes on where it stopped; late events count until their day is final."""
+    """A restarted query goes on where it stopped, and events count however late they come."""
     source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    start = datetime(2025, 1, 1, 12)
 
     def arrive(*rows):
-        frame = spark.createDataFrame(
-            [(i, ts, 1, kind, value, None) for i, (ts, kind, value) in enumerate(rows)], event_schema())
-        frame.coalesce(1).write.mode("append").parquet(source)
+        _arrive(spark, source, rows)
         events = realtime.read_events(spark, source, event_schema())
         realtime.write_daily_revenue(events, target, state).awaitTermination()
-        return sorted((str(r["day"]), r["purchases"], r["revenue"]) for r in spark.read.schema(
-            "day date, purchases bigint, revenue double").parquet(target).collect())
+        return sorted((str(r["day"]), r["purchases"], r["revenue"]) for r in realtime.read_days(spark, target).collect())
 
-    day = timedelta(days=1)
-    assert arrive((start, "purchase", 10.0), (start, "view", 99.0)) == []
-    assert arrive((start + day, "purchase", 5.0), (start, "purchase", 0.5)) == []
-    assert arrive((start + 3 * day, "purchase", 1.0)) == [("2025-01-01", 2, 10.5), ("2025-01-02", 1, 5.0)]
+    assert arrive((START, "purchase", 10.0), (START, "view", 99.0)) == [("2025-01-01", 1, 10.0)]
+    assert arrive((START + 9 * DAY, "purchase", 5.0)) == [("2025-01-01", 1, 10.0), ("2025-01-10", 1, 5.0)]
+    assert arrive((START, "purchase", 0.004)) == [("2025-01-01", 2, 10.004), ("2025-01-10", 1, 5.0)]
+
+
+@pytest.mark.parametrize("files", [None, 1, 1000])
+def test_the_number_of_files_in_a_batch_changes_nothing(spark, tmp_path, files):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for days in (0, 10, 1, 2, 20):
+        _arrive(spark, source, [(START + days * DAY, "purchase", 1.0)])
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    events = realtime.read_events(spark, source, event_schema(), files)
+    realtime.write_daily_revenue(events, target, state).awaitTermination()
+    assert sorted(r["day"].day for r in realtime.read_days(spark, target).collect()) == [1, 2, 3, 11, 21]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == partitions
