@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cartlight.llm.rows import others, restored
 from cartlight.llm.scratch import Scratch
 
 
@@ -50,8 +51,10 @@ def line_dedup(documents: DataFrame, scratch: Scratch | None = None) -> DataFram
     )
     scratch.drop(windows)
     rows = documents.drop("dedup")
-    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), "text", *key)
-    rows = rows.join(cuts, ["_doc", "_text"], "left").select("row", "text", "_cuts")
+    columns = rows.columns
+    rows = rows.select(others(rows), "text", *key)
+    # Merged, not broadcast where the cuts happen to be few: the work grows evenly with the input.
+    rows = rows.join(cuts.hint("merge"), ["_doc", "_text"], "left").select("row", "text", "_cuts")
 
     def cut(batches):
         for batch in batches:
@@ -81,4 +84,4 @@ def line_dedup(documents: DataFrame, scratch: Scratch | None = None) -> DataFram
         "dedup", F.lit(None).cast("struct<n_lines:bigint,n_removed:bigint,n_spans:bigint>")
     ).schema
     done = rows.mapInArrow(cut, schema)
-    return done.select(F.col("row").withField("text", F.col("text")).alias("row"), "dedup").select("row.*", "dedup")
+    return restored(done, columns, "dedup")
