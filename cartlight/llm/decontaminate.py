@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cartlight.llm.rows import others, restored
 from cartlight.llm.scratch import Scratch
 
 # A word is a run of a-z, 0-9 and non-ASCII bytes after lower-casing A-Z; all other bytes part words.
@@ -165,11 +166,11 @@ _MARKS = "n_words bigint, spans array<struct<first:bigint,last:bigint>>, items a
 
 
 def _marked(documents: DataFrame, benchmark: DataFrame, window: int, max_words: int) -> DataFrame:
-    """row (struct of all columns), text (bytes), n_words, spans, items."""
+    """row (struct of the other columns), text (bytes), n_words, spans, items."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "decontaminate")
     marked = documents.select(
-        F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("bigint").alias("n_words"),
+        others(documents), F.col("text").cast("binary").alias("text"), F.lit(0).cast("bigint").alias("n_words"),
         F.array().cast("array<struct<first:bigint,last:bigint>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
@@ -253,4 +254,4 @@ def decontaminate(
 
     schema = kept.select("row", "text").schema
     done = kept.select("row", "text", "spans").mapInArrow(cut, schema)
-    return done.select(F.col("row").withField("text", F.col("text").cast("string")).alias("row")).select("row.*")
+    return restored(done, documents.columns)

@@ -9,6 +9,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from cartlight.llm.rows import others, restored
 from cartlight.llm.scratch import Scratch
 
 # Given names by script and gender. A surrogate comes from the same list.
@@ -199,8 +200,9 @@ def replace_pii(documents: DataFrame, key: bytes, scratch: Scratch | None = None
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "pii")
     rows = documents.drop("entities")
+    columns = rows.columns
     rows = rows.select(
-        F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col("text").cast("string").alias("text"),
+        others(rows), F.col("text").cast("string").alias("text"),
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("k0"), F.xxhash64("text").alias("k1"),
     )
     maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
@@ -250,8 +252,8 @@ def replace_pii(documents: DataFrame, key: bytes, scratch: Scratch | None = None
 
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("entities")
     schema = rows.select("row", "text", empty).schema
-    changed = rows.filter(maybe).join(per_text, ["k0", "k1"], "left").select("row", "text", "mentions").mapInArrow(
+    changed = rows.filter(maybe).join(per_text.hint("merge"), ["k0", "k1"], "left").select("row", "text", "mentions").mapInArrow(
         replace, schema
     )
     done = changed.unionByName(rows.filter(~maybe).select("row", "text", empty))
-    return done.select(F.col("row").withField("text", F.col("text")).alias("row"), "entities").select("row.*", "entities")
+    return restored(done, columns, "entities")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cartlight.llm.rows import others
 from cartlight.llm.scratch import Scratch
 
 # Rows of either kind that the classifier is fitted on at most: those with the smallest hashed doc_id.
@@ -161,7 +162,7 @@ def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
 
 
 def score_quality(documents: DataFrame, model: QualityModel | None) -> DataFrame:
-    """All columns of ``documents`` in a struct ``row``, and ``score`` from 0 to 1 of every whole text.
+    """``row`` (the other columns of ``documents``), ``text`` (bytes) and ``score`` from 0 to 1 of every whole text.
 
     Only the text enters the score. Null and empty texts are scored as texts without bytes; without a model, every
     score is 0.5.
@@ -174,10 +175,10 @@ def score_quality(documents: DataFrame, model: QualityModel | None) -> DataFrame
             made = np.full(len(texts), 0.5)
             if fitted is not None and texts:
                 made = fitted.score(np.array([features(t) for t in texts]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.float64())], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], ["row", "text", "score"])
 
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text").cast("binary").alias("text"))
-    schema = rows.select("row", F.lit(0.0).alias("score")).schema
+    rows = documents.select(others(documents), F.col("text").cast("binary").alias("text"))
+    schema = rows.select("row", "text", F.lit(0.0).alias("score")).schema
     return rows.mapInArrow(score, schema)
 
 

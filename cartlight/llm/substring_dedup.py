@@ -174,7 +174,7 @@ def repeated_substrings(documents: DataFrame, scratch: Scratch | None = None) ->
                             ["ptr", "own", "full", "at"],
                         )
 
-    joined = long.join(wanted, ["k0", "k1"])  # rows repeating doc_id and text give the same suffixes again
+    joined = long.join(wanted.hint("merge"), ["k0", "k1"])  # rows repeating doc_id and text give the same suffixes again
     suffixes = scratch.keep(
         joined.select("text", "wanted").mapInArrow(refine, "ptr bigint, own bigint, full bigint, at smallint"), "suffixes"
     )
@@ -217,7 +217,7 @@ def repeated_substrings(documents: DataFrame, scratch: Scratch | None = None) ->
                 ["doc_id", "n_bytes", "spans", "kept"],
             )
 
-    return texts.join(cuts, ["k0", "k1"], "left").select("doc_id", "text", "cuts").mapInArrow(
+    return texts.join(cuts.hint("merge"), ["k0", "k1"], "left").select("doc_id", "text", "cuts").mapInArrow(
         cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     )
 

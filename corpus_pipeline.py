@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
 columns of documents; ``n_chars`` follows the text. ``run`` writes every result as Parquet to the checkpoint folder and
-reads it again. Rows without doc_id pass through every stage; repeated rows are named in the stages' functions.
+reads it again. Rows without doc_id are judged like others, but no group is formed of them; of rows repeating a doc_id,
+one is left after the grouping.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from cartlight.llm.line_dedup import line_dedup
 from cartlight.llm.ngram_join import ngram_join
 from cartlight.llm.packing import best_fit_pack, token_pieces
 from cartlight.llm.quality import fit_quality, score_quality
+from cartlight.llm.rows import restored
 from cartlight.llm.scratch import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,7 +30,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier, fitted on their labels, does not reject."""
     Scratch(spark, "stage-quality")
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).filter("score >= 0.3").select("row.*")
+    return restored(score_quality(docs, model).filter("score >= 0.3"), docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = ngram_join(docs, width=5, num=8, den=10)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_row", row).filter("_row = 1").drop("_row")
+    kept = docs.join(first.hint("merge"), "doc_id", "left_semi").withColumn("_row", row).filter("_row = 1").drop("_row")
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
