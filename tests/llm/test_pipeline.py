@@ -1,0 +1,75 @@
+"""The corpus pipeline on small tables."""
+
+from __future__ import annotations
+
+import random
+
+import corpus_pipeline
+from cartlight.llm import oracle, queries
+from cartlight.llm.scratch import Scratch
+from tests.llm import data
+
+
+def _folder(spark, tmp_path):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+
+    def prose(n):
+        return "\n".join(" ".join(rng.choice(words) for _ in range(14)) for _ in range(n))
+
+    item, passage = prose(3), prose(5)
+    rows = [(k, prose(rng.randint(2, 12))) for k in range(300)]
+    rows += [(300, rows[5][1]), (301, prose(8).replace("\n", " "))]
+    rows.append((306, rows[-1][1].replace(f" {rows[-1][1].split()[50]} ", " changed ", 1)))
+    rows += [(302, prose(4) + "\n" + passage), (303, prose(4) + "\n" + passage), (304, item), (305, prose(9) + "\n" + item)]
+    rows += [(400 + k, " ".join(w + "$$$" for w in prose(4).split())) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(k, int(k < 400), 0) for k, _ in rows if k % 3], "doc_id bigint, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path), dict(rows)
+
+
+def test_stages_one_after_the_other(spark, tmp_path):
+    folder, texts = _folder(spark, tmp_path)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    scratch, kept = Scratch(spark, "test"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = scratch.keep(stage(spark, docs, folder), name)
+        assert after.columns == docs.columns
+        docs = after
+        kept[name] = {r["doc_id"]: r["text"] for r in after.collect()}
+        assert after.filter("n_chars <> length(text)").isEmpty()
+    good = {k for k in texts if k < 400}
+    assert len(good - kept["quality"].keys()) <= 3 and len(kept["quality"].keys() - good) <= 3
+    assert 300 not in kept["line_dedup"]  # every line of it stands earlier
+    assert kept["line_dedup"][303] == "\n".join(texts[303].split("\n")[:4])
+    assert 301 in kept["ngram_join"] and 306 in kept["line_dedup"] and 306 not in kept["ngram_join"]
+    assert 304 not in kept["decontaminate"] and kept["decontaminate"][305].strip() == "\n".join(texts[305].split("\n")[:9])
+    untouched = [k for k in range(300) if k in kept["quality"]]
+    assert all(kept["decontaminate"][k] == texts[k] for k in untouched)
+
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r["doc_id"] for r in packed} == kept["decontaminate"].keys()
+    assert all(r["offset"] + r["length"] <= 2048 for r in packed)
+
+
+def test_stages_on_awkward_documents(spark, tmp_path):
+    docs = data.documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    for frame, sub in ((docs, "a"), (docs.limit(0), "b")):
+        folder = f"{tmp_path}/{sub}"
+        frame.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+        now, scratch = spark.read.parquet(f"{folder}/documents.parquet"), Scratch(spark, "test")
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            now = scratch.keep(stage(spark, now, folder), name)
+        assert (now.count() > 0) == (sub == "a")
+
+
+def test_every_query_is_named_after_its_operator():
+    names = queries.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert set(oracle.sql()) <= set(names)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "ngram_join", "decontaminate", "pack"]
