@@ -29,12 +29,16 @@ def top_k_per(df: DataFrame, key: str | list[str], n: int, order: Sequence[Colum
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has few enough rows, otherwise as it is.
+def is_small(df: DataFrame) -> bool:
+    """Whether the values of ``df`` take no more bytes than the session lets a broadcast take.
 
-    Counts the rows, so pass a materialized frame.
+    Adds up the bytes, so pass a materialized frame. With broadcasts turned off nothing is small.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if limit <= 0:
+        return False
+    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    return (size or 0) <= limit
 
 
 def values_at_ranks(

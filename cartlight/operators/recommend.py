@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cartlight.functions.money import money
-from cartlight.functions.ranking import broadcast_if_small, dense_index, top_k, top_k_per
+from cartlight.functions.ranking import dense_index, is_small, top_k, top_k_per
 from cartlight.operators.common import orders_by_customer
 from cartlight.session import materialize
 from cartlight.tables import Tables
@@ -82,23 +82,28 @@ def _siblings(tables: Tables, bought: DataFrame, n: int) -> DataFrame:
     Every product of a category is a sibling of some bought one, except a product that is the only
     one bought there. So at most one card of a category drops or loses rank for a customer, and the
     n + 1 best cards of each category are enough for the n best of any customer. That list has n + 1
-    rows per category; it is counted and broadcast if small, which spares a shuffle on the category.
+    rows per category; if its bytes are few it is broadcast. Then the narrow rows of a customer and category are
+    moved to their customer first, and the wide cards are joined, grouped and ranked where they are.
     """
     leaders = materialize(top_k_per(
         _cards(tables), "category_id", n + 1, [F.desc("best_rating"), F.desc("price"), F.asc("product_name")], "place"
     ).drop("place"))
     left_out = F.coalesce(F.col("only_product") == F.col("best_product"), F.lit(False))
+    here = is_small(leaders)
+    categories = _bought_categories(tables, bought)
+    joined = (
+        categories.repartition("customer_id").join(F.broadcast(leaders), "category_id") if here
+        else categories.join(leaders, "category_id")
+    )
     candidates = (
-        _bought_categories(tables, bought)
-        .join(broadcast_if_small(leaders), "category_id")
-        .filter(~left_out | (F.col("copies") > 1))
+        joined.filter(~left_out | (F.col("copies") > 1))
         .select(
             "customer_id", *_CARD,
             F.when(left_out, F.col("next_rating")).otherwise(F.col("best_rating")).alias("rating"),
         )
     )
     # At most n + 1 rows per customer and category; one shuffle serves both steps below.
-    one_place = candidates.repartition("customer_id").groupBy("customer_id", *_CARD).agg(F.max("rating").alias("rating"))
+    one_place = (candidates if here else candidates.repartition("customer_id")).groupBy("customer_id", *_CARD).agg(F.max("rating").alias("rating"))
     return top_k_per(one_place, "customer_id", n, _by_rating())
 
 
@@ -155,17 +160,17 @@ def history_pairs(tables: Tables, customer_id: int | None = None, n: int = 5) ->
     """
     orders = tables.orders if customer_id is None else tables.orders.filter(F.col("customer_id") == customer_id)
     details = tables.products.select("product_id", "product_name", "category_id")
-    bought = purchases(tables, orders).distinct().join(details, "product_id").filter("category_id is not null")
+    bought = purchases(tables, orders).join(details, "product_id").filter("category_id is not null")
     key = ["customer_id", "category_id"]
-    several = (
-        bought.groupBy(*key)
-        .agg(F.min("product_id").alias("lo"), F.max("product_id").alias("hi"))
-        .filter("lo < hi").select(*key)
-    )
-    # The first n names of a category hold every name it can add to the first n of the customer.
+    names = bought.groupBy(*key, "product_name").agg(F.min("product_id").alias("lo"), F.max("product_id").alias("hi"))
+    # The first n names of a category hold every name it can add to the first n of the customer, and the first two,
+    # or two products of one name, show that it has several products. All of it in the partitions of one shuffle.
     by_name = [F.asc("product_name")]
-    first_names = top_k_per(bought.select(*key, "product_name").distinct(), key, n, by_name).drop("rank")
-    names = first_names.join(several, key).select("customer_id", "product_name")
+    category = Window.partitionBy(*key)
+    first_names = top_k_per(names.repartition(*key), key, max(n, 2), by_name)
+    several = (F.count(F.lit(1)).over(category) > 1) | F.max(F.col("lo") < F.col("hi")).over(category)
+    kept = first_names.withColumn("several", several).filter(F.col("several") & (F.col("rank") <= n))
+    names = kept.select("customer_id", "product_name")
     return top_k_per(names.repartition("customer_id").distinct(), "customer_id", n, by_name)
 
 
@@ -208,6 +213,13 @@ def reco_unseen(tables: Tables, n: int = 5, near: int = 64, block: int = 1024) -
     )
     unseen = asked.join(owned, [*key, "place"], "left_anti")
     nearest = top_k_per(unseen, key, n, [F.asc("place")]).drop("rank")
-    candidates = nearest.join(cards, ["category_id", "place"]).select("customer_id", *_CARD, "rating")
+    # Nearly every customer asks for the same first places: those cards are broadcast if their bytes are few.
+    head, place = cards.filter(F.col("place") <= near), ["category_id", "place"]
+    if is_small(head):
+        found = nearest.filter(F.col("place") <= near).join(F.broadcast(head), place).unionByName(
+            nearest.filter(F.col("place") > near).join(cards.filter(F.col("place") > near), place))
+    else:
+        found = nearest.join(cards, place)
+    candidates = found.select("customer_id", *_CARD, "rating")
     one_place = candidates.repartition("customer_id").groupBy("customer_id", *_CARD).agg(F.max("rating").alias("rating"))
     return top_k_per(one_place, "customer_id", n, _by_rating()).select("customer_id", "rank", *_CARD)
