@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cartlight.llm.scratch import Scratch
-from cartlight.llm.tokens import Encoder
+from cartlight.llm.tokens import as_bytes, worker_encoder
 
 # Groups of equal cardinality that the large lengths are rounded up in, and the shares of the capacity up to which a
 # length may count as small; the share whose plan needs the fewest sequences is taken.
@@ -26,10 +26,10 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = 2048, end
     """
     with open(tokenizer, encoding="utf-8") as file:
         spec = documents.sparkSession.sparkContext.broadcast(file.read())
-    width, end = 4 * capacity, np.array([end_id], "<u4").tobytes()
+    width, end = 4 * capacity, as_bytes([end_id])
 
     def cut(batches):
-        encoder = Encoder(spec.value, lambda ids: np.array(ids, "<u4").tobytes())
+        encoder = worker_encoder(spec.value, as_bytes)
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -1,79 +1,135 @@
-"""Pre-token caches over a public byte-pair tokenizer, for use inside tasks."""
+"""Word caches over a public byte-pair tokenizer, for use inside tasks."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import regex
 from tokenizers import Tokenizer
 
 # Characters whose class (letter, number, space, other), case and normal form are the same in Python and in the
-# tokenizer library: ASCII, Latin and general punctuation. A piece of text with any other goes to the library whole.
-# U+0130 lower-cases to two characters.
-_OTHER = re.compile("[^\x00-\x1b\x20-įı-ɏ‐-‧‰-⁞€]")
-# Longer pieces are cut up by an iterator instead of a list of all their pre-tokens.
+# tokenizer library: Latin-1 but for four control characters, more Latin and general punctuation. A piece of text with
+# any other goes to the library whole. U+0130 lower-cases to two characters.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
+_OTHER = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+# Longer pieces are cut up by an iterator instead of a list of all their words.
 _LONG = 1 << 20
-# Remembered pre-tokens per worker beside the broadcast ones, and their greatest length.
-_CACHE, _CACHED_CHARS = 1 << 20, 64
+# Remembered words per worker beside the broadcast ones, remembered pre-tokens, and their greatest length.
+_CACHE, _PARTS, _CACHED_CHARS = 1 << 17, 1 << 16, 64
 
-# The split patterns of the two public vocabularies.
-PATTERNS = {
-    "ByteLevel": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-    "Split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+# Both vocabularies part words at white space at least. One keeps white space: a single blank belongs to the word after
+# it, longer white space stands alone but for its last character. The other drops it.
+_WORDS = {"ByteLevel": re.compile(r" ?\S+|\s+(?!\S)|\s+"), "Split": re.compile(r"\S+")}
+
+# How the two vocabularies cut a word into pre-tokens.
+_PRETOKENS = {
+    "ByteLevel": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
+    "Split": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
 }
+# The character that stands for a byte in both vocabularies: printable Latin-1 for itself, the others from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_STANDS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def _usual(text: str) -> bool:
+    if any(c in text for c in _CONTROLS):
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _OTHER.search(text)
+    return True
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder(dict):
-    """Maps a pre-token to what ``value`` makes of its ids; ``frequent`` is known beforehand, misses are remembered.
+    """Maps a word to what ``value`` makes of its ids; words known beforehand stay, misses are remembered.
 
-    Gives the ids that the library gives: text is cut at special strings, then into pre-tokens, and a pre-token's ids
-    depend on nothing else. Pieces with unusual characters are encoded by the library itself.
+    Gives the ids that the library gives: text is cut at special strings, then into words at white space, and a word's
+    ids depend on nothing else. A word is cut into pre-tokens, which the library's model encodes. Pieces with unusual
+    characters are encoded by the library as a whole.
     """
 
-    def __init__(self, spec: str, value, frequent: dict | None = None):
-        super().__init__(frequent or {})
+    def __init__(self, spec: str, value: Callable[[list[int]], object]):
+        super().__init__()
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self._model = self.library.model
         told = json.loads(spec)
-        special = {t["content"]: t["id"] for t in told["added_tokens"]}
-        self._special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self._special_ids = special
+        self._special_ids = {t["content"]: t["id"] for t in told["added_tokens"]}
+        special = "|".join(map(re.escape, self._special_ids))
+        self._special = re.compile(f"({special})") if special else None
         splitter = told["pre_tokenizer"]
         if splitter["type"] == "Sequence":
             splitter = splitter["pretokenizers"][0]
-        self._pattern = regex.compile(PATTERNS[splitter["type"]])
+        self._words, self._pretokens = _WORDS[splitter["type"]], _PRETOKENS[splitter["type"]]
+        self._plain = splitter["type"] == "Split"
         self._lower = any(n["type"] == "Lowercase" for n in (told["normalizer"] or {}).get("normalizers", []))
-        self._value, self._frequent, self._fixed = value, frequent or {}, len(frequent or {})
+        self._value, self._known, self._parts = value, {}, {}
+
+    def know(self, words: dict) -> None:
+        """Take over words with their values; they stay when the remembered ones go."""
+        self._known = words
+        self.update(words)
 
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, pretoken: str):
-        made = self._value(self.ids(pretoken))
-        if len(pretoken) <= _CACHED_CHARS:
-            if len(self) >= self._fixed + _CACHE:
+    def _part_ids(self, part: str) -> list[int]:
+        if not (part.isascii() and part.isprintable() and " " not in part):
+            part = part.encode().decode("latin-1").translate(_STANDS)
+        return [token.id for token in self._model.tokenize(part)]
+
+    def word_ids(self, word: str) -> list[int]:
+        letters = word if self._plain or word[0] != " " else word[1:]
+        if letters.isalpha() and letters.isascii():  # a pre-token as it is
+            return self._part_ids(word)
+        ids: list[int] = []
+        for part in self._pretokens.findall(word):
+            found = self._parts.get(part)
+            if found is None:
+                found = self._part_ids(part)
+                if len(part) <= _CACHED_CHARS:
+                    if len(self._parts) >= _PARTS:
+                        self._parts.clear()
+                    self._parts[part] = found
+            ids += found
+        return ids
+
+    def __missing__(self, word: str):
+        made = self._value(self.word_ids(word))
+        if len(word) <= _CACHED_CHARS:
+            if len(self) >= len(self._known) + _CACHE:
                 self.clear()
-                self.update(self._frequent)
-            self[pretoken] = made
+                self.update(self._known)
+            self[word] = made
         return made
 
     def segments(self, text: str) -> Iterator[tuple[str, object]]:
-        """('pretokens', iterable of pre-tokens) or ('ids', ids) for the parts of a text, in order."""
+        """('words', iterable of words) or ('ids', ids) for the parts of a text, in order."""
         parts = self._special.split(text) if self._special else [text]
         for k, part in enumerate(parts):
             if k % 2:
                 yield "ids", [self._special_ids[part]]
-            elif _OTHER.search(part):
+            elif not _usual(part):
                 yield "ids", self.ids(part)
             elif part:
                 part = part.lower() if self._lower else part
-                if len(part) < _LONG:
-                    yield "pretokens", self._pattern.findall(part)
+                if len(part) >= _LONG:
+                    yield "words", (m.group() for m in self._words.finditer(part))
                 else:
-                    yield "pretokens", (m.group() for m in self._pattern.finditer(part))
+                    yield "words", part.split() if self._plain else self._words.findall(part)
 
     def values(self, text: str) -> Iterator:
         """What ``value`` makes of the text's ids, part by part."""
@@ -82,3 +138,9 @@ class Encoder(dict):
                 yield self._value(part)
             else:
                 yield from map(self.__getitem__, part)
+
+
+@lru_cache(maxsize=4)
+def worker_encoder(spec: str, value: Callable[[list[int]], object]) -> Encoder:
+    """The encoder of this worker process: what it has remembered serves all its tasks."""
+    return Encoder(spec, value)
