@@ -18,22 +18,9 @@ from cartlight.llm.scratch import Scratch
 # the pieces in which it is added up.
 _SKETCH_BITS = 22
 _PIECE_BITS = 16
-# Words remembered per worker process.
-_CACHE = 1 << 20
 _PARITY_BITS = 1024
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(32)
     x *= np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +39,7 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(width, len(words))
     n = len(words) - width + 1
     total = np.full(n, width, np.uint64)
