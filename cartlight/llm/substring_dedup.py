@@ -36,8 +36,8 @@ def _refined(pointers: np.ndarray, step: int) -> np.ndarray:
     return _stirred(z)
 
 
-def _pointers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket pointers of the strings of 50 and of 200 bytes at every position where one fits.
+def _pointers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket pointers of the strings of 50, 100 and 200 bytes at every position where one fits.
 
     The first buckets hold 25 bytes. Each refinement takes the pair of a suffix's pointer and the pointer found where
     its bucket's bytes end, and so uses the pointers of the refinement before.
@@ -51,11 +51,12 @@ def _pointers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             z += own[k * step : k * step + n]
         own = _stirred(z)
     fifty = _refined(own, _FIRST)
-    return fifty, _refined(_refined(fifty, 2 * _FIRST), 4 * _FIRST)
+    hundred = _refined(fifty, 2 * _FIRST)
+    return fifty, hundred, _refined(hundred, 4 * _FIRST)
 
 
 def _blocks(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first position, text per start, fifty, full) by blocks of starts; text -1 where no string of LENGTH fits."""
+    """(first position, text per start, pointers) by blocks of starts; text -1 where no string of LENGTH fits."""
     for at in range(0, len(data) - LENGTH + 1, _BLOCK):
         part = data[at : at + _BLOCK + LENGTH - 1]
         starts = np.arange(at, at + len(part) - LENGTH + 1)
@@ -64,13 +65,19 @@ def _blocks(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarra
         yield (at, text, *_pointers(part))
 
 
+def _short(pointers: np.ndarray) -> np.ndarray:
+    """32 bits of pointers, never 0: enough to tell which buckets may hold several classes."""
+    return np.maximum(pointers >> np.uint64(33), np.uint64(1)).astype(np.int32)
+
+
 def representatives(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, low, high, pointer, own): the runs of starts low..high that share a representative.
+    """(text, low, high, place, pointer, own, left, right): runs of starts low..high that share a representative.
 
     ``own`` is the pointer of all bytes of the run's strings; equal strings have equally placed representatives, so
-    they belong to runs with the same ``pointer``.
+    they belong to runs with the same ``pointer``. ``left`` and ``right`` tell the 100 bytes that end and that begin
+    with the representative's bucket, 0 where no string of the run holds them.
     """
-    for at, text, fifty, full in _blocks(data, ends):
+    for at, text, fifty, hundred, full in _blocks(data, ends):
         key = (fifty & ~_LOW) | np.arange(len(fifty), dtype=np.uint64)
         width = 1
         while 2 * width <= _SPAN:  # minimum of the next ``width`` keys; of equal ones the leftmost
@@ -86,7 +93,10 @@ def representatives(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.nda
         low, high = low[good], high[good]
         size = (high - low).astype(np.uint64)
         own = _stirred(full[low] * np.uint64(0xD6E8FEB86659FD93) + full[high] + size * np.uint64(0xA0761D6478BD642F))
-        yield text[low], low + at, high + at, fifty[place[low]], own
+        mid = place[low]
+        left = np.where(mid - _BUCKET >= low, _short(hundred[np.maximum(mid - _BUCKET, 0)]), 0)
+        right = np.where(mid + 2 * _BUCKET <= high + LENGTH, _short(hundred[np.minimum(mid, len(hundred) - 1)]), 0)
+        yield text[low], low + at, high + at, mid + at, fifty[mid], own, left, right
 
 
 def _stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +120,8 @@ def repeated_substrings(documents: DataFrame, scratch: Scratch | None = None) ->
     Suffixes are sorted into buckets by the pointer of 50 bytes and refined by the pointers of later offsets up to 200.
     Only one representative per run of neighbouring suffixes takes part: the smallest pointer of 50 bytes within the
     200, which equal strings share. Representatives alone in their bucket drop out first. Runs with equal bytes
-    then become one class, combined in the map tasks; a class of two or more is repeated as a whole. Of buckets that
-    hold several classes, one run per class is refined to its single suffixes. So a string in a third of all
+    then become one class, combined in the map tasks; a class of two or more is repeated as a whole. Where
+    several classes of a bucket go on alike to one side, one run per class is refined to its single suffixes. So a string in a third of all
     documents is one row from there on, and no bucket is gathered or paired.
     """
     spark = documents.sparkSession
@@ -128,28 +138,42 @@ def repeated_substrings(documents: DataFrame, scratch: Scratch | None = None) ->
         for batch in batches:
             data, ends = _stream(batch.column(2))
             begin = np.r_[0, ends[:-1]] if len(ends) else ends
-            for text, low, high, pointer, own in representatives(data, ends):
+            for text, low, high, place, pointer, own, left, right in representatives(data, ends):
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(take), batch.column(1).take(take), _signed(pointer), _signed(own),
-                        pa.array(low - begin[text]), pa.array((high - low).astype(np.int32)),
+                        pa.array(low - begin[text]), pa.array((high - low).astype(np.int16)),
+                        pa.array((place - low).astype(np.int16)), pa.array(left.astype(np.int32)),
+                        pa.array(right.astype(np.int32)),
                     ],
-                    ["k0", "k1", "ptr", "own", "low", "more"],
+                    ["k0", "k1", "ptr", "own", "low", "more", "place", "left", "right"],
                 )
 
-    kind = "k0 bigint, k1 bigint, ptr bigint, own bigint, low bigint, more int"
+    kind = "k0 bigint, k1 bigint, ptr bigint, own bigint, low bigint, more smallint, place smallint, left int, right int"
     runs = scratch.keep(long.mapInArrow(represent, kind), "runs")
     shared = runs.groupBy("ptr").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ptr")
     open_runs = scratch.keep(runs.join(shared, "ptr"), "open")
     scratch.drop(runs)
     classes = scratch.keep(
         open_runs.groupBy("ptr", "own").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("k0", "k1", "low", "more")).alias("one")
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("k0", "k1", "low", "more", "place")).alias("one"),
+            F.min("left").alias("left"), F.min("right").alias("right"),
         ), "classes",
     )
-    mixed = classes.groupBy("ptr").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("ptr")
-    wanted = classes.join(mixed, "ptr").select("one.k0", "one.k1", F.struct("ptr", "own", "one.low", "one.more").alias("r"))
+    # A string of 200 holds 50 bytes more than the bucket on its left or on its right. A class is refined only where
+    # another one has the same 100 bytes on that side, and only in its starts that reach so far.
+    sides = {
+        side: classes.filter(F.col(side) != 0).groupBy("ptr", side).agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        .select("ptr", side, F.lit(True).alias(f"more_{side}")) for side in ("left", "right")
+    }
+    judged = classes.join(sides["left"], ["ptr", "left"], "left").join(sides["right"], ["ptr", "right"], "left")
+    wanted = judged.filter("more_left or more_right").select("one.k0", "one.k1", F.struct(
+        "ptr", "own", "one.low", "one.more",
+        F.when(F.col("more_left"), 0).otherwise(F.greatest(F.lit(0), F.col("one.place") - (_BUCKET - 1))).alias("first"),
+        F.when(F.col("more_right"), F.col("one.more").cast("int")).otherwise(
+            F.least(F.col("one.more").cast("int"), F.col("one.place") - (2 * _BUCKET + 1))).alias("last"),
+    ).alias("r")).filter("r.first <= r.last")
     wanted = wanted.groupBy("k0", "k1").agg(F.collect_list("r").alias("wanted"))
 
     def refine(batches):
@@ -158,29 +182,29 @@ def repeated_substrings(documents: DataFrame, scratch: Scratch | None = None) ->
                 data = np.frombuffer(text, np.uint8)
                 for k in range(0, len(rows), 2000):
                     some = rows[k : k + 2000]
-                    parts = [data[r["low"] : r["low"] + r["more"] + LENGTH] for r in some]
+                    parts = [data[r["low"] + r["first"] : r["low"] + r["last"] + LENGTH] for r in some]
                     ends = np.cumsum([len(p) for p in parts])
                     begin = np.r_[0, ends[:-1]]
                     ptr = np.array([r["ptr"] for r in some])
                     own = np.array([r["own"] for r in some])
-                    for at, part, _, full in _blocks(np.concatenate(parts), ends):
+                    first = np.array([r["first"] for r in some])
+                    for at, part, _, _, full in _blocks(np.concatenate(parts), ends):
                         good = np.flatnonzero(part >= 0)
                         which = part[good]
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(ptr[which]), pa.array(own[which]), _signed(full[good]),
-                                pa.array((good + at - begin[which]).astype(np.int16)),
+                                pa.array((good + at - begin[which] + first[which]).astype(np.int16)),
                             ],
                             ["ptr", "own", "full", "at"],
                         )
 
-    joined = long.join(wanted.hint("merge"), ["k0", "k1"])  # rows repeating doc_id and text give the same suffixes again
+    # Rows repeating doc_id and text give their suffixes again, which are repeated then indeed.
+    joined = long.join(wanted.hint("merge"), ["k0", "k1"])
     suffixes = scratch.keep(
         joined.select("text", "wanted").mapInArrow(refine, "ptr bigint, own bigint, full bigint, at smallint"), "suffixes"
     )
-    twice = suffixes.groupBy("ptr", "full").agg(
-        F.min("own").alias("low"), F.max("own").alias("high")
-    ).filter("low <> high").select("ptr", "full")
+    twice = suffixes.groupBy("ptr", "full").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("ptr", "full")
     partly = suffixes.join(twice, ["ptr", "full"], "left_semi").groupBy("ptr", "own").agg(
         F.collect_set("at").alias("starts")
     )

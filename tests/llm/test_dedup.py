@@ -128,7 +128,7 @@ def _representatives_cover(texts):
     stream = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.r_[0, ends[:-1]]
     starts = {}
-    for text, low, high, pointer, _ in substring_dedup.representatives(stream, ends):
+    for text, low, high, _, pointer, *_ in substring_dedup.representatives(stream, ends):
         for t, a, b, p in zip(text.tolist(), low.tolist(), high.tolist(), pointer.tolist()):
             for s in range(a, b + 1):
                 assert (t, s - begin[t]) not in starts
