@@ -37,20 +37,36 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
                          r"|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)")),
-    ("name", re.compile(r"\b(" + "|".join(sorted(_GIVEN, key=len, reverse=True)) + r")(?: +([^\W\d_][^\W\d_'’-]+))?")),
+    # A capitalised word, and the word after it, which may be a surname.
+    ("name", re.compile(r"(?<![^\W\d_])([^\W\d_a-zà-öø-ÿ][^\W\d_]+)(?=(?: +([^\W\d_][^\W\d_'’-]+))?)")),
 ]
-# Texts that hold none of these cannot hold an entity; the others are searched.
-_MAYBE = r"@|[0-9][0-9.() -]{5,}[0-9]|(?i:token|password|passwd|secret|api[_-]?key)|" + "|".join(sorted(_GIVEN))
+
+
+def _maybe() -> str:
+    """A pattern without which a text holds no entity: cheap at every position, names by their first letters."""
+    first: dict[str, list[str]] = {}
+    for name in sorted(_GIVEN):
+        first.setdefault(name[0], []).append(name[1:])
+    names = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in first.items())
+    digits = r"[0-9][0-9.() -]{5,}[0-9]"
+    return rf"@|{digits}|(?<!\p{{L}})(?:(?i:token|passw|secret|api[_-]?key)|(?:{names})(?!\p{{L}}))"
+
+
+_MAYBE = _maybe()
 
 
 def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order and apart. A person's names are two entities."""
     found: list[tuple[int, int, str]] = []
     for kind, pattern in PATTERNS:
+        if kind == "email" and "@" not in text:
+            continue
         for m in pattern.finditer(text):
             if kind == "secret":
                 spans = [(*m.span(1), kind)]
             elif kind == "name":
+                if m.group(1) not in _GIVEN:
+                    continue
                 spans = [(*m.span(1), "given")]
                 if m.group(2) and m.group(2)[0].isupper():
                     spans.append((*m.span(2), "surname"))
