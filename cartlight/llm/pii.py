@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,32 +25,62 @@ GIVEN_NAMES = {
     ("greek", "m"): "Ανδρέας Γιάννης Γιώργος Κώστας Νίκος".split(),
 }
 _GIVEN = {name: kind for kind, names in GIVEN_NAMES.items() for name in names}
-_NAME_KEYS = {name.casefold(): name for name in _GIVEN}
+
+
+def _spellings(name: str) -> set[str]:
+    """A name in lower case, also as capitals are written: Greek without accents, Cyrillic with Е for Ё."""
+    low = name.lower()
+    script = _GIVEN[name][0]
+    plain = "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c))
+    return {low, *([plain] if script == "greek" else [low.replace("ё", "е")] if script == "cyrillic" else [])}
+
+
+_CASEFOLDED = {name.casefold(): name for name in _GIVEN}
+_NAME_KEYS = {low: name for name in _GIVEN for low in _spellings(name)}
+
+# The words that announce a secret, alone or within an identifier. Also read by Spark, in the same meaning.
+_SECRET_WORD = r"(?:token|passw(?:or)?d|passphrase|pwd|secret|(?:api|access|private)[ _-]?key)"
+_SECRET_HINTS = ("token", "passw", "passphrase", "pwd", "secret", "key")
 
 # What is found, most specific first; a later kind takes no part of an earlier one.
 PATTERNS = [
     ("email", re.compile(r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b")),
+    # The word, the rest of its identifier (not of a word: no tokenizer, no secretary), a quote, the sign, the value:
+    # up to the closing quote, else to white space or to a sign that parts it from a next name.
     ("secret", re.compile(
-        r"(?i)\b(?:token|password|passwd|secret|api[_-]?key)\b\s*[=:]\s*[\"']?([A-Za-z0-9_+/-]{8,})"
+        rf"(?ai:{_SECRET_WORD})(?:[A-Z0-9_-][A-Za-z0-9_-]{{0,255}}+)?\\?[\"'`]?\]?\s*(?:=>|:=|={{1,3}}|:)\s*"
+        r"(?:\"((?:[^\"\\\n]|\\.){8,}+)\"|'((?:[^'\\\n]|\\.){8,}+)'"
+        r"|\\?[\"'`]?((?:[^\s\"'`&,;]|[&,;](?!\s*[\w.-]+(?: [\w.-]+)?\s*[=:])){8,}))"
     )),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
-    ("card", re.compile(r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])")),
+    ("card", re.compile(r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])|(?<![\w-])3\d{3}([ -])\d{6}\2\d{5}(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
+    # With + or 00 and the country; an area code in brackets; groups of 3, 3 and 4, with blanks only as in North America.
     ("phone", re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
-                         r"|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)")),
-    # A capitalised word, and the word after it, which may be a surname.
-    ("name", re.compile(r"(?<![^\W\d_])([^\W\d_a-zà-öø-ÿ][^\W\d_]+)(?=(?: +([^\W\d_][^\W\d_'’-]+))?)")),
+                         r"|(?<![\w+])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)"
+                         r"|(?<![\w+.-])00[1-9]\d{0,2}[ .-](?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
+                         r"|(?<![\w+.-])(?:1[ .-])?(?:\(\d{3}\)[ .-]?\d{3}[ .-]|\d{3}[.-]\d{3}[.-]|[2-9]\d\d[ .-][2-9]\d\d[ .-])\d{4}(?!\w|[.-]\d)")),
+    # A capitalised word, an initial, and the word after it, which may be a surname: with apostrophes and hyphens
+    # inside, but without a genitive 's.
+    ("name", re.compile(r"(?<![^\W\d_])([^\W\d_a-zà-öø-ÿ][^\W\d_]+)"
+                        r"(?=(?:(?: +[^\W\d_]\.)* +([^\W\d_](?:[^\W\d_]|['’-](?<!['’](?=[sS](?![^\W\d_])))(?=[^\W\d_]))+))?)")),
 ]
 
 
 def _maybe() -> str:
-    """A pattern without which a text holds no entity: cheap at every position, names by their first letters."""
+    """A pattern of Spark's without which a text holds no entity: cheap at every position.
+
+    An e-mail has its @. All kinds of digits but a phone number with + begin and end with a digit and have five or more
+    digits, dots, blanks, hyphens and brackets between; \\d is any decimal digit, \\p{Nd}. A secret has its word, told
+    alike by both. A given name begins with a capital, has no letters beside it, and is a known spelling in lower case.
+    """
     first: dict[str, list[str]] = {}
-    for name in sorted(_GIVEN):
+    for name in sorted(_NAME_KEYS):
         first.setdefault(name[0], []).append(name[1:])
     names = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in first.items())
-    digits = r"[0-9][0-9.() -]{5,}[0-9]"
-    return rf"@|{digits}|(?<!\p{{L}})(?:(?i:token|passw|secret|api[_-]?key)|(?:{names})(?!\p{{L}}))"
+    digits = r"\p{Nd}[\p{Nd}.() -]{5,}\p{Nd}|\+\p{Nd}[\p{Nd}.() -]{3,}"
+    secret = rf"(?=[tpsaTPSA])(?i:{_SECRET_WORD})"
+    return rf"@|{digits}|{secret}|(?<!\p{{L}})(?=\p{{Lu}})(?iu:{names})(?!\p{{L}})"
 
 
 _MAYBE = _maybe()
@@ -61,11 +92,20 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     for kind, pattern in PATTERNS:
         if kind == "email" and "@" not in text:
             continue
+        if kind == "secret":
+            low = text.lower()
+            if not any(word in low for word in _SECRET_HINTS):
+                continue
         for m in pattern.finditer(text):
             if kind == "secret":
-                spans = [(*m.span(1), kind)]
+                start, end = m.span(m.lastindex)
+                if m.lastindex == 3:  # without quotes: punctuation of the sentence is not its own
+                    end = start + len(m.group(3).rstrip(".,;:)]}>\\"))
+                if end - start < 8 or not any(c.isalnum() for c in text[start:end]):
+                    continue  # a mask, or a rule of signs
+                spans = [(start, end, kind)]
             elif kind == "name":
-                if m.group(1) not in _GIVEN:
+                if not m.group(1)[0].isupper() or m.group(1).lower() not in _NAME_KEYS:
                     continue
                 spans = [(*m.span(1), "given")]
                 if m.group(2) and m.group(2)[0].isupper():
@@ -77,9 +117,14 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
 
 
 def canonical(kind: str, mention: str) -> str:
-    """What two mentions of one entity have in common."""
+    """What two mentions of one entity have in common. A phone number has its country, without + or 00."""
     if kind in ("phone", "card", "ssn"):
-        return "".join(c for c in mention if c.isdigit())
+        digits = "".join(c for c in mention if c.isdigit())
+        if kind == "phone" and "+" not in mention:
+            return digits[2:] if digits.startswith("00") else "1" + digits if len(digits) == 10 else digits
+        return digits
+    if kind == "given" and mention.lower() in _NAME_KEYS:
+        return _NAME_KEYS[mention.lower()].casefold()
     return mention.casefold() if kind in ("email", "given", "surname") else mention
 
 
@@ -109,6 +154,11 @@ _LETTERS = [
 ]
 
 
+# After so many draws that were taken, the form of a secret or the length of a surname is given up.
+_CROWDED = 8
+_PLAIN = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
 def _letter(draw: _Draw, c: str) -> str:
     if c.isdigit():
         return str(draw.below(10))
@@ -131,9 +181,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """A stand-in for a canonical value: same kind, length, script and, for given names, gender."""
     draw = _Draw(key, kind, value, attempt)
     if kind == "given":
-        names = GIVEN_NAMES[_GIVEN[_NAME_KEYS[value]]]
-        order = sorted(names, key=lambda n: hmac.new(key, n.encode(), hashlib.sha256).digest())
-        return order[(order.index(_NAME_KEYS[value]) + 1) % len(order)].casefold()  # a keyed cycle: one to one
+        name = _CASEFOLDED[value]
+        order = sorted(GIVEN_NAMES[_GIVEN[name]], key=lambda n: hmac.new(key, n.encode(), hashlib.sha256).digest())
+        return order[(order.index(name) + 1) % len(order)].casefold()  # a keyed cycle: one to one
     if kind == "email":
         name, domain = value.split("@", 1)
         host, top = domain.rsplit(".", 1)
@@ -144,23 +194,32 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         body = value[0] + "".join(str(draw.below(10)) for _ in value[1:-1])
         valid = _luhn(value[:-1]) == int(value[-1])
         return body + (str(_luhn(body)) if valid else str(draw.below(10)))
+    if kind == "phone" and len(value) == 11 and value[0] == "1":  # area and exchange begin with 2 to 9
+        return "1" + "".join(str(2 + draw.below(8) if k in (0, 3) else draw.below(10)) for k in range(10))
     if kind == "phone":
         keep = 1 if value.startswith(("1", "7")) else 2  # the country stays
         return value[:keep] + "".join(str(draw.below(10)) for _ in value[keep:])
     if kind == "secret" and re.fullmatch("[0-9a-f]+", value):
         return "".join("0123456789abcdef"[draw.below(16)] for _ in value)
+    if kind == "secret" and attempt >= _CROWDED:  # mostly signs, which stay
+        return "".join(_PLAIN[draw.below(len(_PLAIN))] for _ in value)
+    if kind == "surname" and attempt >= _CROWDED:  # short ones run out: a letter more
+        value += next((c for c in reversed(value) if c.isalpha()), "") * (attempt // _CROWDED)
     return "".join(_letter(draw, c) for c in value)
 
 
 def render(kind: str, mention: str, value: str) -> str:
     """The surrogate in the format of the mention: its punctuation, spaces and capitals."""
     if kind in ("phone", "card", "ssn"):
-        digits = iter(value)
+        own = "".join(c for c in mention if c.isdigit())  # a phone number: with 00, or without its country
+        digits = iter(own[: max(0, len(own) - len(value))] + value[max(0, len(value) - len(own)) :])
         return "".join(next(digits) if c.isdigit() else c for c in mention)
     if kind == "given":
         return value.upper() if mention.isupper() and len(mention) > 1 else value.capitalize()
     if kind in ("email", "surname") and len(value) == len(mention):
         return "".join(v.upper() if c.isupper() else v for v, c in zip(value, mention))
+    if kind == "surname":
+        return value.upper() if mention.isupper() else value.capitalize()
     return value
 
 
