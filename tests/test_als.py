@@ -31,7 +31,7 @@ def test_top_scored_against_brute_force(spark):
     right = spark.createDataFrame(products, "category_id bigint, product_id bigint, item bigint, i array<double>")
     for block in (4, 512):
         got = {}
-        for r in segments.top_scored(left, right, 5, block).orderBy("customer_id", "rank").collect():
+        for r in segments.top_scored(left, right, 5, 2, block).orderBy("customer_id", "rank").collect():
             got.setdefault(r["customer_id"], []).append((r["product_id"], r["rank"]))
         assert got == expected
 
