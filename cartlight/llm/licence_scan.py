@@ -6,11 +6,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cartlight.llm.licences import KNOWN, SPELLINGS
+from cartlight.llm.licences import DIGESTS, KNOWN, SPELLINGS
 from cartlight.llm.scratch import Scratch
 
 # A line that only says whose copyright it is: it may differ between copies of one licence.
 _COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\p{L}\n]*(\(c\)|©|[0-9]{4})[^\n]*$"
+# Owners before or without a year, for the look-up of whole texts alone: the digest that is returned keeps such lines.
+_OWNER_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:(?i:copyright)[ \t][^\n]*\b(?:19|20)[0-9]{2}\b[^\n]*"
+    r"|Copyright(?:[ ,]+(?!Licen|Holder|Notice|Right|Law|Act|Owner|Statement)\p{Lu}[\p{L}\p{N}.'&-]*)+[^\p{L}\n]*)$"
+)
 
 
 def canonical(text: Column) -> Column:
@@ -24,16 +29,18 @@ def known_licences(spark: SparkSession) -> DataFrame:
     """(digest, licence) of the known texts."""
     known = spark.createDataFrame(KNOWN, "licence string, text string")
     digest = F.sha2(canonical(F.col("text")), 256).alias("digest")
-    return known.select(digest, "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    longer = spark.createDataFrame(DIGESTS, "licence string, digest string").select("digest", "licence")
+    return known.select(digest, "licence").unionByName(longer).groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
 def licence_scan(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, licence, notices, n_notices of every row of ``documents``.
 
-    ``digest`` is that of the whole canonical text, ``licence`` the known licence with that digest, else null.
+    ``digest`` is that of the whole canonical text, ``licence`` the known licence with that digest, or with that
+    of the text without lines that name an owner, else null.
     ``notices`` are the known licences, sorted and parted by commas, whose whole text is one line of the document;
     ``n_notices`` counts such lines. ``known`` is a table (digest, licence), one row a digest; by default the texts
-    of ``licences.KNOWN``.
+    of ``licences.KNOWN`` and ``licences.DIGESTS``.
 
     Only built-in expressions run: digests are joined by hash, lines drop out of the scan unless they are known, and no
     text is shuffled. The default table has a fixed size and is broadcast; Spark chooses for others.
@@ -48,8 +55,10 @@ def licence_scan(documents: DataFrame, known: DataFrame | None = None) -> DataFr
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("_text"),
-        F.sha2(canonical(text), 256).alias("digest"),
-    ).join(known, "digest", "left")
+        text.alias("_t"), F.sha2(canonical(text), 256).alias("digest"),
+    ).withColumn("_own", F.when(
+        F.col("_t").rlike(_OWNER_LINE), F.sha2(canonical(F.regexp_replace("_t", _OWNER_LINE, " ")), 256)
+    ).otherwise(F.col("digest"))).drop("_t").join(known.withColumnRenamed("digest", "_own"), "_own", "left")
     lines = documents.select(
         F.col("doc_id").cast("bigint").alias("_doc"), F.xxhash64(text).alias("_line_text"),
         F.posexplode(F.split(text, "\n", -1)).alias("at", "line"),
