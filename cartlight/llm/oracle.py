@@ -107,10 +107,35 @@ from docs d left join hits h using (doc_id) left join named n using (doc_id)
 """
 
 
+_HARD_NEGATIVES = """
+with taking as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), anchors as (select * from taking where vec_id % 50 = 0),
+scored as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same,
+    list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2]))::bigint as score
+  from anchors a join taking r on a.vec_id <> r.vec_id
+), positives as (
+  select * from scored where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.vec_id as positive_id,
+  row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id)::int as rank,
+  n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
+  and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+qualify rank <= 3
+"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_ngram_join": _NGRAM_JOIN,
         "op3_line_dedup": _LINE_DEDUP,
         "op6_licence_scan": _licence_scan(),
         "op7_decontamination": _DECONTAMINATION,
+        "op11_hard_negatives": _HARD_NEGATIVES,
     }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartlight.llm.decontaminate import contamination
 from cartlight.llm.embedding_dedup import embedding_dedup
+from cartlight.llm.hard_negatives import hard_negatives
 from cartlight.llm.licence_scan import licence_scan
 from cartlight.llm.line_dedup import line_dedup
 from cartlight.llm.ngram_join import ngram_join
@@ -89,6 +90,14 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(
+        vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0, scale=256, positives=5, negatives=3, low=50, high=95
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -101,4 +110,5 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_pii": op9_pii,
         "op10_token_counts": op10_token_counts,
+        "op11_hard_negatives": op11_hard_negatives,
     }
