@@ -131,6 +131,85 @@ qualify rank <= 3
 """
 
 
+def _conversation_repair() -> str:
+    """Recursion over a conversation's rows, with the cheapest (cost, audit, lines) of each state as strings."""
+    then, kept = {0: 2, 1: 2, 2: 3, 3: 2}, {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+    roles = {2: "user", 3: "assistant"}
+    ways: dict[int, list[str]] = {0: [], 1: [], 2: [], 3: []}
+
+    def way(state: int, inserted: list[int], op: str, cost: str, line: str, needs: str) -> str:
+        lines = "".join(f" || chr(10) || '{roles[s]}:'" for s in inserted) + line
+        audit = "I" * len(inserted) + op
+        return (f"case when s[{state + 1}] is not null and {needs} then {{'c': s[{state + 1}].c + {2 * len(inserted)} + {cost}, "
+                f"'a': s[{state + 1}].a || '{audit}', 'o': s[{state + 1}].o{lines}}} end")
+
+    for state in range(4):
+        now, inserted = state, []
+        for _ in range(3):
+            ways[now].append(way(state, inserted, "D", "3", "", "true"))
+            ways[then[now]].append(way(state, inserted, "R", "2 + cut", f" || chr(10) || '{roles[then[now]]}:' || text", "not gone"))
+            for (origin, initial), target in kept.items():
+                if origin == now:
+                    ways[target].append(way(
+                        state, inserted, "K", "cut", " || chr(10) || role || ':' || text", f"not gone and left(role, 1) = '{initial}'"))
+            now = then[now]
+            inserted = [*inserted, now]
+    states = ", ".join(f"list_sort(list_filter([{', '.join(w)}], lambda x: x is not null))[1]" for w in ways.values())
+    none = "null::struct(c bigint, a varchar, o varchar)"
+    ends = ", ".join(
+        f"case when s[{k + 1}] is not null then {{'c': s[{k + 1}].c + {2 * len(e)}, 'a': s[{k + 1}].a || '{'I' * len(e)}', "
+        f"'o': s[{k + 1}].o{''.join(f" || chr(10) || '{x}:'" for x in e)}}} end"
+        for k, e in enumerate([[], ["user", "assistant"], ["assistant"], []])
+    )
+    return rf"""
+with recursive crc as (
+  select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, t,
+    list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ord(x)::bigint) as b
+  from conversations, crc
+), faulty as (
+  select conv_id, turn, role, text,
+    xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) % 20 as fault
+  from keyed
+), damaged as (
+  select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+    case when fault = 1 then '' when fault = 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case fault when 0 then [] when 3 then [1, 2] else [1] end) as copy
+  from faulty
+), ordered as materialized (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    not regexp_matches(text, '[^ 	-
+]') as blank,
+    row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 as seen,
+    lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, text, copy) || left(role, 1) as pair
+  from damaged
+), judged as materialized (
+  select *, seen and not blank as duplicate, blank or seen as gone,
+    (not blank and not seen and not regexp_matches(text, '[.!?][ 	-
+]*$'))::int as cut
+  from ordered
+), walk as (
+  select distinct conv_id, 0::bigint as i, [{{'c': 0::bigint, 'a': '', 'o': ''}}, {none}, {none}, {none}] as s from conversations
+  union all
+  select w.conv_id, j.i, [{states}] as s from walk w join judged j on j.conv_id is not distinct from w.conv_id and j.i = w.i + 1
+), ended as (
+  select conv_id, list_sort(list_filter([{ends}], lambda x: x is not null))[1] as best
+  from walk qualify row_number() over (partition by conv_id order by i desc) = 1
+), facts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (where blank) as blank,
+    count(*) filter (where duplicate) as duplicate, sum(cut)::bigint as truncated,
+    count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal
+  from judged group by 1
+)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, best.c as cost, best.a as audit,
+  sha256(substring(best.o, 2)) as repaired_sha256
+from ended e left join facts f on f.conv_id is not distinct from e.conv_id
+"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op1_ngram_join": _NGRAM_JOIN,
@@ -138,4 +217,5 @@ def sql() -> dict[str, str]:
         "op6_licence_scan": _licence_scan(),
         "op7_decontamination": _DECONTAMINATION,
         "op11_hard_negatives": _HARD_NEGATIVES,
+        "op12_conversation_repair": _conversation_repair(),
     }

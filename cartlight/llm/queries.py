@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cartlight.llm.conversation_repair import conversation_repairs, damage
 from cartlight.llm.decontaminate import contamination
 from cartlight.llm.embedding_dedup import embedding_dedup
 from cartlight.llm.hard_negatives import hard_negatives
@@ -98,6 +99,10 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repairs(damage(_table(spark, folder, "conversations")), F.col("present"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -111,4 +116,5 @@ def queries() -> dict[str, Query]:
         "op9_pii": op9_pii,
         "op10_token_counts": op10_token_counts,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_conversation_repair": op12_conversation_repair,
     }
