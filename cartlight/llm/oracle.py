@@ -178,18 +178,17 @@ with recursive crc as (
     case when fault = 1 then '' when fault = 2 then translate(text, '.!?', '') else text end as text,
     unnest(case fault when 0 then [] when 3 then [1, 2] else [1] end) as copy
   from faulty
-), ordered as materialized (
+), ordered as (
   select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
-    not regexp_matches(text, '[^ 	-
-]') as blank,
-    row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 as seen,
+    not regexp_matches(text, '[^\x20\x09-\x0D]') as blank,
     lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, text, copy) || left(role, 1) as pair
   from damaged
+), repeated as (
+  select *, row_number() over (partition by conv_id, role, text order by i) > 1 as seen from ordered
 ), judged as materialized (
   select *, seen and not blank as duplicate, blank or seen as gone,
-    (not blank and not seen and not regexp_matches(text, '[.!?][ 	-
-]*$'))::int as cut
-  from ordered
+    (not blank and not seen and not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$'))::int as cut
+  from repeated
 ), walk as (
   select distinct conv_id, 0::bigint as i, [{{'c': 0::bigint, 'a': '', 'o': ''}}, {none}, {none}, {none}] as s from conversations
   union all
