@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cartlight.llm.conversation_repair import conversation_repairs, damage
 from cartlight.llm.decontaminate import contamination
@@ -18,6 +18,7 @@ from cartlight.llm.packing import best_fit_pack, token_pieces
 from cartlight.llm.pii import replace_pii
 from cartlight.llm.quality import quality
 from cartlight.llm.scratch import Scratch
+from cartlight.llm.secret_scan import KINDS, secret_scan
 from cartlight.llm.substring_dedup import repeated_substrings
 from cartlight.llm.token_counts import token_counts
 
@@ -103,6 +104,18 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repairs(damage(_table(spark, folder, "conversations")), F.col("present"))
 
 
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    def of_kind(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return secret_scan(_table(spark, folder, "documents")).select(
+        "doc_id", *[of_kind(k) for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -117,4 +130,5 @@ def queries() -> dict[str, Query]:
         "op10_token_counts": op10_token_counts,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_secret_scan": op13_secret_scan,
     }
