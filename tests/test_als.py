@@ -2,38 +2,79 @@
 
 import random
 
+import pytest
+
+from cartlight.functions import best_scores
+from cartlight.functions.best_scores import best_by_inner_product
 from cartlight.operators import segments
 from tests.seed import customer, item, order, product, shop
 
+SEEKERS, ITEMS = "seeker bigint, grp bigint, u array<float>", "grp bigint, item bigint, v array<float>"
+
+
+def brute(seekers, items, n):
+    found = {}
+    for who, grp, u in seekers:
+        mine = found.setdefault(who, [])
+        for g, key, v in items:
+            if g is not None and g == grp:
+                total = 0.0
+                for a, b in zip(u, v):
+                    total += a * b
+                mine.append((-total, key))
+    return {who: [key for _, key in sorted(rows)[:n]] for who, rows in found.items() if rows}
+
+
+def found(frame):
+    got = {}
+    for r in frame.orderBy("seeker", "rank").collect():
+        assert r["rank"] == len(got.setdefault(r["seeker"], [])) + 1
+        got[r["seeker"]].append(r["item"])
+    return got
+
+
+def halves(draw, n=2):
+    return [draw.randint(-8, 8) / 8 for _ in range(n)]  # exact in float, many ties
+
 
-def test_top_scored_against_brute_force(spark):
+@pytest.mark.parametrize("block,crowd", [(4, 7), (16, 4096), (512, 4096)])
+def test_same_as_all_pairs(spark, block, crowd):
+    """A hot group, ties, one item alone in its group, groups without items, seekers of several groups."""
     draw = random.Random(8)
     size = {1: 90, 2: 7, 3: 1, 4: 33, None: 5}
-    products, at = [], 0
-    for category in (None, 1, 2, 3, 4):
-        for _ in range(size[category]):
-            factors = [1.0, 0.5] if at % 4 == 0 else [draw.uniform(-1, 1), draw.uniform(-1, 1)]  # equal scores too
-            products.append((category, 1000 - at, at, factors))
-            at += 1
-    wanted = [
-        (who, category, [draw.uniform(-1, 1), draw.uniform(-1, 1)])
-        for who in range(60) for category in ([1] if who < 40 else [2, 3] if who < 50 else [1, 4, None])
-    ]
-    factors = {who: u for who, _, u in wanted}
-    wanted = [(who, category, factors[who]) for who, category, _ in wanted]
-    expected = {}
-    for who, category, u in wanted:
-        expected.setdefault(who, []).extend(
-            (-(u[0] * i[0] + u[1] * i[1]), key) for c, key, _, i in products if c is not None and c == category
-        )
-    expected = {who: [(key, k + 1) for k, (_, key) in enumerate(sorted(rows)[:5])] for who, rows in expected.items()}
-    left = spark.createDataFrame(wanted, "customer_id bigint, category_id bigint, u array<double>")
-    right = spark.createDataFrame(products, "category_id bigint, product_id bigint, item bigint, i array<double>")
-    for block in (4, 512):
-        got = {}
-        for r in segments.top_scored(left, right, 5, 2, block).orderBy("customer_id", "rank").collect():
-            got.setdefault(r["customer_id"], []).append((r["product_id"], r["rank"]))
-        assert got == expected
+    items = [(g, 1000 - k, [1.0, 0.5] if k % 4 == 0 else halves(draw)) for k, g in enumerate(g for g, n in size.items() for _ in range(n))]
+    seekers = []
+    for who in range(60):
+        u = [0.0, 0.0] if who == 5 else halves(draw)
+        seekers += [(who, g, u) for g in ([1] if who < 40 else [2, 3] if who < 50 else [1, 4, None] if who < 58 else [9])]
+    for n in (1, 5, 100):
+        got = found(best_by_inner_product(spark.createDataFrame(seekers, SEEKERS), spark.createDataFrame(items, ITEMS), n, 2, block, crowd))
+        assert got == brute(seekers, items, n)
+
+
+def test_blocks_are_left_shut(spark):
+    """Norms that fall off: a few blocks decide, and the result is that of all pairs."""
+    draw = random.Random(5)
+    items = [(k % 2, k, [x * 40 / (1 + k // 8) for x in halves(draw, 4)]) for k in range(2000)]
+    seekers = [(who, g, [1.0 + x for x in halves(draw, 4)]) for who in range(50) for g in (0, 1)]
+    opened = spark.sparkContext.accumulator(0)
+    frame = best_by_inner_product(
+        spark.createDataFrame(seekers, SEEKERS), spark.createDataFrame(items, ITEMS), 5, 4, block=10, opened=opened)
+    assert found(frame) == brute(seekers, [(g, k, [float(_single(x)) for x in v]) for g, k, v in items], 5)
+    assert 0 < opened.value < 0.15 * len(seekers) * 100  # a hundred blocks in each group
+
+
+def _single(x):
+    import numpy as np
+
+    return np.float32(x)
+
+
+def test_nothing_to_find(spark):
+    none, some = spark.createDataFrame([], SEEKERS), spark.createDataFrame([(1, 1, [1.0])], SEEKERS)
+    assert found(best_by_inner_product(none, spark.createDataFrame([(1, 2, [1.0])], ITEMS), 3, 1)) == {}
+    assert found(best_by_inner_product(some, spark.createDataFrame([], ITEMS), 3, 1)) == {}
+    assert best_scores.BLOCK > 1
 
 
 def test_products_that_sell_little_are_scored(spark):
