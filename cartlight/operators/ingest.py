@@ -6,10 +6,12 @@ Input columns are text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cartlight.functions.parsing import blank_to_null, iso_date, number, whole_number
 from cartlight.functions.ranking import dense_index, top_k_per
+from cartlight.operators.history import as_of
+from cartlight.session import materialize
 from cartlight.tables import Tables
 
 REASON = "reject_reason"
@@ -59,9 +61,12 @@ def ingest_customers(batch: DataFrame, tables: Tables, arrival: str = "arrival")
 
     A later row of an e-mail, or one that is stored already, is rejected like any other: every row of the batch is
     either accepted or rejected. The country defaults, a blank age is NULL, the registration date is today.
+
+    The batch is written once with row numbers. The first row of an e-mail is cut out in the map tasks, and what it
+    decides comes back by row number, so an e-mail on a third of the rows does not gather in a task.
     """
     text = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("phone", "city", "state", "gender")}
-    prepared = batch.withColumns({
+    prepared = materialize(batch.withColumn("_row", F.monotonically_increasing_id())).withColumns({
         "_name": blank_to_null(F.col("customer_name")),
         "_email": blank_to_null(F.col("email")),
         "_age": blank_to_null(F.col("age")),
@@ -71,13 +76,12 @@ def ingest_customers(batch: DataFrame, tables: Tables, arrival: str = "arrival")
         (F.col("_age").isNotNull() & whole_number(F.col("_age")).try_cast("int").isNull(), "age is not a whole number"),
     ))
     sound, rejected = _split(judged)
-    known = tables.customers.filter("email is not null").select(F.col("email").alias("_email"), F.lit(True).alias("_taken"))
-    ranked = sound.withColumn("_rank", F.row_number().over(
-        Window.partitionBy("_email").orderBy(F.asc(arrival), *[F.asc(c) for c in batch.columns if c != arrival])
-    )).join(known.distinct(), "_email", "left")
-    fresh, taken = _split(ranked.withColumn(REASON, _first_reason(
-        ((F.col("_rank") > 1) | F.col("_taken"), "email is taken")
-    )))
+    known = tables.customers.filter("email is not null").select(F.col("email").alias("_email"))
+    order = [F.asc(arrival), *[F.asc(c) for c in batch.columns if c != arrival], F.asc("_row")]
+    first = top_k_per(sound, "_email", 1, order, "_rank").select("_email", "_row")
+    winners = materialize(first.join(known, "_email", "left_anti").select("_row"))
+    fresh = sound.join(winners, "_row", "left_semi")
+    taken = sound.join(winners, "_row", "left_anti").withColumn(REASON, F.lit("email is taken"))
     columns = [*batch.columns, REASON]
     rejected = rejected.select(*columns).unionByName(taken.select(*columns))
     numbered = with_new_ids(
@@ -120,11 +124,14 @@ def ingest_products(batch: DataFrame, tables: Tables) -> tuple[DataFrame, DataFr
     return with_new_ids(typed, "product_id", tables.products), rejected
 
 
-def priced_orders(batch: DataFrame, tables: Tables, strict_customers: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Check order requests and price them at the current catalogue price, without numbering them yet.
+def priced_orders(
+    batch: DataFrame, tables: Tables, strict_customers: bool = False, history: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Check order requests and price them, without numbering them yet.
 
-    Customer, product and a quantity above 0 are required and the product must exist. The customer is
-    only checked with ``strict_customers``.
+    The price is the current one of the catalogue or, with a price ``history`` (product_id, valid_from, price), the one
+    that was valid on the day of the order, and the catalogue's where the history has none. Customer, product and a
+    quantity above 0 are required and the product must exist. The customer is only checked with ``strict_customers``.
     """
     customer = blank_to_null(F.col("customer_id"))
     product = blank_to_null(F.col("product_id"))
@@ -139,6 +146,11 @@ def priced_orders(batch: DataFrame, tables: Tables, strict_customers: bool = Fal
         F.col("product_id").alias("_product"), F.col("price").alias("_price"), F.lit(True).alias("_known")
     )
     joined = prepared.join(prices, "_product", "left")
+    price = F.col("_price")
+    if history is not None:
+        valid = history.select(F.col("product_id").alias("_product"), "valid_from", F.col("price").alias("_then"))
+        joined = as_of(joined, valid, ["_product"], "_day", "valid_from").drop("valid_from")
+        price = F.coalesce("_then", "_price")
     incomplete = customer.isNull() | product.isNull() | (F.col("_quantity") <= 0)
     checks = [
         (incomplete, "customer, product and a valid quantity are required"),
@@ -157,8 +169,8 @@ def priced_orders(batch: DataFrame, tables: Tables, strict_customers: bool = Fal
         F.col("_day").alias("order_date"),
         F.coalesce("order_status", F.lit(DEFAULT_STATUS)).alias("order_status"),
         F.col("_quantity").alias("quantity"),
-        F.col("_price").alias("unit_price"),
-        (F.col("_price") * F.col("_quantity")).alias("total_amount"),
+        price.alias("unit_price"),
+        (price * F.col("_quantity")).alias("total_amount"),
     )
     return accepted, rejected.select(*batch.columns, REASON)
 
