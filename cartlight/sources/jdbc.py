@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartlight import schemas
 from cartlight.tables import TABLE_NAMES, Tables
@@ -50,6 +50,18 @@ def scan_options(
     }
 
 
+def conformed(rows: DataFrame, table: str) -> DataFrame:
+    """The columns of the fixed schema in its types and order, whatever types the server has (DECIMAL, TINYINT, DATETIME).
+
+    Column names match in any case; a missing one is an error, columns beside the schema are left out.
+    """
+    named = {c.lower(): c for c in rows.columns}
+    missing = [f.name for f in schemas.schema(table) if f.name not in named]
+    if missing:
+        raise ValueError(f"{table} lacks {', '.join(missing)}")
+    return rows.select(*[F.col(f"`{named[f.name]}`").cast(f.dataType).alias(f.name) for f in schemas.schema(table)])
+
+
 def scan(spark: SparkSession, table: str, partitions: int, env: dict[str, str] | None = None) -> DataFrame:
     """Scan one table in parallel; the key bounds come from one MIN/MAX query on the server."""
     key = schemas.PRIMARY_KEYS[table]
@@ -59,7 +71,7 @@ def scan(spark: SparkSession, table: str, partitions: int, env: dict[str, str] |
         .load().first()
     )
     options = scan_options(table, bounds["lo"], bounds["hi"] + 1, partitions, env)
-    return spark.read.format("jdbc").options(**options).load()
+    return conformed(spark.read.format("jdbc").options(**options).load(), table)
 
 
 def jdbc_tables(spark: SparkSession, partitions: int, env: dict[str, str] | None = None) -> Tables:
