@@ -214,7 +214,8 @@ _QUERIES = {
     "customer_clusters_summary": """SELECT count(*) AS customers, CAST(4 AS BIGINT) AS segments, true AS at_nearest
         FROM s_customers""",
     "reco_als_summary": """SELECT count(DISTINCT customer_id) AS customers, CAST(0 AS BIGINT) AS gaps,
-        CAST(0 AS BIGINT) AS unordered, CAST(0 AS BIGINT) AS unknown_products
+        CAST(0 AS BIGINT) AS unordered, CAST(0 AS BIGINT) AS unknown_products,
+        CAST(0 AS BIGINT) AS wrong_scores, CAST(0 AS BIGINT) AS missed
         FROM s_items JOIN s_orders USING (order_id)""",
     # forecast
     "monthly_ordinal": "SELECT month, month_number, revenue FROM numbered",
@@ -337,8 +338,53 @@ _QUERIES = {
         FROM events WHERE event_type = 'purchase' GROUP BY 1""",
     "realtime_sales_stream": f"""SELECT CAST(ts AS DATE) AS day, count(*) AS purchases, {_money('value')} AS revenue
         FROM events WHERE event_type = 'purchase' GROUP BY 1""",
+    "realtime_sales_deduped": f"""SELECT CAST(ts AS DATE) AS day, count(*) AS purchases, {_money('value')} AS revenue
+        FROM events WHERE event_type = 'purchase' GROUP BY 1""",
+    "realtime_sales_deduped_stream": f"""SELECT CAST(ts AS DATE) AS day, count(*) AS purchases,
+        {_money('value')} AS revenue FROM events WHERE event_type = 'purchase' GROUP BY 1""",
+    "user_sessions": "SELECT * FROM sessions",
+    "user_sessions_stream": """SELECT * FROM sessions
+        WHERE last_event + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    # price history
+    "price_history": "SELECT product_id, valid_from, price, valid_to FROM prices",
+    "price_history_merged": "SELECT product_id, valid_from, price, valid_to FROM prices",
+    "order_price_asof": """SELECT i.product_id, i.order_id, i.quantity, i.unit_price, i.order_date,
+        p.valid_from AS price_since, p.price AS price_before
+        FROM (SELECT * FROM s_items LEFT JOIN s_orders USING (order_id)) i
+        ASOF LEFT JOIN prices p ON i.product_id = p.product_id AND i.order_date - 1 >= p.valid_from""",
+    "order_pricing_asof": """SELECT customer_id, i.product_id, order_date, 'Pending' AS order_status, quantity,
+        coalesce(h.price, p.price) AS unit_price, coalesce(h.price, p.price) * quantity AS total_amount
+        FROM (SELECT * FROM s_items JOIN s_orders USING (order_id)) i JOIN s_products p ON i.product_id = p.product_id
+        ASOF LEFT JOIN prices h ON i.product_id = h.product_id AND i.order_date >= h.valid_from
+        WHERE quantity > 0""",
+    # the last six months
+    "recent_monthly_revenue": """SELECT month, revenue FROM monthly
+        WHERE month >= (SELECT strftime(max(order_date) - INTERVAL 5 MONTH, '%Y-%m') FROM s_orders)""",
+    "recent_category_revenue": f"""SELECT category_id, category_name, {_money('quantity * unit_price')} AS revenue
+        FROM s_items JOIN s_orders USING (order_id) JOIN s_products USING (product_id) JOIN s_categories USING (category_id)
+        WHERE order_status <> 'Cancelled' AND strftime(order_date, '%Y-%m') >=
+            (SELECT strftime(max(order_date) - INTERVAL 5 MONTH, '%Y-%m') FROM s_orders)
+        GROUP BY category_id, category_name""",
+    # figures from partials
+    "incremental_dashboard": f"""SELECT
+        (SELECT coalesce({_money('total_amount')}, 0) FROM s_orders WHERE order_status <> 'Cancelled') AS revenue,
+        (SELECT count(*) FROM s_orders) AS total_orders,
+        (SELECT count(*) FROM s_customers) AS total_customers,
+        (SELECT count(*) FROM s_products) AS total_products""",
+    "incremental_monthly": "SELECT month, revenue FROM monthly",
 }
 
+_TABLES["prices"] = """SELECT *, lead(valid_from) OVER (PARTITION BY product_id ORDER BY valid_from) AS valid_to FROM (
+    SELECT product_id, order_date AS valid_from, max(unit_price) AS price FROM s_items JOIN s_orders USING (order_id)
+    WHERE order_status <> 'Cancelled' AND order_date IS NOT NULL GROUP BY 1, 2)"""
+_TABLES["sessions"] = f"""SELECT user_id, min(ts) AS session_start, max(ts) AS last_event, count(*) AS events,
+    count(*) FILTER (WHERE event_type = 'purchase') AS purchases,
+    coalesce({_money("CASE WHEN event_type = 'purchase' THEN value END")}, 0) AS revenue
+    FROM (SELECT *, count(*) FILTER (WHERE before IS NULL OR ts - before > INTERVAL 30 MINUTE)
+        OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session
+        FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events))
+    WHERE user_id IS NOT NULL GROUP BY user_id, session"""
+
 _TABLES["requests"] = """SELECT o.customer_id, i.product_id % 7 = 0 AS unknown,
     CASE WHEN i.product_id % 7 = 0 THEN '9000000000' || i.product_id ELSE i.product_id::VARCHAR END AS product_id,
     CASE WHEN o.customer_id % 5 = 0 THEN 'x' ELSE i.quantity::VARCHAR END AS quantity,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartlight.functions.money import money_sum
 from cartlight.operators import (
-    churn, customers, forecast, ingest, kpi, recommend, sales, segments, views,
+    churn, customers, forecast, history, incremental, ingest, kpi, recommend, sales, segments, views,
 )
 from cartlight.session import checkpoint_folder, materialize, prepare
 from cartlight.sources import store
@@ -185,19 +185,36 @@ def _metrics_summary(kind: str) -> Callable[[Tables], DataFrame]:
 
 
 def _als_summary(tables: Tables) -> DataFrame:
-    """What must hold of the recommendations: ranks without gaps, known products, falling scores."""
-    rows = materialize(segments.reco_als(tables))
-    known = rows.join(tables.products.select("product_id"), "product_id", "left_semi").agg(F.count(F.lit(1))).scalar()
-    per = rows.groupBy("customer_id").agg(
+    """What must hold of the recommendations, by the factors they were made from.
+
+    Ranks without gaps, known products, falling scores that are the products of the factors; and for customers whose id is
+    divisible by 100, among all products of their categories none that should stand in the list and does not.
+    """
+    wanted, products, factors = segments.als_factors(tables)
+    rows = materialize(segments.best_scored(wanted, products, 5, factors))
+    score = F.aggregate(F.zip_with("u", "i", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    people = wanted.groupBy("customer_id").agg(F.any_value("u").alias("u"))
+    known = rows.join(people, "customer_id").join(products, "product_id").agg(
+        F.count(F.lit(1)).alias("known"), F.count_if(score != F.col("score")).alias("wrong"))
+    per = materialize(rows.groupBy("customer_id").agg(
         F.max("rank").alias("last"), F.countDistinct("rank").alias("ranks"), F.countDistinct("product_id").alias("products"),
-        F.max_by("score", -F.col("rank")).alias("top"), F.max("score").alias("best"),
-    )
+        F.max_by("score", -F.col("rank")).alias("top"), F.max("score").alias("best"), F.min("score").alias("low"),
+        F.max_by("product_id", "rank").alias("lowest"),
+    ))
+    asked = wanted.filter("customer_id % 100 = 0").join(products, "category_id").select("customer_id", "product_id", score.alias("all"))
+    asked = asked.join(rows.select("customer_id", "product_id"), ["customer_id", "product_id"], "left_anti").join(
+        per, "customer_id", "left")
+    before = (F.col("all") > F.col("low")) | ((F.col("all") == F.col("low")) & (F.col("product_id") < F.col("lowest")))
+    missed = asked.filter(F.col("last").isNull() | (F.col("last") < 5) | before).agg(F.count(F.lit(1)))
     return per.agg(
         F.count(F.lit(1)).alias("customers"),
         F.count_if((F.col("last") != F.col("ranks")) | (F.col("ranks") != F.col("products")) | (F.col("last") > 5)).alias("gaps"),
         F.count_if(F.col("top") < F.col("best")).alias("unordered"),
         F.sum("ranks").alias("_all"),
-    ).withColumn("unknown_products", F.col("_all") - known).drop("_all")
+    ).select(
+        "customers", "gaps", "unordered", (F.col("_all") - known.select("known").scalar()).alias("unknown_products"),
+        known.select("wrong").scalar().alias("wrong_scores"), missed.scalar().alias("missed"),
+    )
 
 
 def _upsert_latest(tables: Tables) -> DataFrame:
@@ -222,6 +239,75 @@ def _forecast_fit(tables: Tables) -> DataFrame:
     return fit.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), "months")
 
 
+def _order_pricing_asof(tables: Tables) -> DataFrame:
+    return ingest.priced_orders(_order_requests(tables), tables, history=history.price_changes(tables))[0]
+
+
+def _price_history_merged(tables: Tables) -> DataFrame:
+    """The price history from three batches: wrong prices first, the odd days, then the even days and the corrections."""
+    changes = history.price_changes(tables)
+    odd = F.dayofmonth("valid_from") % 2 == 1
+    wrong = changes.filter(odd).withColumn("price", F.col("price") + 1.0)
+    stored = materialize(history.versions(wrong, ["product_id"]))
+    stored = materialize(history.merge_versions(stored, changes.filter(odd), ["product_id"]))
+    return history.merge_versions(stored, changes.filter(~odd), ["product_id"])
+
+
+def _incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Partials of a store that all orders, customers and products were loaded into in four batches, refreshed twice."""
+    tables = shop_tables(spark, folder)
+    run = f"{checkpoint_folder(spark)}/incremental-{uuid.uuid4().hex}"
+    part = lambda k: tables.orders.filter(F.pmod("order_id", F.lit(3)) == k)
+    store.append_batch({"orders": part(2), "customers": tables.customers}, f"{run}/store", "c")
+    store.append_batch({"orders": part(0)}, f"{run}/store", "a")
+    incremental.refresh(spark, f"{run}/store", f"{run}/figures")
+    store.append_batch({"orders": part(1)}, f"{run}/store", "b")
+    store.append_batch({"products": tables.products}, f"{run}/store", "d")
+    incremental.refresh(spark, f"{run}/store", f"{run}/figures")
+    return incremental.read_partials(spark, f"{run}/figures")
+
+
+def _by_month(spark: SparkSession, folder: str, months: int) -> Tables:
+    """The last months of a store by month that half the orders were written into, the other half a batch beside it."""
+    tables = shop_tables(spark, folder)
+    home = f"{checkpoint_folder(spark)}/months-{uuid.uuid4().hex}"
+    ids = F.lit(0).cast("bigint")
+    items = tables.order_items.select(ids.alias("order_item_id"), "*")
+    for name, k in (("a", 0), ("b", 1)):
+        half = F.pmod("order_id", F.lit(2)) == k
+        store.append_batch({"orders": tables.orders.filter(half), "order_items": items.filter(half)}, home, name)
+        if k == 0:
+            store.write_by_month(spark, home, "1")
+    store.append_batch({"products": tables.products, "categories": tables.categories}, home, "c")
+    return store.read_months(spark, home, store.newest_months(spark, home, months))
+
+
+def _twice(events: DataFrame) -> DataFrame:
+    """Every event delivered twice."""
+    return events.unionByName(events)
+
+
+def _sales_deduped_stream(spark: SparkSession, folder: str) -> DataFrame:
+    run = f"{checkpoint_folder(spark)}/deduped-{uuid.uuid4().hex}"
+    events = _twice(realtime.read_events(spark, f"{folder}/events.parque[t]", event_schema()))
+    realtime.write_daily_revenue(realtime.distinct_events(events), f"{run}/days", f"{run}/state").awaitTermination()
+    return realtime.read_days(spark, f"{run}/days")
+
+
+def _local(sessions: DataFrame) -> DataFrame:
+    return sessions.select(
+        "user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "last_event")],
+        "events", "purchases", "revenue")
+
+
+def _sessions_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The sessions that the stream has finished once it has seen every event, each delivered twice."""
+    run = f"{checkpoint_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    events = _twice(realtime.read_events(spark, f"{folder}/events.parque[t]", event_schema()))
+    realtime.write_sessions(realtime.user_sessions(events), f"{run}/sessions", f"{run}/state").awaitTermination()
+    return _local(realtime.read_sessions(spark, f"{run}/sessions"))
+
+
 def _sales_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The event files run through the streaming job once; all its days.
 
@@ -325,9 +411,24 @@ def queries() -> dict[str, Query]:
         "reco_als": segments.reco_als,
         "reco_als_summary": _als_summary,
         "inventory_alerts": segments.inventory_alerts,
+        # price history
+        "price_history": history.price_history,
+        "price_history_merged": _price_history_merged,
+        "order_price_asof": history.order_price_asof,
+        "order_pricing_asof": _order_pricing_asof,
     }
     registered = {name: _over_shop(job) for name, job in over_shop.items()}
     registered["realtime_sales_batch"] = lambda spark, folder: realtime.daily_revenue(
         scan(prepare(spark), folder, "events"))
     registered["realtime_sales_stream"] = _sales_stream
+    registered["realtime_sales_deduped"] = lambda spark, folder: realtime.daily_revenue(
+        realtime.distinct_events(_twice(scan(prepare(spark), folder, "events"))))
+    registered["realtime_sales_deduped_stream"] = _sales_deduped_stream
+    registered["user_sessions"] = lambda spark, folder: _local(
+        realtime.user_sessions(_twice(scan(prepare(spark), folder, "events"))))
+    registered["user_sessions_stream"] = _sessions_stream
+    registered["recent_monthly_revenue"] = lambda spark, folder: sales.monthly_revenue(_by_month(spark, folder, 6))
+    registered["recent_category_revenue"] = lambda spark, folder: sales.category_revenue(_by_month(spark, folder, 6))
+    registered["incremental_dashboard"] = lambda spark, folder: incremental.dashboard(_incremental(spark, folder))
+    registered["incremental_monthly"] = lambda spark, folder: incremental.monthly(_incremental(spark, folder))
     return registered
