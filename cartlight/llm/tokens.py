@@ -7,8 +7,10 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 # Characters whose class (letter, number, space, other), case and normal form are the same in Python and in the
@@ -19,7 +21,9 @@ _OTHER = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u20
 # Longer pieces are cut up by an iterator instead of a list of all their words.
 _LONG = 1 << 20
 # Remembered words per worker beside the broadcast ones, remembered pre-tokens, and their greatest length.
-_CACHE, _PARTS, _CACHED_CHARS = 1 << 17, 1 << 16, 64
+_CACHE, _PARTS, _CACHED_CHARS = 1 << 18, 1 << 16, 64
+# Characters of a pre-token from which the library's model encodes it, whatever the vocabulary.
+_LONG_PART = 2048
 
 # Both vocabularies part words at white space at least. One keeps white space: a single blank belongs to the word after
 # it, longer white space stands alone but for its last character. The other drops it.
@@ -33,6 +37,9 @@ _PRETOKENS = {
 # The character that stands for a byte in both vocabularies: printable Latin-1 for itself, the others from 256 on.
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _STANDS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_BYTE = {chr(_STANDS.get(b, b)): b for b in range(256)}
+# The byte that stands for the end of a word, where a vocabulary marks it; UTF-8 has no such byte.
+_END = b"\xff"
 
 
 def _usual(text: str) -> bool:
@@ -47,6 +54,32 @@ def _usual(text: str) -> bool:
     return True
 
 
+def _by_rank(model: dict) -> Callable[[bytes], list[int]] | None:
+    """Ids of a pre-token's bytes by merging the pair of lowest id, which is quicker than the library's model.
+
+    That is the same where every merge makes a token of a higher id than the merges before it, all bytes are tokens and
+    nothing else is set; elsewhere there is None.
+    """
+    vocabulary, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if suffix:
+        merges = [m.replace(suffix, "") + (suffix if m.endswith(suffix) else "") for m in merges]
+    made = [vocabulary.get(m, -1) for m in merges]
+    odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if odd or any(a >= b for a, b in zip([2 * 256 - 1 if suffix else 255, *made], made)):
+        return None
+    ranks = {}
+    for token, id_ in vocabulary.items():
+        body = token.removesuffix(suffix) if suffix else token
+        if body and all(c in _BYTE for c in body):
+            ranks[bytes(_BYTE[c] for c in body) + (_END if body != token else b"")] = id_
+    tail = _END if suffix else b""
+    if any(bytes([b]) not in ranks or bytes([b]) + tail not in ranks for b in range(256)):
+        return None
+    piece = tiktoken.Encoding("ranks", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return (lambda part: piece(part + tail)) if tail else piece
+
+
 def as_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -76,6 +109,7 @@ class Encoder(dict):
         self._words, self._pretokens = _WORDS[splitter["type"]], _PRETOKENS[splitter["type"]]
         self._plain = splitter["type"] == "Split"
         self._lower = any(n["type"] == "Lowercase" for n in (told["normalizer"] or {}).get("normalizers", []))
+        self._ranked = _by_rank(told["model"])
         self._value, self._known, self._parts = value, {}, {}
 
     def know(self, words: dict) -> None:
@@ -87,6 +121,8 @@ class Encoder(dict):
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _part_ids(self, part: str) -> list[int]:
+        if self._ranked and len(part) < _LONG_PART:
+            return self._ranked(part.encode())
         if not (part.isascii() and part.isprintable() and " " not in part):
             part = part.encode().decode("latin-1").translate(_STANDS)
         return [token.id for token in self._model.tokenize(part)]
@@ -133,11 +169,9 @@ class Encoder(dict):
 
     def values(self, text: str) -> Iterator:
         """What ``value`` makes of the text's ids, part by part."""
-        for kind, part in self.segments(text):
-            if kind == "ids":
-                yield self._value(part)
-            else:
-                yield from map(self.__getitem__, part)
+        of_word, value = self.__getitem__, self._value
+        return chain.from_iterable(
+            map(of_word, part) if kind == "words" else (value(part),) for kind, part in self.segments(text))
 
 
 @lru_cache(maxsize=4)
