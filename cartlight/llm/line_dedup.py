@@ -18,7 +18,7 @@ def line_dedup(documents: DataFrame, scratch: Scratch | None = None) -> DataFram
     somewhere. Texts of fewer than three lines have no window and stay, as do null and empty ones.
 
     Windows are found by 128-bit hashes. Equal windows meet only as counts and minimums, combined in the map tasks; the
-    minimum is joined back, so a window that a third of all documents share is never gathered. A document's removed
+    minimum is written and joined back, and adaptive execution splits a window that a third of all documents share. A document's removed
     positions are bounded by its own lines.
 
     Rows with equal doc_id and text are one document and get the same result; a null doc_id comes last in the order.
@@ -43,13 +43,14 @@ def line_dedup(documents: DataFrame, scratch: Scratch | None = None) -> DataFram
     windows = scratch.keep(windows, "windows")
     first = windows.groupBy("x", "y").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_doc", "_text", "pos")).alias("first")
-    ).filter("n > 1")
+    ).filter("n > 1").select("x", "y", "first")
+    first = scratch.keep(first, "first")  # written, so that the join with it can be split where many share a window
     later = windows.join(first, ["x", "y"]).filter(F.struct("_doc", "_text", "pos") != F.col("first"))
     cuts = scratch.keep(
         later.select("_doc", "_text", "pos").distinct()
         .groupBy("_doc", "_text").agg(F.sort_array(F.collect_list("pos")).alias("_cuts")), "cuts",
     )
-    scratch.drop(windows)
+    scratch.drop(windows, first)
     rows = documents.drop("dedup")
     columns = rows.columns
     rows = rows.select(others(rows), "text", *key)
