@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cartlight.llm.rows import others
 from cartlight.llm.scratch import Scratch
 
-# Rows of either kind that the classifier is fitted on at most: those with the smallest hashed doc_id.
+# Rows of either kind that the classifier is fitted on at most: those with the smallest hash of doc_id and text.
 SAMPLE = 10_000
 # Kinds of bytes whose shares, and whose shares of neighbouring pairs, describe a text.
 _KINDS = {
@@ -69,7 +69,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _design(rows: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return np.c_[np.clip((rows - center) / scale, -4, 4), np.ones(len(rows))]
+    """Standardised features and a constant, in the precision of the rows."""
+    made = np.empty((len(rows), rows.shape[1] + 1), rows.dtype)
+    np.subtract(rows, center.astype(rows.dtype), out=made[:, :-1])
+    made[:, :-1] /= scale.astype(rows.dtype)
+    np.clip(made, -4, 4, out=made)
+    made[:, -1] = 1
+    return made
 
 
 def _descend(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
@@ -98,22 +104,30 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 500, ridge: f
     Where the second part, an unbiased estimate of a risk, falls below zero, only it is raised again, so that it is not
     fitted further.
     """
-    center, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-4
+    center, scale = unlabelled.mean(axis=0, dtype=float), unlabelled.std(axis=0, dtype=float) + 1e-4
     p, u = _design(positive, center, scale), _design(unlabelled, center, scale)
 
+    def scores(w):
+        w = w.astype(p.dtype)
+        return (p @ w).astype(float), (u @ w).astype(float)
+
+    def mean(rows, values):
+        return (values.astype(rows.dtype) @ rows).astype(float) / len(rows)
+
     def apart(w):
-        return p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + ridge * w
+        zp, zu = scores(w)
+        return mean(p, _sigmoid(zp) - 1) + mean(u, _sigmoid(zu)) + ridge * w
 
     split = _descend(apart, p.shape[1], steps // 2)
-    prior = estimate_prior(p @ split, u @ split)
+    prior = estimate_prior(*scores(split))
 
     def risk(w):
-        zp, zu = p @ w, u @ w
+        zp, zu = scores(w)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        against = u.T @ _sigmoid(zu) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
+        against = mean(u, _sigmoid(zu)) - prior * mean(p, _sigmoid(zp))
         if negative < 0:
             return -against + ridge * w
-        return prior * (p.T @ (_sigmoid(zp) - 1)) / len(p) + against + ridge * w
+        return prior * mean(p, _sigmoid(zp) - 1) + against + ridge * w
 
     return QualityModel(center, scale, _descend(risk, p.shape[1], steps), prior)
 
@@ -126,39 +140,43 @@ def held_out() -> Column:
 def fit_quality(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel | None:
     """Fit on trusted positives (quality 1) and unlabelled texts, neither of them held out.
 
-    Of each, the ``sample`` documents with the smallest hash of their doc_id are used; only their features come to
-    the driver. If every text is labelled, all texts count as unlabelled. Without positives or texts there is no
-    model. Conflicting labels of a document count as 0; labels without a text are ignored.
+    Unlabelled texts are drawn from all rows, whether they have a label or not. Of either kind, the ``sample`` rows with
+    the smallest hash of doc_id and text are used, equal rows once; only their features come to the driver, so
+    at most twice ``sample`` rows, however often an id repeats. Without positives there is no model. Conflicting labels of a
+    document count as 0; labels without a text are ignored, and rows without doc_id have none.
     """
+    scratch = Scratch(documents.sparkSession, "quality-fit")
     marks = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
-        F.min("quality").alias("quality")
-    ).filter("quality is not null")
-    ids = documents.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null")
-    ids = ids.filter(~held_out()).join(marks, "doc_id", "left")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    good = ids.filter("quality = 1").orderBy(*order).limit(sample)
-    plain = ids.filter("quality is null").orderBy(*order).limit(sample)
-    rows = [(r["doc_id"], True) for r in good.collect()]
-    other = [(r["doc_id"], False) for r in plain.collect()]
-    if not other:
-        other = [(r["doc_id"], False) for r in ids.select("doc_id").orderBy(*order).limit(sample).collect()]
-    if not rows or not other:
-        return None
-    wanted = documents.sparkSession.createDataFrame([*rows, *other], "doc_id bigint, good boolean").distinct()
+        F.min("quality").alias("quality"))
+    marks = scratch.keep(marks.filter("quality = 1").select("doc_id"), "good")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    keyed = texts.filter(~held_out()).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+
+    def smallest(rows: DataFrame, kind: str) -> DataFrame:
+        some = rows.select("key").distinct().orderBy("key").limit(sample)
+        return some.select("key", *[F.lit(kind == k).alias(k) for k in ("good", "plain")])
+
+    good = smallest(keyed.join(marks, "doc_id", "left_semi"), "good")
+    wanted = good.unionByName(smallest(keyed, "plain")).groupBy("key").agg(
+        F.bool_or("good").alias("good"), F.bool_or("plain").alias("plain"))
+    wanted = scratch.keep(wanted, "wanted")  # at most twice ``sample`` rows
 
     def describe(batches):
         for batch in batches:
-            made = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({
-                "good": batch.column(0), "x": pa.array([list(x) for x in made], pa.list_(pa.float32())),
-            })
-
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = texts.join(F.broadcast(wanted), "doc_id").select("good", "text").mapInArrow(
-        describe, "good boolean, x array<float>"
-    ).orderBy(F.xxhash64("x"), "good").toPandas()
-    x, is_good = np.array(found["x"].tolist(), float), found["good"].to_numpy(bool)
-    return fit(x[is_good], x[~is_good])
+            made = [features(t).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("key", "good", "plain")), pa.array(made, pa.binary())], ["key", "good", "plain", "x"])
+
+    chosen = keyed.join(F.broadcast(wanted), "key").groupBy("key", "good", "plain").agg(F.any_value("text").alias("text"))
+    found = chosen.mapInArrow(describe, "key bigint, good boolean, plain boolean, x binary").toArrow()
+    scratch.drop(marks, wanted)
+    order = np.argsort(found["key"].to_numpy())
+    kinds = {k: order[found[k].to_numpy()[order]] for k in ("good", "plain")}
+    if not len(kinds["good"]):
+        return None
+    x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(len(order), -1)
+    del found
+    return fit(x[kinds["good"]], x[kinds["plain"]])
 
 
 def score_quality(documents: DataFrame, model: QualityModel | None) -> DataFrame:

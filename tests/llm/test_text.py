@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cartlight.llm import packing
-from cartlight.llm.decontaminate import contamination, decontaminate
+from cartlight.llm.decontaminate import _automata, _passes, contamination, decontaminate
 from cartlight.llm.licence_scan import licence_scan
 from cartlight.llm.licences import KNOWN
 from cartlight.llm.packing import best_fit_pack, plan_packing, token_pieces
 from cartlight.llm.pii import GIVEN_NAMES, canonical, find_entities, render, replace_pii, surrogate, surrogate_table
-from cartlight.llm.quality import features, fit, quality
+from cartlight.llm.quality import features, fit, fit_quality, quality
 from cartlight.llm.scratch import Scratch
 from cartlight.llm.token_counts import token_counts
 from cartlight.llm.tokens import Encoder
@@ -48,6 +48,10 @@ def test_encoder_on_every_quick_character(path):
     texts = [f"a{c}b {c}{c}1 {c}'s{c} {c}" for c in chars]
     texts += ["".join(rng.choice(chars) for _ in range(60)) for _ in range(2000)]
     texts += ["a" * 3000, "'" * 50 + "s", " \n \t  x", "I'LL 'Re"]
+    syllables = ["the", "er", "ing", "tion", "ung", "é", "ß", "qu", "st", "x", "1", "ñ", "-", "'s"]
+    texts += [" ".join("".join(rng.choices(syllables, k=rng.randint(1, 9))) for _ in range(30)) for _ in range(500)]
+    texts += ["ab" * n for n in (40, 60, 1000, 1500)]
+    assert encoder._ranked is not None
     for text in texts:
         assert [i for part in encoder.values(text) for i in part] == library.encode(text, add_special_tokens=False).ids
 
@@ -126,8 +130,8 @@ def _benchmark(spark, texts):
     return spark.createDataFrame([(*i, "x", 1) for i in items], "item_id bigint, text string, row string, n_words int"), items
 
 
-@pytest.mark.parametrize("window, max_words", [(10, 10**6), (4, 40)])
-def test_contamination_against_brute_force(spark, window, max_words):
+@pytest.mark.parametrize("window, shard_bytes, pass_bytes", [(10, 10**6, 10**8), (4, 150, 10**8), (10, 150, 7000)])
+def test_contamination_against_brute_force(spark, window, shard_bytes, pass_bytes):
     docs = data.documents(spark)
     benchmark, items = _benchmark(spark, data.texts())
     want = []
@@ -135,18 +139,23 @@ def test_contamination_against_brute_force(spark, window, max_words):
         n, hit, names = data.benchmark_hits(r["text"], items, window)
         want.append((r["doc_id"] or -1, n, tuple(sorted(hit)), tuple(sorted(str(x) for x in names if x is not None))))
     got = []
-    for r in contamination(docs, benchmark, window, max_words).collect():
+    for r in contamination(docs, benchmark, window, shard_bytes, pass_bytes).collect():
         hit = [k for s in r["spans"] for k in range(s["first"], s["last"] + 1)]
         got.append((r["doc_id"] or -1, r["n_words"], tuple(hit), tuple(r["items"])))
     assert sorted(got) == sorted(want) and sum(bool(w[2]) for w in want) > 5
     assert contamination(data.empty_documents(spark), benchmark).collect() == []
     assert not any(r["items"] for r in contamination(docs, benchmark.limit(0)).collect())
+    automata = _automata(Scratch(spark, "test"), benchmark, window, shard_bytes)
+    assert (automata.count() > 3) == (shard_bytes < 1000)
+    passes = _passes(automata, pass_bytes)
+    assert (len(passes) > 2) == (pass_bytes < 10**5) and sum(map(len, passes)) == automata.count()
 
 
-def test_decontaminate_cuts_and_keeps(spark):
+@pytest.mark.parametrize("shard_bytes, pass_bytes", [(10**6, 10**8), (150, 7000)])
+def test_decontaminate_cuts_and_keeps(spark, shard_bytes, pass_bytes):
     docs = data.documents(spark)
     benchmark, items = _benchmark(spark, data.texts())
-    done = decontaminate(docs, benchmark, 10, 0.5)
+    done = decontaminate(docs, benchmark, 10, 0.5, shard_bytes, pass_bytes)
     assert done.columns == docs.columns
     after = Counter((r["doc_id"], r["text"]) for r in done.collect())
     for r in docs.collect():
@@ -196,6 +205,18 @@ def test_quality_learns_from_positives_and_unlabelled(spark):
     assert {tuple(r) for r in quality(docs, hidden).collect()} == {tuple(r) for r in got}  # held-out labels play no part
 
 
+def test_quality_sample_is_bounded_under_a_hot_id(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr("cartlight.llm.quality.fit", lambda p, u: sizes.append((p.dtype, len(p), len(u))))
+    hot = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 5)
+    rows = [(hot, f"text {k} of one id") for k in range(3000)] + [(hot, "the same")] * 2000 + [(None, "no id")] * 50
+    docs = spark.createDataFrame([*rows, (100 + hot, "another")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(hot, 1)], "doc_id bigint, quality int")
+    fit_quality(docs, labels, sample=10)
+    fit_quality(docs, labels, sample=10_000)
+    assert sizes == [(np.float32, 10, 10), (np.float32, 3001, 3003 - (zlib.crc32(str(100 + hot).encode()) % 5 == 0))]
+
+
 def test_quality_without_labels_or_texts(spark):
     docs = data.documents(spark)
     none = spark.createDataFrame([], "doc_id bigint, quality int")
