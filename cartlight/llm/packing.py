@@ -16,6 +16,8 @@ from cartlight.llm.tokens import as_bytes, worker_encoder
 GROUPS, SMALL = 1000, (1 / 8, 1 / 4, 1 / 3)
 # Items ranked within one task; a length with more is ranked in several parts.
 _RANKED = 100_000
+# Words whose ids a worker remembers: they take some 20 MB beside what other stages hold.
+_REMEMBERED = 1 << 16
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -29,7 +31,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = 2048, end
     width, end = 4 * capacity, as_bytes([end_id])
 
     def cut(batches):
-        encoder = worker_encoder(spec.value, as_bytes)
+        encoder = worker_encoder(spec.value, as_bytes, _REMEMBERED)
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -6,7 +6,7 @@ import json
 import re
 import struct
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import regex
@@ -21,7 +21,7 @@ _OTHER = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u20
 # Longer pieces are cut up by an iterator instead of a list of all their words.
 _LONG = 1 << 20
 # Remembered words per worker beside the broadcast ones, remembered pre-tokens, and their greatest length.
-_CACHE, _PARTS, _CACHED_CHARS = 1 << 18, 1 << 16, 64
+_CACHE, _PARTS, _CACHED_CHARS = 1 << 18, 1 << 15, 64
 # Characters of a pre-token from which the library's model encodes it, whatever the vocabulary.
 _LONG_PART = 2048
 
@@ -93,13 +93,9 @@ class Encoder(dict):
     characters are encoded by the library as a whole.
     """
 
-    def __init__(self, spec: str, value: Callable[[list[int]], object]):
+    def __init__(self, spec: str, value: Callable[[list[int]], object], remembered: int = _CACHE):
         super().__init__()
-        self.library = Tokenizer.from_str(spec)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self._model = self.library.model
-        told = json.loads(spec)
+        self._spec, told = spec, json.loads(spec)
         self._special_ids = {t["content"]: t["id"] for t in told["added_tokens"]}
         special = "|".join(map(re.escape, self._special_ids))
         self._special = re.compile(f"({special})") if special else None
@@ -110,7 +106,15 @@ class Encoder(dict):
         self._plain = splitter["type"] == "Split"
         self._lower = any(n["type"] == "Lowercase" for n in (told["normalizer"] or {}).get("normalizers", []))
         self._ranked = _by_rank(told["model"])
-        self._value, self._known, self._parts = value, {}, {}
+        self._value, self._known, self._parts, self._remembered = value, {}, {}, remembered
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's tokenizer, made where a text first asks for it: most texts do not."""
+        made = Tokenizer.from_str(self._spec)
+        made.no_truncation()
+        made.no_padding()
+        return made
 
     def know(self, words: dict) -> None:
         """Take over words with their values; they stay when the remembered ones go."""
@@ -125,7 +129,7 @@ class Encoder(dict):
             return self._ranked(part.encode())
         if not (part.isascii() and part.isprintable() and " " not in part):
             part = part.encode().decode("latin-1").translate(_STANDS)
-        return [token.id for token in self._model.tokenize(part)]
+        return [token.id for token in self.library.model.tokenize(part)]
 
     def word_ids(self, word: str) -> list[int]:
         letters = word if self._plain or word[0] != " " else word[1:]
@@ -146,7 +150,7 @@ class Encoder(dict):
     def __missing__(self, word: str):
         made = self._value(self.word_ids(word))
         if len(word) <= _CACHED_CHARS:
-            if len(self) >= len(self._known) + _CACHE:
+            if len(self) >= len(self._known) + self._remembered:
                 self.clear()
                 self.update(self._known)
             self[word] = made
@@ -175,6 +179,6 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=4)
-def worker_encoder(spec: str, value: Callable[[list[int]], object]) -> Encoder:
+def worker_encoder(spec: str, value: Callable[[list[int]], object], remembered: int = _CACHE) -> Encoder:
     """The encoder of this worker process: what it has remembered serves all its tasks."""
-    return Encoder(spec, value)
+    return Encoder(spec, value, remembered)

@@ -8,7 +8,9 @@ import random
 import numpy as np
 import pytest
 
-from cartlight.llm import substring_dedup
+from pyspark.sql import functions as F
+
+from cartlight.llm import embedding_dedup as embedding_module, substring_dedup
 from cartlight.llm.components import components
 from cartlight.llm.embedding_dedup import embedding_dedup
 from cartlight.llm.line_dedup import line_dedup
@@ -173,3 +175,72 @@ def test_embedding_recall_and_degrees(spark):
     assert got[None]["component_id"] is None and not got[None]["kept"]
     assert len({got[k]["component_id"] for k in range(460, 1360)}) == 1
     assert embedding_dedup(frame.limit(0)).collect() == []
+
+
+def test_embedding_recall_at_the_threshold(spark, monkeypatch):
+    """Pairs at a cosine of 0.95 to 0.97 among other vectors, in a forest of ten levels or more, without a crowd."""
+    depth = []
+    fitted = embedding_module._fit_forest
+
+    def fit(sample, total):
+        cuts = fitted(sample, total)
+        depth.append(max(node.bit_length() for _, node in cuts))
+        return cuts
+
+    monkeypatch.setattr(embedding_module, "LEAF", 24)
+    monkeypatch.setattr(embedding_module, "LEAST", 12)
+    monkeypatch.setattr(embedding_module, "_fit_forest", fit)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((16_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    pairs = 1500
+    side = rng.standard_normal((pairs, 64))
+    side -= (side * base[:pairs]).sum(axis=1, keepdims=True) * base[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9501, 0.97, (pairs, 1))
+    twins = cosine * base[:pairs] + np.sqrt(1 - cosine**2) * side
+    rows = [(k, v.tolist()) for k, v in enumerate(np.r_[base, twins])]
+    got = {r["vec_id"]: r for r in embedding_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 0.95).collect()}
+    found = np.mean([got[len(base) + k]["component_id"] == k for k in range(pairs)])
+    print(f"recall {found:.4f}, levels {depth}")
+    assert min(depth) >= 10 and found >= 0.9
+    assert sum(r["n_links"] for r in got.values()) == 2 * round(found * pairs)
+
+
+def _one_hot_node(spark, scratch):
+    links = spark.range(60_000).select((F.col("id") + 10).alias("a"), F.lit(3).cast("bigint").alias("b"))
+    components(scratch, links.unionByName(spark.range(60_000).select((F.col("id") * 2 + 200_000).alias("a"), (F.col("id") * 2 + 200_001).alias("b"))))
+
+
+def _one_hot_window(spark, scratch):
+    text = F.when(F.col("id") % 10 > 0, "a\nb\nc").otherwise(F.concat_ws("\n", F.lit("x"), "id", F.col("id") % 20_000))
+    line_dedup(spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text")), scratch)
+
+
+@pytest.mark.parametrize("job, step", [(_one_hot_node, "large"), (_one_hot_window, "cuts")])
+def test_hot_keys_are_split(spark, monkeypatch, job, step):
+    """A third of the rows at one key: what is joined back was written, so adaptive execution splits the join."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    plans, keep = {}, Scratch.keep
+
+    def keep_and_look(self, df, name="t"):
+        if name == step:
+            df._jdf.queryExecution().executedPlan().executeCollect()
+            plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df.repartition(8) if name in ("links", "windows") else df, name)
+
+    monkeypatch.setattr(Scratch, "keep", keep_and_look)
+    scratch = Scratch(spark, "skew")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        job(spark, scratch)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert any("skew=true" in plan for plan in plans[step])

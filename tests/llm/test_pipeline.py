@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from cartlight.llm import oracle, queries
 from cartlight.llm.scratch import Scratch
 from tests.llm import data
@@ -56,18 +57,32 @@ def test_stages_one_after_the_other(spark, tmp_path):
 
 
 def test_stages_on_awkward_documents(spark, tmp_path):
-    docs = data.documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = data.documents(spark).withColumnsRenamed({"digest": "_row", "k0": "id", "length": "row.x"})
+    named = [*docs.columns, "id_", "offset"]
+    docs = docs.withColumns({"id_": F.lit(1), "offset": F.lit("o")}).select(*[f"`{c}`" for c in named])
     for frame, sub in ((docs, "a"), (docs.limit(0), "b")):
         folder = f"{tmp_path}/{sub}"
         frame.write.parquet(f"{folder}/documents.parquet")
-        spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        labels = [(k, int(k % 5 > 0), 0) for k in range(60)] + [(None, 1, 0), (3, None, None), (4, 0, 0)]
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
         now, scratch = spark.read.parquet(f"{folder}/documents.parquet"), Scratch(spark, "test")
-        for name, stage in corpus_pipeline.STAGES[1:]:
+        for name, stage in corpus_pipeline.STAGES:
             now = scratch.keep(stage(spark, now, folder), name)
+            assert name == "pack" or now.columns == docs.columns
         assert (now.count() > 0) == (sub == "a")
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[at : at + 40]) for at in range(0, 400, 40)]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (0, texts[0]), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = corpus_pipeline.one_of_each_group(spark, docs, "")
+    got = sorted((tuple(r) for r in kept.collect()), key=repr)
+    assert got == sorted([(0, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (5, "")], key=repr)
+
+
 def test_every_query_is_named_after_its_operator():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 1 + len(names)))
