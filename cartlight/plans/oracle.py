@@ -345,6 +345,35 @@ _QUERIES = {
     "user_sessions": "SELECT * FROM sessions",
     "user_sessions_stream": """SELECT * FROM sessions
         WHERE last_event + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "reorder_points": """SELECT product_id, product_name, stock_quantity, daily_mean, daily_deviation,
+        CAST(1.645 AS DOUBLE) * sqrt(CAST(7 AS DOUBLE)) * daily_deviation AS safety_stock,
+        daily_mean * 7 + CAST(1.645 AS DOUBLE) * sqrt(CAST(7 AS DOUBLE)) * daily_deviation AS reorder_point,
+        stock_quantity <= daily_mean * 7 + CAST(1.645 AS DOUBLE) * sqrt(CAST(7 AS DOUBLE)) * daily_deviation AS reorder
+        FROM (SELECT product_id, product_name, stock_quantity, sold / days AS daily_mean,
+            sqrt(greatest((squares - sold * (sold / days)) / (days - 1), 0)) AS daily_deviation
+            FROM (SELECT p.product_id, product_name, stock_quantity, days, CAST(coalesce(sum(units), 0) AS DOUBLE) AS sold,
+                CAST(coalesce(sum(units * units), 0) AS DOUBLE) AS squares
+                FROM s_products p LEFT JOIN (SELECT product_id, order_date, CAST(sum(quantity) AS BIGINT) AS units
+                    FROM s_items JOIN s_orders USING (order_id) WHERE order_status <> 'Cancelled' AND order_date IS NOT NULL
+                    GROUP BY 1, 2) d ON p.product_id = d.product_id,
+                (SELECT max(order_date) - min(order_date) + 1 AS days FROM s_orders WHERE order_status <> 'Cancelled')
+                GROUP BY ALL))""",
+    "cohort_retention": """SELECT strftime(first_month, '%Y-%m') AS first_month, months_since, customers,
+        customers / first_value(customers) OVER (PARTITION BY first_month ORDER BY months_since) AS share
+        FROM (SELECT first_month, datediff('month', first_month, month) AS months_since, count(*) AS customers
+            FROM (SELECT DISTINCT customer_id, date_trunc('month', order_date) AS month,
+                min(date_trunc('month', order_date)) OVER (PARTITION BY customer_id) AS first_month
+                FROM s_orders WHERE order_status <> 'Cancelled' AND order_date IS NOT NULL AND customer_id IS NOT NULL)
+            GROUP BY 1, 2)""",
+    "churn_auc": """SELECT count(*) FILTER (churn = 1) AS positives, count(*) FILTER (churn = 0) AS negatives,
+        (SELECT sum(CASE WHEN a.score > b.score THEN 2 WHEN a.score = b.score THEN 1 ELSE 0 END)::DOUBLE
+            FROM scored_churn a, scored_churn b WHERE a.churn = 1 AND b.churn = 0)
+        / (CAST(2 AS DOUBLE) * count(*) FILTER (churn = 1) * count(*) FILTER (churn = 0)) AS auc FROM scored_churn""",
+    "churn_lift": """SELECT decile, count(*) AS customers, count(*) FILTER (churn = 1) AS positives,
+        count(*) FILTER (churn = 1) / count(*) AS rate,
+        (count(*) FILTER (churn = 1) / count(*)) / (SELECT count(*) FILTER (churn = 1) / count(*) FROM scored_churn) AS lift
+        FROM (SELECT churn, CAST(floor((rank() OVER (ORDER BY score DESC) - 1) * 10 / count(*) OVER ()) AS BIGINT) + 1 AS decile
+            FROM scored_churn) GROUP BY decile""",
     # price history
     "price_history": "SELECT product_id, valid_from, price, valid_to FROM prices",
     "price_history_merged": "SELECT product_id, valid_from, price, valid_to FROM prices",
@@ -374,6 +403,13 @@ _QUERIES = {
     "incremental_monthly": "SELECT month, revenue FROM monthly",
 }
 
+_TABLES["scored_churn"] = """SELECT f.customer_id,
+    greatest(0, least(1, 1 - total_spending / (SELECT max(total_spending) FROM features))) AS score, l.churn
+    FROM features f JOIN (SELECT customer_id, CAST(CASE WHEN after_cut = 0 THEN 1 ELSE 0 END AS INTEGER) AS churn
+        FROM (SELECT customer_id, count(*) FILTER (order_date < cutoff) AS before_cut,
+            count(*) FILTER (order_date >= cutoff AND order_date <= cutoff + 90) AS after_cut
+            FROM s_orders JOIN s_customers USING (customer_id), (SELECT max(order_date) - 90 AS cutoff FROM s_orders)
+            GROUP BY customer_id) WHERE before_cut > 0) l ON f.customer_id = l.customer_id"""
 _TABLES["prices"] = """SELECT *, lead(valid_from) OVER (PARTITION BY product_id ORDER BY valid_from) AS valid_to FROM (
     SELECT product_id, order_date AS valid_from, max(unit_price) AS price FROM s_items JOIN s_orders USING (order_id)
     WHERE order_status <> 'Cancelled' AND order_date IS NOT NULL GROUP BY 1, 2)"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartlight.functions.money import money_sum
 from cartlight.operators import (
-    churn, customers, forecast, history, incremental, ingest, kpi, recommend, sales, segments, views,
+    churn, customers, forecast, history, incremental, ingest, judging, kpi, recommend, sales, segments, views,
 )
 from cartlight.session import checkpoint_folder, materialize, prepare
 from cartlight.sources import store
@@ -411,6 +411,10 @@ def queries() -> dict[str, Query]:
         "reco_als": segments.reco_als,
         "reco_als_summary": _als_summary,
         "inventory_alerts": segments.inventory_alerts,
+        "reorder_points": segments.reorder_points,
+        "cohort_retention": segments.cohort_retention,
+        "churn_auc": judging.churn_auc,
+        "churn_lift": judging.churn_lift,
         # price history
         "price_history": history.price_history,
         "price_history_merged": _price_history_merged,
