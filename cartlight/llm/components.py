@@ -11,7 +11,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the smallest node reachable.
 
     Alternating large-star and small-star steps: each node's neighbours are hung on the smallest of them. The
-    minimum is combined in the map tasks and joined back, so the neighbours of a hot node are never gathered.
+    minimum is combined in the map tasks, written and joined back, so that adaptive execution splits a hot node's neighbours.
     Self links give a component of their own; null ends are ignored. Empty input gives an empty table.
     """
     edges = scratch.keep(
@@ -25,8 +25,10 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         both = now.filter("u <> v")
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        low = scratch.keep(low, "low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
+        large = scratch.keep(large, "large")
+        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("low")), "least")
         joined = large.join(least, "u")
         small = joined.select(
             F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v")
@@ -35,8 +37,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         found = after.agg(
             F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))
         ).first()
-        if now is not edges:
-            scratch.drop(now)
+        scratch.drop(low, large, least, now if now is not edges else None)
         now = after
         if tuple(found) == mark:
             break

@@ -154,10 +154,12 @@ def ngram_join(
 
     # One representative per set; its id stands for the class. The aggregate combines copies in the map tasks.
     named = rows.filter("n > 0 and doc_id is not null")
+    # What is joined back is written first: then adaptive execution splits the join where many share a key.
+    firsts = scratch.keep(named.groupBy("n", "digest").agg(F.min("doc_id").alias("class_id")), "firsts")
+    described = named.select(
+        "n", "digest", F.col("doc_id").alias("class_id"), "prefix", "prefix_digest", "parity", "common")
     classes = scratch.keep(
-        named.groupBy("n", "digest").agg(F.min("doc_id").alias("class_id"))
-        .join(named.select("n", "digest", "doc_id", "prefix", "prefix_digest", "parity", "common"), ["n", "digest"])
-        .filter("doc_id = class_id").drop("doc_id", "digest").dropDuplicates(["class_id", "n", "prefix_digest"]),
+        firsts.join(described, ["class_id", "n", "digest"]).drop("digest").dropDuplicates(["class_id", "n", "prefix_digest"]),
         "classes",
     )
     groups = scratch.keep(
@@ -233,10 +235,11 @@ def ngram_join(
         comp = components(scratch, linked.unionByName(more))
     scratch.drop(linked, more, rest, members)
 
-    ids = named.groupBy("n", "digest").agg(F.min("doc_id").alias("class_id"))
-    ids = ids.join(comp, ids.class_id == comp.node, "left").select(
+    ids = firsts.join(comp, firsts.class_id == comp.node, "left").select(
         "n", "digest", "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
+    ids = scratch.keep(ids, "ids")
+    scratch.drop(firsts)
     found = rows.filter("n > 0").select("doc_id", "n", "digest").join(ids, ["n", "digest"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id"
     )
