@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 from cartlight.llm import oracle, queries
 from cartlight.llm.scratch import Scratch
@@ -73,11 +74,18 @@ def test_stages_on_awkward_documents(spark, tmp_path):
         assert (now.count() > 0) == (sub == "a")
 
 
-def test_rows_that_share_an_id_or_have_none(spark):
+@pytest.mark.parametrize("stored", [False, True])
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path, stored):
     words = [f"w{k}" for k in range(400)]
     texts = [" ".join(words[at : at + 40]) for at in range(0, 400, 40)]
     rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (0, texts[0]), (5, "")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    if stored:
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        numbers = corpus_pipeline._numbered(Scratch(spark, "test"), docs)
+        ids = sorted(r["id"] for r in numbers.select("id").collect())
+        assert len(set(ids)) == len(rows) and ids == sorted(r["id"] for r in numbers.repartition(2).select("id").collect())
     kept = corpus_pipeline.one_of_each_group(spark, docs, "")
     got = sorted((tuple(r) for r in kept.collect()), key=repr)
     assert got == sorted([(0, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (5, "")], key=repr)
