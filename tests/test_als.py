@@ -7,6 +7,7 @@ import pytest
 from cartlight.functions import best_scores
 from cartlight.functions.best_scores import best_by_inner_product
 from cartlight.operators import segments
+from cartlight.plans import registry
 from tests.seed import customer, item, order, product, shop
 
 SEEKERS, ITEMS = "seeker bigint, grp bigint, u array<float>", "grp bigint, item bigint, v array<float>"
@@ -91,3 +92,42 @@ def test_products_that_sell_little_are_scored(spark):
     )
     rows = [r for r in segments.reco_als(tables).collect() if r["customer_id"] >= 32]
     assert len(rows) == 40 and all(r["product_id"] >= 30 for r in rows)
+
+
+def judged(spark, seekers, items, lists, crowd):
+    """``missed_items`` over full lists of n: (seeker, grp, u, low, lowest, held)."""
+    rows = [(who, g, u, *(lists[who][0][-1] if len(lists[who][0]) == lists[who][1] else (None, None)), [i for _, i in lists[who][0]])
+            for who, g, u in seekers]
+    frame = spark.createDataFrame(rows, f"{SEEKERS}, low double, lowest bigint, held array<bigint>")
+    return best_scores.missed_items(frame, spark.createDataFrame(items, ITEMS), 2, crowd).groupBy().sum().first()[0]
+
+
+@pytest.mark.parametrize("crowd", [7, 16384])
+def test_missed_items_are_counted_without_rows_of_pairs(spark, crowd):
+    """Every list right: none missed; a list with its best item cut, a list that ends early: told to the item."""
+    draw = random.Random(3)
+    items = [(k % 3, 500 - k, halves(draw)) for k in range(240)] + [(None, 9, [1.0, 1.0])]
+    seekers = [(who, g, u) for who in range(40) for u in [halves(draw)] for g in ((0, 1) if who % 2 else (2,))]
+    value = {i: v for _, i, v in items}
+    mine = {who: u for who, _, u in seekers}
+    lists = {who: ([(sum(a * b for a, b in zip(mine[who], value[i])), i) for i in best], 5) for who, best in brute(seekers, items, 5).items()}
+    assert judged(spark, seekers, items, lists, crowd) == 0
+    full, n = lists[3]
+    assert judged(spark, seekers, items, {**lists, 3: (full[1:], n - 1)}, crowd) == 1
+    assert judged(spark, seekers, items, {**lists, 3: (full[:4], n)}, crowd) == 160 - 4
+    assert judged(spark, seekers, items, {**lists, 2: ([], n)}, crowd) == 80
+
+
+def test_summary_forms_no_rows_of_pairs(spark):
+    """200 customers, two of whom are checked against 300 products: no step reads or writes a row per pair."""
+    draw = random.Random(6)
+    tables = shop(
+        spark, products=[product(k, f"p{k}", k % 2, 10.0) for k in range(300)], categories=[(0, "A", None), (1, "B", None)],
+        orders=[order(who, who) for who in range(200)], customers=[customer(k) for k in range(200)],
+        order_items=[item(k, k % 200, draw.randrange(300), 1 + k % 3) for k in range(4000)],
+    )
+    frame = registry._als_summary(tables)
+    assert frame.first().asDict() == {
+        "customers": 200, "gaps": 0, "unordered": 0, "unknown_products": 0, "wrong_scores": 0, "missed": 0}
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "LeftAnti" not in plan
