@@ -109,3 +109,37 @@ def test_orders_are_priced_on_their_day(spark):
     assert sorted((str(r["order_date"]), r["unit_price"], r["total_amount"]) for r in good.collect()) == sorted([
         (str(START + 3 * DAY), 10.0, 20.0), (str(START + 9 * DAY), 20.0, 20.0), (str(START - DAY), 50.0, 50.0), (str(START), 60.0, 60.0)])
     assert [r["product_id"] for r in bad.collect()] == ["9"]
+
+
+def test_stored_versions_that_come_twice_count_once(spark):
+    """The greatest of them, as among changes; a change at their time replaces both."""
+    twice = [(1, START, 9.0, None), (1, START, 7.0, None), (2, START, 3.0, None), (2, START, 4.0, None), (3, START, 1.0, None)]
+    stored = spark.createDataFrame(twice, f"{CHANGES}, valid_to date")
+    batch = spark.createDataFrame([(1, START + DAY, 5.0), (2, START, 1.0), (2, None, 8.0), (None, START, 8.0)], CHANGES)
+    assert rows(history.merge_versions(stored, batch, ["product_id"])) == [
+        (1, START, 9.0, START + DAY), (1, START + DAY, 5.0, None), (2, START, 1.0, None), (3, START, 1.0, None)]
+
+
+
+def test_days_of_sparse_keys_share_a_bucket(spark):
+    """Nearly every change lies in a month of its own: what crosses buckets is a row per key and decade, not per change."""
+    days = [(k, START + 31 * k * DAY, 1.0) for k in range(60)]
+    changes = spark.createDataFrame([(key, at, price) for key in range(5) for _, at, price in days], CHANGES)
+    assert history._bucketed(changes, "valid_from", None).select("product_id", "_bucket").distinct().count() == 5
+    assert history._bucketed(changes.withColumn("valid_from", F.col("valid_from").cast("timestamp")), "valid_from", None).select(
+        "product_id", "_bucket").distinct().count() > 5 * 50
+    plain = plain_versions([tuple(r) for r in changes.collect()])
+    for bucket in (None, history.month, lambda at: at):
+        assert rows(history.versions(changes, ["product_id"], bucket=bucket)) == plain
+
+
+def test_merged_query_reads_the_sales_once(spark, monkeypatch):
+    from cartlight.plans import registry
+
+    asked = []
+    changes = draw_changes(6, 60)
+    frame = spark.createDataFrame([(k, d, p) for (k, d), p in {(k, d): p for k, d, p in changes}.items()], CHANGES)
+    monkeypatch.setattr(registry, "materialize", lambda df: asked.append(df) or history.materialize(df))
+    monkeypatch.setattr(history, "price_changes", lambda tables: frame)
+    got = registry._price_history_merged(shop(spark))
+    assert asked[0] is frame and rows(got) == plain_versions([tuple(r) for r in frame.collect()])
