@@ -148,6 +148,7 @@ def priced_orders(
     joined = prepared.join(prices, "_product", "left")
     price = F.col("_price")
     if history is not None:
+        joined = materialize(prepared).join(prices, "_product", "left")  # parsed once, read for the times and the rows
         valid = history.select(F.col("product_id").alias("_product"), "valid_from", F.col("price").alias("_then"))
         joined = as_of(joined, valid, ["_product"], "_day", "valid_from").drop("valid_from")
         price = F.coalesce("_then", "_price")

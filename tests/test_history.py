@@ -143,3 +143,17 @@ def test_merged_query_reads_the_sales_once(spark, monkeypatch):
     monkeypatch.setattr(history, "price_changes", lambda tables: frame)
     got = registry._price_history_merged(shop(spark))
     assert asked[0] is frame and rows(got) == plain_versions([tuple(r) for r in frame.collect()])
+
+
+def test_as_of_writes_only_what_is_read_again(spark, monkeypatch):
+    """The times among the changes and what was found; orders that are priced are parsed and written once before."""
+    written = []
+    count = lambda df: written.append(df) or _write(df)
+    _write = history.materialize
+    monkeypatch.setattr(history, "materialize", count)
+    monkeypatch.setattr(ingest, "materialize", count)
+    prices = spark.createDataFrame([(1, START, 10.0)], CHANGES)
+    batch = spark.createDataFrame([("7", "1", "2", str(START), None)], "customer_id string, product_id string, quantity string, order_date string, order_status string")
+    good, _ = ingest.priced_orders(batch, shop(spark, products=[product(1, "a", 1, 50.0)]), history=prices)
+    assert [r["unit_price"] for r in good.collect()] == [10.0] and len(written) == 3
+    assert "_product" in written[0].columns
