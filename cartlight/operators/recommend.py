@@ -185,10 +185,13 @@ def reco_unseen(tables: Tables, n: int = 5, near: int = 64, block: int = 1024) -
     best_first = [F.desc("best_rating"), F.desc("price"), F.asc("product_name")]
     placed = dense_index(_cards(tables), "position", [F.asc("category_id"), *best_first])
     starts = placed.groupBy("category_id").agg(F.min("position").alias("start"))
-    cards = materialize(placed.join(starts, "category_id").select(
+    cards = placed.join(starts, "category_id").select(
         "category_id", (F.col("position") - F.col("start") + 1).alias("place"),
         *_CARD, F.col("best_rating").alias("rating"),
-    ))
+    )
+    # The place among all cards and, of those that look alike in several categories, the first such place.
+    overall = dense_index(cards, "overall", [*_by_rating(), F.asc("category_id")])
+    cards = materialize(overall.withColumn("card", F.min("overall").over(Window.partitionBy(*_CARD))))
     numbered = tables.products.select("product_id", "category_id", "product_name", "price").alias("p").join(
         cards.alias("c"),
         (F.col("p.category_id") == F.col("c.category_id"))
@@ -214,12 +217,22 @@ def reco_unseen(tables: Tables, n: int = 5, near: int = 64, block: int = 1024) -
     unseen = asked.join(owned, [*key, "place"], "left_anti")
     nearest = top_k_per(unseen, key, n, [F.asc("place")]).drop("rank")
     # Nearly every customer asks for the same first places: those cards are broadcast if their bytes are few.
-    head, place = cards.filter(F.col("place") <= near), ["category_id", "place"]
-    if is_small(head):
-        found = nearest.filter(F.col("place") <= near).join(F.broadcast(head), place).unionByName(
-            nearest.filter(F.col("place") > near).join(cards.filter(F.col("place") > near), place))
+    # Up to the n best of a customer only numbers are moved; names and prices are looked up for those.
+    head, tail = cards.filter(F.col("place") <= near), cards.filter(F.col("place") > near)
+    numbers, shown, place = ["category_id", "place", "overall", "card"], ["overall", *_CARD], ["category_id", "place"]
+    here = is_small(head)
+    if here:
+        found = nearest.filter(F.col("place") <= near).join(F.broadcast(head.select(*numbers)), place).unionByName(
+            nearest.filter(F.col("place") > near).join(tail.select(*numbers), place))
+    else:
+        found = nearest.join(cards.select(*numbers), place)
+    candidates = found.select("customer_id", "card", "overall")
+    one_place = candidates.repartition("customer_id").groupBy("customer_id", "card").agg(F.min("overall").alias("overall"))
+    best = top_k_per(one_place, "customer_id", n, [F.asc("overall")]).select("customer_id", "rank", "overall")
+    if here:
+        best = materialize(best)
+        named = best.join(F.broadcast(head.select(*shown)), "overall").unionByName(
+            best.join(tail.select(*shown), "overall"))
     else:
-        found = nearest.join(cards, place)
-    candidates = found.select("customer_id", *_CARD, "rating")
-    one_place = candidates.repartition("customer_id").groupBy("customer_id", *_CARD).agg(F.max("rating").alias("rating"))
-    return top_k_per(one_place, "customer_id", n, _by_rating()).select("customer_id", "rank", *_CARD)
+        named = best.join(cards.select(*shown), "overall")
+    return named.select("customer_id", "rank", *_CARD)

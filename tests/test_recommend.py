@@ -125,3 +125,13 @@ def test_history_matches_all_pairs(tables, rows):
 def test_fallback_reaches_everyone(tables, rows):
     got = by_customer(recommend.reco_with_fallback(tables))
     assert set(got) == {c[0] for c in rows["customers"]}
+
+
+def test_unseen_moves_numbers_until_the_best_are_known(spark, tables, monkeypatch):
+    """What is grouped by customer holds no name; the names come to the n best of a customer."""
+    ranked = []
+    real = recommend.top_k_per
+    monkeypatch.setattr(recommend, "top_k_per", lambda df, *a, **k: ranked.append(df) or real(df, *a, **k))
+    recommend.reco_unseen(tables).count()
+    assert ranked[-1].columns == ["customer_id", "card", "overall"]
+    assert not any(kind == "string" for _, kind in ranked[-1].dtypes)
