@@ -131,3 +131,13 @@ def test_summary_forms_no_rows_of_pairs(spark):
         "customers": 200, "gaps": 0, "unordered": 0, "unknown_products": 0, "wrong_scores": 0, "missed": 0}
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "LeftAnti" not in plan
+
+
+def test_crowds_are_few(spark):
+    """Blocks are sent to every crowd of their group: many seekers make no more crowds than cores need, two groups 2 * parts."""
+    draw = random.Random(4)
+    blocks = best_scores.blocks_by_norm(spark.createDataFrame([(k % 2, k, halves(draw)) for k in range(40)], ITEMS), 2, 5)
+    people = spark.range(200000).selectExpr("id as seeker", "id % 2 as grp", "array(1f, 0f) as u", "double('-inf') as bound")
+    calls = []
+    frame = best_scores._round(people, blocks, 1, 2, best_scores.CROWD, None, lambda df: calls.append(df) or df, 50)
+    assert [r["salts"] for r in calls[0].collect()] == [1, 1] and frame.count() == 200000
