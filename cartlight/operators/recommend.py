@@ -219,9 +219,8 @@ def reco_unseen(tables: Tables, n: int = 5, near: int = 64, block: int = 1024) -
     # Nearly every customer asks for the same first places: those cards are broadcast if their bytes are few.
     # Up to the n best of a customer only numbers are moved; names and prices are looked up for those.
     head, tail = cards.filter(F.col("place") <= near), cards.filter(F.col("place") > near)
-    numbers, shown, place = ["category_id", "place", "overall", "card"], ["overall", *_CARD], ["category_id", "place"]
-    here = is_small(head)
-    if here:
+    numbers, place = ["category_id", "place", "overall", "card"], ["category_id", "place"]
+    if is_small(head):
         found = nearest.filter(F.col("place") <= near).join(F.broadcast(head.select(*numbers)), place).unionByName(
             nearest.filter(F.col("place") > near).join(tail.select(*numbers), place))
     else:
@@ -229,10 +228,4 @@ def reco_unseen(tables: Tables, n: int = 5, near: int = 64, block: int = 1024) -
     candidates = found.select("customer_id", "card", "overall")
     one_place = candidates.repartition("customer_id").groupBy("customer_id", "card").agg(F.min("overall").alias("overall"))
     best = top_k_per(one_place, "customer_id", n, [F.asc("overall")]).select("customer_id", "rank", "overall")
-    if here:
-        best = materialize(best)
-        named = best.join(F.broadcast(head.select(*shown)), "overall").unionByName(
-            best.join(tail.select(*shown), "overall"))
-    else:
-        named = best.join(cards.select(*shown), "overall")
-    return named.select("customer_id", "rank", *_CARD)
+    return best.join(cards.select("overall", *_CARD), "overall").select("customer_id", "rank", *_CARD)
