@@ -64,7 +64,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
             found = [shingles(t, width) for t in texts]
             if found:
                 place = np.concatenate(found) >> np.uint64(64 - _SKETCH_BITS)
-                total += np.bincount(place.astype(np.int64), minlength=cells).astype(np.uint32)
+                np.add.at(total, place.astype(np.int64), np.uint32(1))  # in place: a count of all cells would take 32 MB
         parts = [(k, total[k * piece : (k + 1) * piece]) for k in range(cells // piece)]
         parts = [(k, zlib.compress(p.astype(np.uint64).tobytes(), 1)) for k, p in parts if p.any()]
         yield pa.RecordBatch.from_pydict({
@@ -173,15 +173,23 @@ def ngram_join(
     ).select("class_id", "group_id", "members")
     members = scratch.keep(members, "members")
 
+    # How typical a group is, with bits of its id below: one number, so that the greatest of a list names its group. Two
+    # groups that agree in all of it are both paired with the list.
+    typical = F.col("common") * (1 << 49) + F.xxhash64("group_id").bitwiseAND((1 << 49) - 1)
     postings = (
         classes.join(groups.select("n", "prefix_digest", "group_id"), ["n", "prefix_digest"])
-        .filter("class_id = group_id").select("group_id", "n", "common", F.posexplode("prefix").alias("pos", "token"))
+        .filter("class_id = group_id")
+        .select("group_id", "n", typical.alias("typical"), F.posexplode("prefix").alias("pos", "token"))
     )
-    lists = postings.groupBy("token").agg(
-        F.count(F.lit(1)).alias("m"), F.max(F.struct("common", "group_id", "n", "pos")).alias("pivot")
-    ).filter("m > 1")
+    # Two numbers a list are added up by hash, not sorted as rows of their own; most lists end here, with one group.
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max("typical").alias("most")).filter("m > 1")
     lists = scratch.keep(
-        postings.join(lists, "token").select("token", "group_id", "n", "pos", "pivot"), "lists"
+        postings.join(shared, "token")
+        .select("token", "group_id", "n", "pos", (F.col("typical") == F.col("most")).alias("is_pivot")),
+        "lists",
+    )
+    pivots = scratch.keep(
+        lists.filter("is_pivot").select("token", F.struct("group_id", "n", "pos").alias("pivot")), "pivots"
     )
 
     def fits(n1, p1, n2, p2):
@@ -190,7 +198,7 @@ def ngram_join(
         small, large = F.least(n1, n2), F.greatest(n1, n2)
         return (den * small >= num * large) & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= F.floor(need))
 
-    near = lists.filter(
+    near = lists.join(pivots, "token").filter(
         (F.col("group_id") != F.col("pivot.group_id"))
         & fits(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"))
     ).select(F.col("group_id").alias("a"), F.col("pivot.group_id").alias("b"))
@@ -229,7 +237,7 @@ def ngram_join(
     ]).select("a", "b")
     rest = _pairs(rest).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = scratch.keep(_plausible(rest, classes, num, den), "rest")
-    scratch.drop(lists, open_lists, labelled, groups, tried)
+    scratch.drop(lists, pivots, open_lists, labelled, groups, tried)
     more = _verified(scratch, docs, rest, width, num, den)
     if not more.isEmpty():
         comp = components(scratch, linked.unionByName(more))

@@ -62,6 +62,20 @@ def test_ngram_join_of_a_chain_and_many_near_copies(spark):
     assert got == data.smallest_reachable([k for k, _ in rows], links)
 
 
+def test_ngram_join_counts_its_lists_by_hash(spark):
+    """The largest step, over all prefix shingles, sorts no rows to add them up."""
+    class Watched(Scratch):
+        def keep(self, df, name="t"):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().keep(df, name)
+
+    plans: dict[str, str] = {}
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join([*words, *["x"] * k])) for k in range(5)], "doc_id bigint, text string")
+    got = {r["component_id"] for r in ngram_join(docs, 3, 9, 10, Watched(spark, "watched")).collect()}
+    assert got == {0} and "HashAggregate" in plans["lists"] and "SortAggregate" not in plans["lists"]
+
+
 def test_ngram_join_of_empty_tables(spark):
     assert ngram_join(data.empty_documents(spark)).collect() == []
     only = spark.createDataFrame([(1, None), (2, "")], "doc_id bigint, text string")
