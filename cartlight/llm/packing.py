@@ -35,7 +35,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = 2048, end
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = b"".join(encoder.values(text or "")) + end
+                ids = encoder.id_bytes(text or "") + end
                 for k in range(0, len(ids), width):
                     part = ids[k : k + width]
                     for name, value in zip(out, (doc_id, k // width, k // 4, len(part) // 4, part)):

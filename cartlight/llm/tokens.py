@@ -42,6 +42,33 @@ _BYTE = {chr(_STANDS.get(b, b)): b for b in range(256)}
 _END = b"\xff"
 
 
+# Usual characters that are no letters: numbers stand alone, others in runs. ASCII ones, with Latin-1, all.
+_QUICK = [chr(c) for a, b in ((0, 28), (32, 256), (256, 592), (0x2010, 0x2028), (0x2030, 0x205F), (0x20AC, 0x20AD)) for c in range(a, b)]
+_NUMBERS = [c for c in _QUICK if regex.match(r"\p{N}", c)]
+_OTHERS = [c for c in _QUICK if regex.match(r"[^\s\p{L}\p{N}]", c)]
+_ALONE = [([c for c in _NUMBERS if c < end], [c for c in _OTHERS if c < end]) for end in ("\x80", "\u0100", "\uffff")]
+_CONTRACTION = re.compile(r"'(?<![^\w ]')(?<!_')(s|t|re|ve|m|ll|d)")
+
+
+def _parted(words: list[str]) -> str:
+    """The pre-tokens of lower-cased words of quick characters under the ``Split`` rule, a blank after each, maybe more.
+
+    The same as that rule's pattern, but by a few replacements of the whole text. Control characters, which no quick
+    text holds, stand for the ends of a character of a run and for an apostrophe that begins a contraction.
+    """
+    text = " ".join(words) + " "
+    if "'" in text:
+        text = _CONTRACTION.sub(" \x1c\\1 ", text)
+    numbers, others = _ALONE[0 if text.isascii() else 1 if max(text) < "\u0100" else 2]
+    for c in numbers:
+        if c in text:
+            text = text.replace(c, f" {c} ")
+    for c in others:
+        if c in text:
+            text = text.replace(c, f"\x1d{c}\x1e")
+    return text.replace("\x1e\x1d", "").replace("\x1d", " ").replace("\x1e", " ").replace("\x1c", "'")
+
+
 def _usual(text: str) -> bool:
     if any(c in text for c in _CONTROLS):
         return False
@@ -54,11 +81,11 @@ def _usual(text: str) -> bool:
     return True
 
 
-def _by_rank(model: dict) -> Callable[[bytes], list[int]] | None:
-    """Ids of a pre-token's bytes by merging the pair of lowest id, which is quicker than the library's model.
+def _ranks(model: dict, end: bytes) -> dict[bytes, int] | None:
+    """Ids of the tokens' bytes, with ``end`` where a token ends a word and the vocabulary marks that.
 
-    That is the same where every merge makes a token of a higher id than the merges before it, all bytes are tokens and
-    nothing else is set; elsewhere there is None.
+    Merging the pair of lowest id is quicker than the library's model. That is the same where every merge makes a token
+    of a higher id than the merges before it, all bytes are tokens and nothing else is set; elsewhere there is None.
     """
     vocabulary, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
     merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
@@ -72,14 +99,36 @@ def _by_rank(model: dict) -> Callable[[bytes], list[int]] | None:
     for token, id_ in vocabulary.items():
         body = token.removesuffix(suffix) if suffix else token
         if body and all(c in _BYTE for c in body):
-            ranks[bytes(_BYTE[c] for c in body) + (_END if body != token else b"")] = id_
-    tail = _END if suffix else b""
+            ranks[bytes(_BYTE[c] for c in body) + (end if body != token else b"")] = id_
+    tail = end if suffix else b""
     if any(bytes([b]) not in ranks or bytes([b]) + tail not in ranks for b in range(256)):
         return None
+    return ranks
+
+
+def _by_rank(model: dict) -> Callable[[bytes], list[int]] | None:
+    """Ids of a pre-token's bytes, where the vocabulary has ranks."""
+    ranks = _ranks(model, _END)
+    if ranks is None:
+        return None
+    tail = _END if model.get("end_of_word_suffix") else b""
     piece = tiktoken.Encoding("ranks", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
     return (lambda part: piece(part + tail)) if tail else piece
 
 
+def _by_text(model: dict) -> Callable[[str], bytes] | None:
+    """Ids, as ``as_bytes`` gives them, of pre-tokens with a blank after each, where the vocabulary marks ends of words.
+
+    The blank stands for that mark. It is in no pre-token, so the tokens that hold a true one are left out.
+    """
+    ranks = _ranks(model, _END)
+    if ranks is None or not model.get("end_of_word_suffix"):
+        return None
+    ranks = {token.replace(_END, b" "): id_ for token, id_ in ranks.items() if b" " not in token}
+    encoding = tiktoken.Encoding("text", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
 def as_bytes(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -121,6 +170,10 @@ class Encoder(dict):
         self._known = words
         self.update(words)
 
+    @cached_property
+    def _text_bytes(self) -> Callable[[str], bytes] | None:
+        return _by_text(json.loads(self._spec)["model"]) if self._plain else None
+
     def ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
@@ -177,6 +230,22 @@ class Encoder(dict):
         return chain.from_iterable(
             map(of_word, part) if kind == "words" else (value(part),) for kind, part in self.segments(text))
 
+    def id_bytes(self, text: str) -> bytes:
+        """The text's ids as ``as_bytes`` gives them, which ``value`` must be.
+
+        Where the vocabulary allows it, all words are merged in one call, which is quicker than remembering them when
+        many are rare; else they are looked up.
+        """
+        quick, found = self._text_bytes, []
+        for kind, part in self.segments(text):
+            if kind == "ids":
+                found.append(self._value(part))
+            elif quick and isinstance(part, list) and (len(text) < _LONG_PART or max(map(len, part), default=0) < _LONG_PART):
+                found.append(quick(_parted(part)))
+            else:
+                found.extend(map(self.__getitem__, part))
+        return b"".join(found)
+
 
 @lru_cache(maxsize=4)
 def worker_encoder(spec: str, value: Callable[[list[int]], object], remembered: int = _CACHE) -> Encoder:

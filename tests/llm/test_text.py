@@ -21,7 +21,7 @@ from cartlight.llm.pii import GIVEN_NAMES, canonical, find_entities, render, rep
 from cartlight.llm.quality import features, fit, fit_quality, quality
 from cartlight.llm.scratch import Scratch
 from cartlight.llm.token_counts import token_counts
-from cartlight.llm.tokens import Encoder
+from cartlight.llm.tokens import Encoder, as_bytes
 from tests.llm import data
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -56,6 +56,28 @@ def test_encoder_on_every_quick_character(path):
         assert [i for part in encoder.values(text) for i in part] == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_of_whole_texts_are_the_library_s(path):
+    library = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        encoder = Encoder(file.read(), as_bytes)
+    rng = random.Random(9)
+    usual = [chr(c) for c in [*range(0, 0x260), *range(0x2010, 0x2060), 0x20AC]]
+    texts = [f"a{c}b {c}{c}1 {c}'s{c} .{c}'ll '{c} a'{c}" for c in usual]
+    for pool in ("' .stmdrevl_1²é ", "'\"a-_s5½ \n\té€", usual):
+        texts += ["".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(1500)]
+    texts += ["", " \n", "a" * 3000 + " b's", "'" * 2500, "one<|endoftext|>two", "日本 a'll", "x " * 600_000]
+    for text in texts:
+        assert encoder.id_bytes(text) == as_bytes(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_rare_words_are_merged_text_by_text():
+    with open(WORD, encoding="utf-8") as file:
+        encoder = Encoder(file.read(), as_bytes)
+    assert encoder.id_bytes(" ".join(f"rare{chr(97 + k % 26)}{k}, word's" for k in range(500)))
+    assert not encoder and not encoder._parts  # no word was encoded or remembered by itself
+
+
 def test_pieces_are_the_library_s(spark):
     docs = data.documents(spark)
     library = Tokenizer.from_file(WORD)
