@@ -1,6 +1,7 @@
 """Collaborative filtering scores all products of a customer's categories."""
 
 import random
+import time
 
 import pytest
 
@@ -8,6 +9,7 @@ from cartlight.functions import best_scores
 from cartlight.functions.best_scores import best_by_inner_product
 from cartlight.operators import segments
 from cartlight.plans import registry
+from cartlight.session import collecting
 from tests.seed import customer, item, order, product, shop
 
 SEEKERS, ITEMS = "seeker bigint, grp bigint, u array<float>", "grp bigint, item bigint, v array<float>"
@@ -141,3 +143,42 @@ def test_crowds_are_few(spark):
     calls = []
     frame = best_scores._round(people, blocks, 1, 2, best_scores.CROWD, None, lambda df: calls.append(df) or df, 50)
     assert [r["salts"] for r in calls[0].collect()] == [1, 1] and frame.count() == 200000
+
+
+def test_blocks_of_the_model_stay_small(spark, monkeypatch):
+    """Ten blocks up to 40 million pairs, then blocks of 2 million; a model in many blocks is as sound as one in ten."""
+    assert [segments.als_blocks(n) for n in (0, 36_000_000, 40_000_000)] == [10] * 3
+    assert all(n / segments.als_blocks(n) <= 2_000_000 for n in (40_000_001, 216_000_000, 10**10))
+    made = []
+
+    class Seen(segments.ALS):
+        def fit(self, counts):
+            made.append((self.getNumUserBlocks(), self.getNumItemBlocks(), counts.count()))
+            return super().fit(counts)
+
+    for name, value in (("ALS", Seen), ("_MOST", 10), ("_PAIRS", 40)):
+        monkeypatch.setattr(segments, name, value)
+    draw = random.Random(12)
+    tables = shop(
+        spark, products=[product(k, f"p{k}", k % 2, 10.0) for k in range(60)], categories=[(0, "A", None), (1, "B", None)],
+        orders=[order(who, who) for who in range(50)], customers=[customer(k) for k in range(50)],
+        order_items=[item(k, k % 50, draw.randrange(60), 1 + k % 3) for k in range(1000)],
+    )
+    assert registry._als_summary(tables).first().asDict() == {
+        "customers": 50, "gaps": 0, "unordered": 0, "unknown_products": 0, "wrong_scores": 0, "missed": 0}
+    users, items, pairs = made[0]
+    assert users == items == -(-pairs // 40) > 10
+
+
+def test_the_driver_collects_garbage_meanwhile(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    runs = lambda: sum(bean.getCollectionCount() for bean in beans)
+    before = runs()
+    with collecting(spark, 0.1):  # the session does nothing else
+        until = time.time() + 20
+        while runs() < before + 3 and time.time() < until:
+            time.sleep(0.1)
+    ended = runs()
+    assert ended >= before + 3
+    time.sleep(1)
+    assert runs() == ended
